@@ -11,25 +11,37 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept per worker; the table is emptied when it is full, results never depend on it.
-CACHED_PIECES = 300_000
+#: Pieces in each of the two generations that a worker keeps; results never depend on it.
+CACHED_PIECES = 500_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others for U+0100 and up, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in plain)}
 
 
 class _Pieces(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers."""
+    """piece -> its ids as little-endian unsigned 32-bit integers.
+
+    When the table is full it becomes the older generation, in which later misses look first;
+    frequent pieces so survive.
+    """
 
     def __init__(self, encode, lead: str):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.older = encode, lead, {}
 
     def __missing__(self, piece: str) -> bytes:
+        if (ids := self.older.get(piece)) is None:
+            # A comma or full stop after a letter is a pre-token of its own.
+            if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha():
+                ids = self[piece[:-1]] + self.encode(piece[-1])
+            else:
+                ids = self.encode(self.lead + piece)
         if len(self) >= CACHED_PIECES:
+            self.older = dict(self)
             self.clear()
-        # A comma or full stop after ASCII letters is a pre-token of its own.
-        if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha():
-            ids = self[piece[:-1]] + self.encode(piece[-1])
-        else:
-            ids = self.encode(self.lead + piece)
         self[piece] = ids
         return ids
 
@@ -44,7 +56,8 @@ class Encoder:
       end, the separators U+001C to U+001F) are encoded whole.
     * BPE that drops white space: at white space; texts with U+001C to U+001F are encoded whole.
 
-    Any other tokenizer encodes texts whole.
+    A piece of nothing but Latin letters is one pre-token, which the tokenizer's model takes
+    directly.  Any other tokenizer encodes texts whole.
     """
 
     def __init__(self, path: str):
@@ -52,26 +65,42 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kind = (spec.get("pre_tokenizer") or {}).get("type")
         parts = [x["type"] for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         plain_spaces = "Replace" in [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.mode = "byte" if kind == "ByteLevel" and spec.get("normalizer") is None else "word" if parts == ["Split", "ByteLevel"] and plain_spaces else "whole"
-        self.bare, self.spaced = _Pieces(self.whole, ""), _Pieces(self.whole, " ")
+        self.letters = _byte_letters()
+        self.bare, self.spaced = _Pieces(self.piece, ""), _Pieces(self.piece, " ")
         self.newline = self.whole("\n")
-        self.odd = re.compile(r" \s| \Z|\n\s|\s\n|[\x1c-\x1f]") if self.mode == "byte" else re.compile(r"[\x1c-\x1f]")
+        # white space but space and newline, then where spaces and newlines stand as well
+        self.rare = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+        self.odd = re.compile(r" \s| \Z|\n\s|\s\n|[\x1c-\x1f]")
+        self.separators = re.compile(r"[\x1c-\x1f]")
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        word = piece.lstrip(" ") if self.mode == "byte" else piece
+        if not word.isalpha() or not (word.isascii() or max(word) < "\u0250"):
+            return self.whole(piece)
+        if self.mode == "word":
+            piece = piece.lower()
+        text = piece if piece.isascii() and piece[0] != " " else piece.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
-        if self.mode == "whole" or self.odd.search(text):
-            return self.whole(text)
-        if self.mode == "word":
+        if self.mode == "word" and not self.separators.search(text):
             bare = self.bare
             return b"".join([bare[x] for x in text.split()])
+        if self.mode != "byte":
+            return self.whole(text)
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith(" ") or self.rare.search(text) and self.odd.search(text):
+            return self.whole(text)
         spaced, lines = self.spaced, []
         for line in text.split("\n"):
             first, *rest = line.split(" ")

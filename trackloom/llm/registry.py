@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, media, near_dedup, packing, pii, token_files, url_filter
+from . import chat, decontamination, language_id, lm_score, media, near_dedup, packing, pii, token_files, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -36,6 +36,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_score.score(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -63,8 +68,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_media_columns, op3_language_id, op5_pii, op6_url_filter, op7_decontamination, op8_near_dedup, op9_token_files, op10_chat_format)}
+    return {f.__name__: f for f in (op1_packing, op2_media_columns, op3_language_id, op4_lm_score, op5_pii, op6_url_filter, op7_decontamination, op8_near_dedup, op9_token_files, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": chat.FORMAT_SQL}
+    return {"op4_lm_score": lm_score.SCORE_SQL, "op10_chat_format": chat.FORMAT_SQL}

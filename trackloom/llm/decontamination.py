@@ -245,3 +245,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_i
     judged = rows.mapInArrow(_judge(items, window, one_in, True), schema).where(~F.col("contaminated"))
     names = {c: f"_of_{i}" for i, c in enumerate(other)}
     return judged.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+
+
+#: DuckDB SQL for ``contamination`` with its default parameters over documents and benchmark.
+CONTAMINATION_SQL = r"""
+WITH low AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS varchar), '') AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM benchmark WHERE text IS NOT NULL),
+cut AS (SELECT item_id, l, least(13, len(l)) AS k FROM items WHERE len(l) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(l[i : i + k - 1], ' ') AS gram FROM (SELECT item_id, l, k, unnest(range(1, len(l) - k + 2)) AS i FROM cut)),
+sizes AS (SELECT DISTINCT k FROM win),
+grams AS (SELECT r, i, k, array_to_string(l[i : i + k - 1], ' ') AS gram FROM (SELECT r, l, k, unnest(range(1, len(l) - k + 2)) AS i FROM low, sizes WHERE len(l) >= k)),
+hits AS (SELECT g.r, g.i, g.k, w.item_id FROM grams g JOIN win w ON w.k = g.k AND w.gram = g.gram),
+spots AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, len(l) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(l) AS contaminated
+FROM low LEFT JOIN spots USING (r) LEFT JOIN named USING (r)
+"""

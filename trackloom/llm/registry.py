@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lm_score": lm_score.SCORE_SQL, "op10_chat_format": chat.FORMAT_SQL}
+    return {"op4_lm_score": lm_score.SCORE_SQL, "op6_url_filter": url_filter.JUDGE_SQL, "op7_decontamination": decontamination.CONTAMINATION_SQL, "op10_chat_format": chat.FORMAT_SQL}

@@ -95,3 +95,33 @@ def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = Non
     judged = judged.join(votes, "node", "left") if votes is not None else judged.withColumn("alias", F.lit(None).cast("string"))
     via = F.when(F.col("rule").isNotNull(), "rule").when(F.col("alias").isNotNull(), "alias").otherwise("default")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", "alias", F.lit("allow")).alias("verdict"), via.alias("via"))
+
+
+def _judge_sql() -> str:
+    values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lower.format(r"coalesce(regexp_extract({u}, '^(?s:.*?)://([^/?#]*)', 1), '')")
+    node = "CASE WHEN contains({u}, '://') THEN " + host + r" || regexp_extract({u}, '^(?s:.*?)://[^/?#]*([^#]*)', 1) END"
+    canonical = r"regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel=[\"'']?canonical\b[^>]*>'), '(?i)\bhref=[\"'']?([^\"'' >]+)', 1)"
+    refresh = r"regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv=[\"'']?refresh\b[^>]*>'), '(?i)\burl=[\"'']?([^\"'' >]+)', 1)"
+    at_node = r"regexp_extract(node, '^[^/?#]*') AS host, regexp_extract(node, '^[^/?#]*([^?#]*)', 1) AS path"
+    return f"""
+WITH RECURSIVE rules(verdict, host, path) AS (VALUES {values}),
+page AS (SELECT row_number() OVER () AS r, page_id, {host.format(u="url")} AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, {node.format(u="url")} AS node, html FROM pages),
+stated AS (SELECT node AS src, unnest([{canonical}, {refresh}]) AS target FROM page WHERE html IS NOT NULL),
+edge AS (SELECT DISTINCT src, dst FROM (SELECT src, {node.format(u="target")} AS dst FROM stated) WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst),
+both_ways AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge),
+reach AS (SELECT src AS node, src AS mate FROM both_ways UNION SELECT src, dst FROM both_ways UNION SELECT reach.node, b.dst FROM reach JOIN both_ways b ON b.src = reach.mate),
+place AS (SELECT host, path FROM page UNION SELECT {at_node} FROM (SELECT DISTINCT node FROM reach)),
+fit AS (SELECT p.host, p.path, rules.host || rules.path AS rule, verdict, row_number() OVER (PARTITION BY p.host, p.path ORDER BY length(rules.host || rules.path) DESC, rules.host || rules.path) AS k
+  FROM place p JOIN rules ON (p.host = rules.host OR ends_with(p.host, '.' || rules.host)) AND starts_with(p.path, rules.path)),
+best AS (SELECT host, path, rule, verdict FROM fit WHERE k = 1),
+mate AS (SELECT node, {at_node.replace("node", "mate")} FROM reach),
+vote AS (SELECT m.node, CASE WHEN bool_or(b.verdict = 'allow') THEN 'allow' ELSE 'block' END AS alias FROM mate m JOIN best b ON b.host = m.host AND b.path = m.path GROUP BY m.node)
+SELECT page_id, p.host, p.path, b.rule, coalesce(b.verdict, v.alias, 'allow') AS verdict, CASE WHEN b.rule IS NOT NULL THEN 'rule' WHEN v.alias IS NOT NULL THEN 'alias' ELSE 'default' END AS via
+FROM page p LEFT JOIN best b ON b.host = p.host AND b.path = p.path LEFT JOIN vote v ON v.node = p.node
+"""
+
+
+#: DuckDB SQL for ``judge_urls`` with the production rules over pages.
+JUDGE_SQL = _judge_sql()

@@ -23,6 +23,8 @@ from .shared import settle, slices
 
 _WORDS = re.compile(r"\w+")
 _U = np.uint64
+#: Pivots of a bucket in each round after the first.
+PIVOTS = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 
 
@@ -110,12 +112,13 @@ def _sign(bands: int, rows: int, size: int):
                 out = []
                 for key, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     if key in seen:
-                        out.append((None, None))
+                        out.append((None, None, None))
                         continue
                     seen.add(key)
                     hashes, weights = shingles(text, size)
-                    out.append((text, bands_of(signature(hashes, weights, bands * rows), rows)) if len(hashes) else (None, None))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in out], pa.string()), pa.array([b for _, b in out], pa.list_(pa.int64()))], ["doc_id", "key", "text", "bands"])
+                    out.append((text, int(weights.sum()), bands_of(signature(hashes, weights, bands * rows), rows)) if len(hashes) else (None, None, None))
+                kinds = [pa.string(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], ["doc_id", "key", "text", "size", "bands"])
 
     return run
 
@@ -157,21 +160,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     a class unless the whole class has none (class_id is null then).  An empty table gives no
     row; other columns are ignored.  ``n_copies`` counts the rows with the very same text.
 
-    No bucket is expanded into its pairs.  In each bucket a pivot is compared with all others;
-    what it does not cover goes on with a new pivot.  Distance being a metric, a covered text a
-    can only be linked with an uncovered u where d(p,a) + threshold distance reaches d(p,u):
-    such pairs are checked too, where their texts are not in one class by then.
+    No bucket is expanded into its pairs.  In each bucket a pivot is compared with all others
+    (in later rounds up to ``PIVOTS`` of them are); what no pivot covers goes on to the next
+    round.  Distance is a metric: a text c that pivot p covers can only be linked with a text u
+    where d(p,u) <= d(p,c) + the threshold distance.  Such pairs are checked too, where their
+    texts are not in one class by then.  Multisets whose sizes alone put them too far apart
+    for either are not compared.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
-    signed = settle(keyed.mapInArrow(_sign(bands, rows, size), "doc_id long, key binary, text string, bands array<long>"), "signed")
+    signed = settle(keyed.mapInArrow(_sign(bands, rows, size), "doc_id long, key binary, text string, size long, bands array<long>"), "signed")
     nodes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
 
     # a key comes at most once from each partition of the scan
-    entries = signed.where("bands is not null").select("key", F.explode("bands").alias("bucket")).distinct()
+    entries = signed.where("bands is not null").select("key", "size", F.explode("bands").alias("bucket")).distinct()
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = settle(entries.join(shared, "bucket", "left_semi"), "members")
-    texts = settle(signed.where("text is not null").select("key", "text").join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")
+    left = settle(entries.join(shared, "bucket", "left_semi"), "members")
+    texts = settle(signed.where("text is not null").select("key", "text").join(left.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """a, b, similarity of different pairs; the rarely repeated side is joined first, the pivots' side may be skewed."""
@@ -181,20 +186,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
 
     far = 1 - threshold
     links: list[DataFrame] = []
-    fringes: list[DataFrame] = []
-    left = members
+    rounds: list[DataFrame] = []
     while not left.isEmpty():
-        pivots = left.groupBy("bucket").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
-        starred = left.join(pivots, "bucket").where("key <> a").select("bucket", "a", F.col("key").alias("b"))
-        starred = settle(starred, "starred")
-        similar = verified(starred.select("a", "b").distinct(), "similar")
+        # one pivot first, which settles groups of copies; then one for each of PIVOTS hash slots
+        slot = F.pmod(F.xxhash64("key", F.lit(len(rounds))), F.lit(PIVOTS)) if rounds else F.lit(0)
+        pivots = left.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("key", "size")).alias("p")).select("bucket", F.col("p.key").alias("p"), F.col("p.size").alias("p_size"))
+        starred = settle(left.join(pivots, "bucket").where("key <> p").select("bucket", "p", F.col("key").alias("x"), (F.least("size", "p_size") / F.greatest("size", "p_size")).alias("most")), "starred")
+        near = starred.where(F.col("most") >= 1 - 2 * far - 1e-9)
+        similar = verified(near.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct(), "similar")
         links.append(similar.where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        judged = settle(starred.join(similar, ["a", "b"]).select("bucket", "b", (1 - F.col("similarity")).alias("d")), "judged")
-        # uncovered texts that some covered one of the same bucket may still be linked with
-        fringe = judged.where((F.col("d") > far) & (F.col("d") <= 2 * far + 1e-9)).select("bucket", F.col("b").alias("u"), F.col("d").alias("d_u"))
-        covered = judged.where(F.col("d") <= far).select("bucket", F.col("b").alias("c"), F.col("d").alias("d_c"))
-        fringes.append((fringe, covered))
-        left = judged.where(F.col("d") > far).select("bucket", F.col("b").alias("key"))
+        judged = settle(near.withColumns({"a": F.least("p", "x"), "b": F.greatest("p", "x")}).join(similar, ["a", "b"]).select("bucket", "p", "x", (1 - F.col("similarity")).alias("d")).where(F.col("d") <= 2 * far + 1e-9), "judged")
+        rounds.append(judged)
+        done = pivots.select("bucket", F.col("p").alias("key")).unionByName(judged.where(F.col("d") <= far + 1e-12).select("bucket", F.col("x").alias("key"))).distinct()
+        left = left.join(done, ["bucket", "key"], "left_anti")
+        alone = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        left = settle(left.join(alone, "bucket", "left_semi"), "left")
 
     def joined(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
@@ -205,12 +211,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     if links:
         classes = settle(components(joined(links)), "classes")
         of = lambda c: classes.select(F.col("node").alias(c), F.col("class").alias(f"class_{c}"))
+        # texts of one bucket that may be linked although their pivot did not link them
         doubtful = []
-        for fringe, covered in fringes:
-            fringe = fringe.join(of("u"), "u", "left").withColumn("class_u", F.coalesce("class_u", "u"))
-            covered = covered.join(of("c"), "c", "left").withColumn("class_c", F.coalesce("class_c", "c"))
-            near = fringe.join(covered, "bucket").where((F.col("class_u") != F.col("class_c")) & (F.col("d_c") + far + 1e-9 >= F.col("d_u")))
-            doubtful.append(near.select(F.least("u", "c").alias("a"), F.greatest("u", "c").alias("b")))
+        for judged in rounds:
+            near = judged.join(of("x"), "x", "left").withColumn("class_x", F.coalesce("class_x", "x"))
+            covered = near.where(F.col("d") <= far + 1e-12).select("bucket", "p", F.col("x").alias("c"), F.col("class_x").alias("class_c"), F.col("d").alias("d_c"))
+            fringe = near.where(F.col("d") > far + 1e-12).withColumnRenamed("d", "d_x")
+            apart = fringe.join(covered, ["bucket", "p"]).where((F.col("class_x") != F.col("class_c")) & (F.col("d_c") + far + 1e-9 >= F.col("d_x")))
+            doubtful.append(apart.select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")))
         rest = verified(settle(joined(doubtful).distinct(), "doubtful"), "rest").where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         if not rest.isEmpty():
             classes = settle(components(joined([*links, rest])), "classes")

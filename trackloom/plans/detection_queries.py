@@ -237,3 +237,11 @@ def count_metrics(spark, sf_dir):
 def unmatched_reference(spark, sf_dir):
     gt = observed(detections(spark, sf_dir))
     return gt.join(gt.where("det % 7 <> 0").select("frame", "det"), ["frame", "det"], "left_anti").select("frame", "det", F.lit("reference_miss").alias("root_cause"))
+
+
+@query("associate_tracks")
+def associate_tracks(spark, sf_dir):
+    """Track numbers for the boxes of each video by Kalman prediction and two-stage assignment."""
+    from ..operators.trackers import associate
+
+    return associate(observed(detections(spark, sf_dir)))

@@ -177,3 +177,12 @@ def motion_state(spark, sf_dir):
 @query("oscillation")
 def oscillation(spark, sf_dir):
     return rounded(matching.oscillation(track_rows(spark, sf_dir), "x"))
+
+
+@query("gate_crossings")
+def gate_crossings(spark, sf_dir):
+    """Confirmed crossings of a segment by every track; event minutes are the frames."""
+    from ..streaming.gate import Gate, gate_crossings
+
+    obs = track_rows(spark, sf_dir).select("track_id", "frame", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(1000.0).alias("body")).dropDuplicates(["track_id", "frame"])
+    return gate_crossings(obs, Gate(0, 50, 100, 50, fps=1.0, confirm_seconds=1, max_gap_seconds=5000, cooldown_seconds=0))

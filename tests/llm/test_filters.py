@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from trackloom.llm import decontamination, graph, language_id, pii, url_filter
@@ -147,7 +148,7 @@ def test_language(spark):
 
 
 def test_backoff_prefers_longer_grams():
-    floor = [-9.0, -9.0]
-    model = language_id.Model(["a", "b"], {"known": [-1.0, -5.0]}, [{}, {"x": [-3.0, -2.0]}, {"xy": [-1.0, -4.0]}, {}, {}, {}], floor)
+    rows = np.array([[-1.0, -5.0], [-3.0, -2.0], [-1.0, -4.0], [-9.0, -9.0]])
+    model = language_id.Model(["a", "b"], {"known": 0}, {"x": 1, "xy": 2}, rows)
     assert model.predict("known")[0] == "a" and model.predict("xx")[0] == "b" and model.predict("xy")[0] == "a"
-    assert model.backoff("zz") == tuple(floor)
+    assert model.backoff("xyx") == [2, 1] and model.backoff("zz") == [3] and model.predict("zz") == ("a", 0.5)

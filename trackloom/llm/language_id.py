@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import settle, slices
 
 #: A word: letters and marks that are not digits or underscores.
 _WORD = re.compile(r"[^\W\d_]+")
@@ -26,38 +26,40 @@ LONGEST = 5
 
 
 class Model:
-    """Bounded tables: word -> log frequency per language, n-gram -> the same for each length."""
-
-    def __init__(self, languages: list[str], words: dict[str, list[float]], grams: list[dict[str, list[float]]], floor: list[float]):
-        self.languages, self.words, self.grams, self.floor = languages, words, grams, floor
-        self.unseen: dict[str, tuple[float, ...]] = {}
-
-    def backoff(self, word: str) -> tuple[float, ...]:
-        """Mean over the word's characters of the best-known n-gram that starts there."""
-        if len(self.unseen) > 200_000:
-            self.unseen.clear()
-        if (got := self.unseen.get(word)) is None:
-            text, sums = f"^{word}$", [0.0] * len(self.languages)
-            count = 0
-            for at in range(len(text)):
-                for n in range(min(LONGEST, len(text) - at), 0, -1):
-                    if (row := self.grams[n].get(text[at : at + n])) is not None:
-                        sums = [a + b for a, b in zip(sums, row, strict=True)]
-                        count += 1
-                        break
-            got = self.unseen[word] = tuple(x / count for x in sums) if count else tuple(self.floor)
-        return got
+    """Bounded tables: each known word and n-gram has a row of log frequencies, one per language; the last row is for what nothing fits."""
+
+    def __init__(self, languages: list[str], words: dict[str, int], grams: dict[str, int], rows: np.ndarray):
+        self.languages, self.words, self.grams, self.rows = languages, words, grams, rows
+        self.unseen: dict[str, list[int]] = {}
+
+    def backoff(self, word: str) -> list[int]:
+        """For each character of the framed word the row of the longest known n-gram that starts there."""
+        text, grams, out = f"^{word}$", self.grams, []
+        for at in range(len(text)):
+            for end in range(min(at + LONGEST, len(text)), at, -1):
+                if (row := grams.get(text[at:end])) is not None:
+                    out.append(row)
+                    break
+        return out or [len(self.rows) - 1]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(_WORD.findall((text or "").lower()))
         if not counts or not self.languages:
             return UNDETERMINED, 0.0
-        known, rows, weight = self.words, [], []
+        if len(self.unseen) > 200_000:
+            self.unseen.clear()
+        known, unseen, rows, weights = self.words, self.unseen, [], []
         for word, n in counts.items():
-            row = known.get(word)
-            rows.append(row if row is not None else self.backoff(word))
-            weight.append(n)
-        total = np.asarray(weight, float) @ np.asarray(rows, float)
+            if (row := known.get(word)) is not None:
+                rows.append(row)
+                weights.append(n)
+                continue
+            # the mean over the pieces of an unknown word
+            if (pieces := unseen.get(word)) is None:
+                pieces = unseen[word] = self.backoff(word)
+            rows += pieces
+            weights += [n / len(pieces)] * len(pieces)
+        total = np.asarray(weights) @ self.rows[rows]
         best = int(total.argmax())  # languages are in order, so that ties go to the first name
         return self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
@@ -72,44 +74,59 @@ def _word_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
 
-def train(labelled: DataFrame, max_docs: int = 20_000, max_words: int = 60_000, max_grams: int = 40_000, max_languages: int = 500) -> Model:
+def train(labelled: DataFrame, max_docs: int = 10_000, max_words: int = 40_000, max_grams: int = 25_000, max_languages: int = 200) -> Model:
     """Fit the tables on rows (text, lang) with a language.
 
-    The fit is on a bounded sample: at most about ``max_docs`` rows, those whose text has the
-    smallest hash, so that it does not depend on partitioning.  The sample's word counts are
-    summed on the cluster; the model keeps the ``max_words`` most frequent words and the
-    ``max_grams`` most frequent n-grams of each length, each counted over all languages, and
-    this bounds what is sent to the workers.
+    The fit is on a bounded sample: about ``max_docs`` rows at most, those whose text has the
+    smallest hash, so that it does not depend on partitioning.  The sample's counts are summed
+    on the cluster; the model keeps at most ``max_words`` words and ``max_grams`` n-grams of
+    each length, the most frequent over all languages (a frequency is kept or left whole), and
+    this bounds what passes the driver and is sent to the workers.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    languages = sorted(r[0] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
+    if len(languages) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    if not languages:
+        return Model([], {}, {}, np.zeros((1, 0)))
     n = rows.count()
     if n > max_docs:
         spread = 1 << 40
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(spread)) < int(spread * max_docs / n))
-    counts = rows.mapInArrow(_word_rows, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # words of a bounded sample, at most a few million short rows; kept on the executors
-    by_word = counts.groupBy("word").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    by_word = by_word.persist()
-    languages = sorted(r[0] for r in counts.select("lang").distinct().limit(max_languages + 1).collect())
-    if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-
-    def table(keyed: DataFrame, most: int) -> tuple[dict[str, list[float]], list[float]]:
-        got = keyed.orderBy(F.desc("n"), "key").limit(most).collect()
-        totals = keyed.agg(F.count("*"), *(F.sum(F.coalesce(F.col("by")[x], F.lit(0))) for x in languages)).first()
-        base = [math.log((totals[i + 1] or 0) + 0.5 * (totals[0] + 1)) for i in range(len(languages))]
-        return {r["key"]: [math.log(r["by"].get(x, 0) + 0.5) - b for x, b in zip(languages, base, strict=True)] for r in got}, [math.log(0.5) - b for b in base]
-
-    words, floor = table(by_word.select(F.col("word").alias("key"), "n", "by"), max_words)
-    grams: list[dict[str, list[float]]] = [{}]
-    framed = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    entries = by_word.select(framed.alias("word"), F.explode("by").alias("lang", "n"))
-    for k in range(1, LONGEST + 1):
-        pieces = entries.where(F.length("word") >= k).select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - (k - 1)), lambda i, k=k: F.col("word").substr(i, F.lit(k)))).alias("key"))
-        per = pieces.groupBy("key", "lang").agg(F.sum("n").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        grams.append(table(per, max_grams)[0])
-    by_word.unpersist()
-    return Model(languages, words, grams, floor)
+    each = [f"c{i}" for i in range(len(languages))]
+    counts = rows.mapInArrow(_word_rows, "lang string, word string, n long")
+    by_word = settle(counts.groupBy(F.col("word").alias("key")).agg(*(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(c) for x, c in zip(languages, each, strict=True))), "words")
+    framed, lengths = F.concat(F.lit("^"), F.col("key"), F.lit("$")), range(1, LONGEST + 1)
+    cut = lambda k: F.when(F.length("word") >= k, F.transform(F.sequence(F.lit(1), F.length("word") - (k - 1)), lambda i: F.substring(F.col("word"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    pieces = by_word.select(framed.alias("word"), *each).select(F.explode(F.concat(*(cut(k) for k in lengths))).alias("key"), *each)
+    grams = settle(pieces.groupBy("key").agg(*(F.sum(c).alias(c) for c in each)), "grams")
+
+    index: list[dict[str, int]] = [{}, {}]
+    tables: list[np.ndarray] = []
+    floor = None
+    for table, kind, most in ((by_word, F.lit(0), max_words), (grams, F.length("key"), max_grams)):
+        sized = table.select("key", *each, kind.alias("kind"), sum((F.col(c) for c in each), F.lit(0)).alias("n"))
+        # how many keys have which frequency: at most a few thousand rows for a bounded sample
+        histogram: dict[int, list[tuple[int, int]]] = {}
+        for r in sized.groupBy("kind", "n").count().collect():
+            histogram.setdefault(r["kind"], []).append((r["n"], r["count"]))
+        totals = {r["kind"]: r for r in sized.groupBy("kind").agg(F.count("*").alias("keys"), *(F.sum(c).alias(c) for c in each)).collect()}
+        for k, levels in sorted(histogram.items()):
+            least, room = None, most
+            for level, keys in sorted(levels, reverse=True):
+                if keys > room:
+                    break
+                least, room = level, room - keys
+            if least is None:
+                continue
+            got = sized.where((F.col("kind") == k) & (F.col("n") >= least)).select("key", *each).toArrow()
+            base = np.log([totals[k][c] + 0.5 * (totals[k]["keys"] + 1) for c in each])
+            start = sum(map(len, tables))
+            tables.append(np.log(np.stack([got.column(c).to_numpy() for c in each], axis=1) + 0.5) - base)
+            index[k > 0].update((x, start + i) for i, x in enumerate(got.column("key").to_pylist()))
+            floor = math.log(0.5) - base if floor is None or k == 1 else floor
+    tables.append(np.zeros((1, len(languages))) if floor is None else floor[None, :])
+    return Model(languages, index[0], index[1], np.concatenate(tables))
 
 
 def _predict(shared):

@@ -76,39 +76,25 @@ def from_png(data: bytes) -> bytes:
     return rows[:, 1:].tobytes()
 
 
-def _encode(level: int):
-    def run(batches):
-        seen: set[bytes] = set()  # 16 bytes for each different text of this partition
-        for whole in batches:
-            for batch in slices(whole, 256):
-                digests, media = [], []
-                for text in batch.column(0).to_pylist():
-                    payload = payload_of(text)
-                    key = hashlib.sha256(payload)
-                    if key.digest()[:16] not in seen:
-                        seen.add(key.digest()[:16])
-                        digests.append(key.hexdigest())
-                        media.append(to_png(payload, level))
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
-
-    return run
-
-
-def _write(folder: str):
+def _write(folder: str, level: int):
     def run(batches):
         from pyarrow import fs
 
-        shard, seen, rows = TaskContext.get().partitionId(), set(), []
+        shard, rows = TaskContext.get().partitionId(), []
+        seen: set[bytes] = set()  # 16 bytes for each different text of this partition
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         name = f"{root}/media-{shard:06d}-{uuid.uuid4().hex}.tar"
         out, at = None, 0
         for whole in batches:
             for batch in slices(whole, 256):
-                for digest, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if digest[:32] in seen:
+                for text in batch.column(0).to_pylist():
+                    payload = payload_of(text)
+                    key = hashlib.sha256(payload)
+                    if key.digest()[:16] in seen:
                         continue
-                    seen.add(digest[:32])
+                    seen.add(key.digest()[:16])
+                    media, digest = to_png(payload, level), key.hexdigest()
                     out = out or store.open_output_stream(name)
                     info = tarfile.TarInfo(f"{digest[:2]}/{digest}.png")
                     info.size = len(media)
@@ -116,11 +102,12 @@ def _write(folder: str):
                     out.write(head + media + b"\0" * (-len(media) % 512))
                     rows.append((digest, shard, name, at + len(head), len(media)))
                     at += len(head) + len(media) + -len(media) % 512
+                kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in ENTRIES.split(", ")])
+                rows = []
         if out is not None:
             out.write(b"\0" * 1024)
-            out.close()  # the rows are the commit: shards of lost attempts are never named
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in ENTRIES.split(", ")])
+            out.close()  # the written rows are the commit: shards of lost attempts are never named
 
     return run
 
@@ -151,15 +138,17 @@ def _read(folder: str):
 
 
 def store_media(docs: DataFrame, level: int = 6, folder: str | None = None) -> tuple[DataFrame, str]:
-    """Store every different payload of ``docs`` (text) once.  Returns the entries (digest, shard, path, offset, length) and the folder.
+    """Store the payloads of ``docs`` (text).  Returns one entry for each different payload (digest, shard, path, offset, length) and the folder.
 
-    Each partition sends a payload at most once, so that a group of copies does not gather in
-    one task.  Shards are written anew by every attempt; only the entries name the good ones.
+    Payloads never move: each partition of the scan writes its own shard, a payload at most
+    once, and only the narrow entries are shuffled.  Of a payload that several partitions hold
+    the entry in the first shard counts; the others, at most one for each shard, are not
+    referred to.  Shards are written anew by every attempt; only the entries name the good ones.
     """
     folder = folder or work_dir(docs.sparkSession, "media")
-    encoded = docs.select(F.col("text").cast("string")).mapInArrow(_encode(level), "digest string, media binary")
-    entries = encoded.repartition("digest").mapInArrow(_write(folder), ENTRIES)
-    return settle(entries, "entries"), folder
+    written = settle(docs.select(F.col("text").cast("string")).mapInArrow(_write(folder, level), ENTRIES), "entries")
+    first = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "path")).alias("e"))
+    return settle(first.select("digest", "e.shard", "e.path", "e.offset", "e.length"), "first"), folder
 
 
 def read_media(entries: DataFrame, folder: str) -> DataFrame:

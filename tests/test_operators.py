@@ -168,3 +168,15 @@ def test_exports_round_trip(spark, tmp_path):
     assert [round(back[c], 6) for c in ("x1", "y1", "x2", "y2")] == [10, 20, 30, 60]
     with pytest.raises(Exception, match="(?i)exist"):
         sink_rows.write_partitioned(sink_rows.mot(dets).select("video", "line"), str(tmp_path / "mot"), "video")
+
+
+def test_linked_groups_and_splits(spark):
+    from trackloom.operators import graph
+
+    chain = [(k, f"k{j}") for k in range(40) for j in (k, k + 1)]
+    rows = spark.createDataFrame([*chain, *((100 + k, "hub") for k in range(5)), (200, None), (201, "own")], "sample long, key string")
+    groups = graph.linked_groups(rows, "sample", "key")
+    got = {r["sample"]: r["group_id"] for r in groups.collect()}
+    assert {got[k] for k in range(40)} == {0} and {got[100 + k] for k in range(5)} == {100} and (got[200], got[201]) == (200, 201)
+    split = graph.split_groups(groups, "sample", {"train": 0.7, "test": 0.3}).collect()
+    assert len(split) == 47 and len({(r["group_id"], r["split"]) for r in split}) == 4 and {r["split"] for r in split if r["group_id"] == 0} == {"train"}

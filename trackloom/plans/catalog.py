@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection_queries, record_queries, track_queries  # noqa: F401  they register themselves
+from . import detection_queries, label_queries, record_queries, track_queries  # noqa: F401  they register themselves
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

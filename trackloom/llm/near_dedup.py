@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import OrderedDict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from .shared import settle, slices
 
 _WORDS = re.compile(r"\w+")
 _U = np.uint64
-#: Pivots of a bucket in each round after the first.
+#: Most pivots of a bucket in a round.
 PIVOTS = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 
@@ -160,8 +161,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     a class unless the whole class has none (class_id is null then).  An empty table gives no
     row; other columns are ignored.  ``n_copies`` counts the rows with the very same text.
 
-    No bucket is expanded into its pairs.  In each bucket a pivot is compared with all others
-    (in later rounds up to ``PIVOTS`` of them are); what no pivot covers goes on to the next
+    No bucket is expanded into its pairs.  In each bucket a pivot, its most central text, is
+    compared with all others (in later rounds up to ``PIVOTS`` of them are); what no pivot covers goes on to the next
     round.  Distance is a metric: a text c that pivot p covers can only be linked with a text u
     where d(p,u) <= d(p,c) + the threshold distance.  Such pairs are checked too, where their
     texts are not in one class by then.  Multisets whose sizes alone put them too far apart
@@ -174,8 +175,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
 
     # a key comes at most once from each partition of the scan
     entries = signed.where("bands is not null").select("key", "size", F.explode("bands").alias("bucket")).distinct()
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    left = settle(entries.join(shared, "bucket", "left_semi"), "members")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared_entries = entries.join(shared, "bucket")
+    # a text near the middle of a group is in more and larger buckets than one at its edge
+    central = shared_entries.groupBy("key").agg(F.sum("n").alias("rank"))
+    left = settle(shared_entries.drop("n").join(central, "key").select("bucket", "key", "size", "rank"), "members")
     texts = settle(signed.where("text is not null").select("key", "text").join(left.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -185,43 +189,69 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         return settle(both.mapInArrow(_verify(size), "a binary, b binary, similarity double"), name)
 
     far = 1 - threshold
-    links: list[DataFrame] = []
+    classes: DataFrame | None = None
     rounds: list[DataFrame] = []
+
+    def grown(links: DataFrame) -> DataFrame:
+        """The classes after more links: the classes so far are stars, to which the links are added."""
+        edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        return settle(components(edges if classes is None else edges.unionByName(classes.select(F.col("node").alias("src"), F.col("class").alias("dst")))), "classes")
+
+    def with_class(df: DataFrame, c: str) -> DataFrame:
+        return df.join(classes.select(F.col("node").alias(c), F.col("class").alias(f"class_{c}")), c, "left").withColumn(f"class_{c}", F.coalesce(f"class_{c}", c))
+
+    fresh: list[DataFrame] = []
     while not left.isEmpty():
-        # one pivot first, which settles groups of copies; then one for each of PIVOTS hash slots
-        slot = F.pmod(F.xxhash64("key", F.lit(len(rounds))), F.lit(PIVOTS)) if rounds else F.lit(0)
-        pivots = left.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("key", "size")).alias("p")).select("bucket", F.col("p.key").alias("p"), F.col("p.size").alias("p_size"))
-        starred = settle(left.join(pivots, "bucket").where("key <> p").select("bucket", "p", F.col("key").alias("x"), (F.least("size", "p_size") / F.greatest("size", "p_size")).alias("most")), "starred")
-        near = starred.where(F.col("most") >= 1 - 2 * far - 1e-9)
+        # the most central text first, which settles groups of copies; later one for each of some
+        # hash slots, of those that are not in the class of the first, and only against other classes
+        slot = F.pmod(F.xxhash64("key", F.lit(len(rounds))), F.lit(min(PIVOTS, 4 ** len(rounds))))
+        free = left.where("class <> home") if rounds else left.withColumn("class", F.col("key"))
+        chosen = free.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("rank", "key", "size", "class")).alias("p"))
+        pivots = chosen.select("bucket", F.col("p.key").alias("p"), F.col("p.size").alias("p_size"), F.col("p.class").alias("p_class"))
+        most = F.least("size", "p_size") / F.greatest("size", "p_size")
+        apart = F.col("class") != F.col("p_class") if rounds else F.col("key") != F.col("p")
+        near = settle(left.join(pivots, "bucket").where(apart & (most >= 1 - 2 * far - 1e-9)).select("bucket", "p", F.col("key").alias("x")), "near")
         similar = verified(near.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct(), "similar")
-        links.append(similar.where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        fresh.append(similar.where(F.col("similarity") >= threshold))
         judged = settle(near.withColumns({"a": F.least("p", "x"), "b": F.greatest("p", "x")}).join(similar, ["a", "b"]).select("bucket", "p", "x", (1 - F.col("similarity")).alias("d")).where(F.col("d") <= 2 * far + 1e-9), "judged")
         rounds.append(judged)
         done = pivots.select("bucket", F.col("p").alias("key")).unionByName(judged.where(F.col("d") <= far + 1e-12).select("bucket", F.col("x").alias("key"))).distinct()
         left = left.join(done, ["bucket", "key"], "left_anti")
-        alone = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        left = settle(left.join(alone, "bucket", "left_semi"), "left")
-
-    def joined(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out
-
-    if links:
-        classes = settle(components(joined(links)), "classes")
-        of = lambda c: classes.select(F.col("node").alias(c), F.col("class").alias(f"class_{c}"))
-        # texts of one bucket that may be linked although their pivot did not link them
-        doubtful = []
-        for judged in rounds:
-            near = judged.join(of("x"), "x", "left").withColumn("class_x", F.coalesce("class_x", "x"))
-            covered = near.where(F.col("d") <= far + 1e-12).select("bucket", "p", F.col("x").alias("c"), F.col("class_x").alias("class_c"), F.col("d").alias("d_c"))
-            fringe = near.where(F.col("d") > far + 1e-12).withColumnRenamed("d", "d_x")
-            apart = fringe.join(covered, ["bucket", "p"]).where((F.col("class_x") != F.col("class_c")) & (F.col("d_c") + far + 1e-9 >= F.col("d_x")))
-            doubtful.append(apart.select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")))
-        rest = verified(settle(joined(doubtful).distinct(), "doubtful"), "rest").where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        if not rest.isEmpty():
-            classes = settle(components(joined([*links, rest])), "classes")
+        if len(rounds) == 1:
+            classes, fresh = grown(fresh[0]), []
+            homes = with_class(pivots.select("bucket", F.col("p").alias("key")), "key").select("bucket", F.col("class_key").alias("home"))
+            left = with_class(left, "key").withColumnRenamed("class_key", "class").join(homes, "bucket")
+        # pairs are left only where a text outside the first class is
+        open_ = left.groupBy("bucket").agg(F.count("*").alias("n"), F.max((F.col("class") != F.col("home")).cast("int")).alias("other")).where("n > 1 and other = 1").select("bucket")
+        left = settle(left.join(open_, "bucket", "left_semi"), "left")
+
+    if rounds:
+        for links in fresh:
+            classes = grown(links)
+
+        def doubtful(most: int | None) -> DataFrame:
+            """Texts of one bucket that may be linked although their pivot did not link them and no class has them both.
+
+            Where ``most`` is given, only so many partners of each class: a first try, after
+            which most of such texts are in one class and the rest is few.
+            """
+            found = []
+            for judged in rounds:
+                fringe = with_class(judged.where(F.col("d") > far + 1e-12), "x").withColumnRenamed("d", "d_x")
+                covered = judged.where(F.col("d") <= far + 1e-12).select("bucket", "p", F.col("x").alias("c"), F.col("d").alias("d_c"))
+                covered = with_class(covered.join(fringe.select("bucket", "p").distinct(), ["bucket", "p"], "left_semi"), "c")
+                if most:
+                    slot = F.pmod(F.xxhash64("c"), F.lit(most))
+                    best = covered.groupBy("bucket", "p", "class_c", slot.alias("slot")).agg(F.max(F.struct("d_c", "c")).alias("b"))
+                    covered = best.select("bucket", "p", F.col("b.c").alias("c"), "class_c", F.col("b.d_c").alias("d_c"))
+                apart = fringe.join(covered, ["bucket", "p"]).where((F.col("class_x") != F.col("class_c")) & (F.col("d_c") + far + 1e-9 >= F.col("d_x")))
+                found.append(apart.select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")))
+            return reduce(DataFrame.unionByName, found).distinct()
+
+        for most in (4, None):
+            rest = verified(settle(doubtful(most), "doubtful"), "rest").where(F.col("similarity") >= threshold)
+            if not rest.isEmpty():
+                classes = grown(rest)
         grouped = nodes.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("class", "key"))
         names = grouped.groupBy("class").agg(F.min("rep").alias("class_id"))
         nodes = grouped.join(names, "class").select("key", "class_id", "n_copies")

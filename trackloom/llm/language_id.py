@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -74,25 +76,43 @@ def _word_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
 
-def train(labelled: DataFrame, max_docs: int = 10_000, max_words: int = 40_000, max_grams: int = 25_000, max_languages: int = 200) -> Model:
+def _shares(sizes: dict, most: int) -> dict:
+    """``most`` dealt out in equal shares; what the smaller sizes leave unused goes to the larger ones."""
+    out, left = {}, most
+    for k, (x, size) in enumerate(sorted(sizes.items(), key=lambda kv: (kv[1], kv[0]))):
+        out[x] = min(size, left // (len(sizes) - k))
+        left -= out[x]
+    return out
+
+
+def _sample(rows: DataFrame, most: int, sizes: dict[str, int]) -> DataFrame:
+    """About ``most`` distinct texts, in equal shares per language: those with the smallest hashes; a language with fewer texts than its share stays whole."""
+    spread = 1 << 40
+    shares = _shares(sizes, most)
+    cuts = [(x, spread if shares[x] == n else max(1, int(spread * shares[x] / n))) for x, n in sizes.items()]
+    cuts = rows.sparkSession.createDataFrame(cuts, "lang string, cut long")
+    kept = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(cuts), "lang").where(F.pmod("h", F.lit(spread)) < F.col("cut"))
+    return kept.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def train(labelled: DataFrame, max_docs: int = 20_000, max_words: int = 60_000, max_grams: int = 40_000, max_languages: int = 500) -> Model:
     """Fit the tables on rows (text, lang) with a language.
 
-    The fit is on a bounded sample: about ``max_docs`` rows at most, those whose text has the
-    smallest hash, so that it does not depend on partitioning.  The sample's counts are summed
-    on the cluster; the model keeps at most ``max_words`` words and ``max_grams`` n-grams of
-    each length, the most frequent over all languages (a frequency is kept or left whole), and
-    this bounds what passes the driver and is sent to the workers.
+    The fit is on a bounded sample: about ``max_docs`` distinct texts at most, dealt out evenly
+    over the languages, so that a rare language keeps its texts however large the corpus.
+    Texts are taken by hash, which does not depend on partitioning.  The sample's counts are
+    summed on the cluster; the model keeps at most ``max_words`` words and ``max_grams``
+    n-grams of each length, for each language its most frequent ones (a frequency is kept or
+    left whole), and this bounds what passes the driver and is sent to the workers.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    languages = sorted(r[0] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
+    sizes = {r["lang"]: r["count"] for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count().limit(max_languages + 1).collect()}
+    languages = sorted(sizes)
     if len(languages) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not languages:
         return Model([], {}, {}, np.zeros((1, 0)))
-    n = rows.count()
-    if n > max_docs:
-        spread = 1 << 40
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(spread)) < int(spread * max_docs / n))
+    rows = _sample(rows, max_docs, sizes)
     each = [f"c{i}" for i in range(len(languages))]
     counts = rows.mapInArrow(_word_rows, "lang string, word string, n long")
     by_word = settle(counts.groupBy(F.col("word").alias("key")).agg(*(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(c) for x, c in zip(languages, each, strict=True))), "words")
@@ -105,21 +125,24 @@ def train(labelled: DataFrame, max_docs: int = 10_000, max_words: int = 40_000,
     tables: list[np.ndarray] = []
     floor = None
     for table, kind, most in ((by_word, F.lit(0), max_words), (grams, F.length("key"), max_grams)):
-        sized = table.select("key", *each, kind.alias("kind"), sum((F.col(c) for c in each), F.lit(0)).alias("n"))
-        # how many keys have which frequency: at most a few thousand rows for a bounded sample
-        histogram: dict[int, list[tuple[int, int]]] = {}
-        for r in sized.groupBy("kind", "n").count().collect():
-            histogram.setdefault(r["kind"], []).append((r["n"], r["count"]))
+        sized = table.select("key", *each, kind.alias("kind"))
+        # how many keys of a language have which frequency: at most a few thousand rows for a bounded sample
+        histogram: dict[int, dict[str, list[tuple[int, int]]]] = {}
+        long = sized.select("kind", F.posexplode(F.array(*each)).alias("i", "n")).where("n > 0")
+        for r in long.groupBy("kind", "i", "n").count().collect():
+            histogram.setdefault(r["kind"], {}).setdefault(each[r["i"]], []).append((r["n"], r["count"]))
         totals = {r["kind"]: r for r in sized.groupBy("kind").agg(F.count("*").alias("keys"), *(F.sum(c).alias(c) for c in each)).collect()}
         for k, levels in sorted(histogram.items()):
-            least, room = None, most
-            for level, keys in sorted(levels, reverse=True):
-                if keys > room:
-                    break
-                least, room = level, room - keys
-            if least is None:
+            least = {}
+            for c, room in _shares({c: sum(keys for _, keys in own) for c, own in levels.items()}, most).items():
+                for level, keys in sorted(levels[c], reverse=True):
+                    if keys > room:
+                        break
+                    least[c], room = level, room - keys
+            if not least:
                 continue
-            got = sized.where((F.col("kind") == k) & (F.col("n") >= least)).select("key", *each).toArrow()
+            frequent = reduce(or_, (F.col(c) >= n for c, n in sorted(least.items())))
+            got = sized.where((F.col("kind") == k) & frequent).select("key", *each).toArrow()
             base = np.log([totals[k][c] + 0.5 * (totals[k]["keys"] + 1) for c in each])
             start = sum(map(len, tables))
             tables.append(np.log(np.stack([got.column(c).to_numpy() for c in each], axis=1) + 0.5) - base)

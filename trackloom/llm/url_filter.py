@@ -36,13 +36,42 @@ def node_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host_of(url), rest))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with ``/`` with its ``.`` and ``..`` segments taken out."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/", -1)
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(parts, start, lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(x))))
+    closing = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), closing)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """A link's target as an absolute URL: ``&amp;`` unescaped, relative and scheme-relative targets taken against the page's url.
+
+    Null for an empty target, one of a scheme without ``://`` (mailto:), and a relative one on a page whose url has no ``://``.
+    """
+    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    scheme = F.regexp_extract(url, r"^((?s:.*?)://)", 1)
+    site = F.regexp_extract(url, r"^((?s:.*?)://[^/?#]*)", 1)
+    folder = F.regexp_extract(path_of(url), r"^((?s:.*)/)", 1)
+    name = F.regexp_extract(target, r"^([^?#]*)", 1)
+    rest = F.regexp_extract(target, r"^[^?#]*((?s:.*))", 1)
+    full = F.when(name == "", F.concat(path_of(url), rest)).when(name.startswith("/"), F.concat(_without_dots(name), rest))
+    full = full.otherwise(F.concat(_without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), name)), rest))
+    relative = F.when(target.startswith("//"), F.concat(scheme, F.substring(target, 3, 1 << 30))).otherwise(F.concat(site, full))
+    own = target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    return F.when(own & target.contains("://"), target).when(~own & (target != "") & url.contains("://"), relative)
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """Edges (src, dst) that pages state: absolute canonical links and meta refreshes in their html."""
-    html = F.col("html").cast("string")
+    """Edges (src, dst) that pages state: canonical links and meta refreshes in their html, relative ones taken against the page's url."""
+    html, url = F.col("html").cast("string"), F.col("url").cast("string")
     canonical = F.regexp_extract(F.regexp_extract(html, r"(?i)<link\b[^>]*\brel=[\"']?canonical\b[^>]*>", 0), r"(?i)\bhref=[\"']?([^\"' >]+)", 1)
     refresh = F.regexp_extract(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv=[\"']?refresh\b[^>]*>", 0), r"(?i)\burl=[\"']?([^\"' >]+)", 1)
-    found = pages.where(html.contains("canonical") | F.lower(html).contains("refresh")).select(node_of(F.col("url")).alias("src"), F.explode(F.array(canonical, refresh)).alias("to"))
-    return found.select("src", node_of(F.col("to")).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
+    lower = F.lower(html)
+    found = pages.where(lower.contains("canonical") | lower.contains("refresh")).select(url.alias("url"), F.explode(F.array(canonical, refresh)).alias("to"))
+    edges = found.select(node_of(F.col("url")).alias("src"), node_of(resolved(F.col("to"), F.col("url"))).alias("dst"))
+    return edges.where("src is not null and dst is not null and src <> dst").distinct()
 
 
 def rule_matches(places: DataFrame, rules: DataFrame) -> DataFrame:

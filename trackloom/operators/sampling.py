@@ -129,31 +129,35 @@ def raking_weights(rows: DataFrame, axes: list[str], targets: dict[str, dict[str
     return rows.join(F.broadcast(found), axes) if found is not None else rows.withColumn("weight", F.lit(1.0))
 
 
-def representative(rows: DataFrame, group: str, k: int, features: list[str], value: str, key: str) -> DataFrame:
+def representative(rows: DataFrame, group: str, k: int, features: str, value: str, key: str) -> DataFrame:
     """Greedy choice of ``k`` rows a group: value plus distance from what is chosen (at most 10), on standardised features.
 
-    A group of at most ``k`` rows is returned as it is.  A group is one review queue; what
-    enters is bounded first by the callers' candidate rules.
+    ``features`` is an array column, ``key`` is unique in a group and decides ties, the least
+    first.  Of a group of at most ``k`` rows all are taken, in the order of the key.  Each of
+    the ``k`` rounds is a distributed arg-max; what is chosen is broadcast to the next one, so
+    that a group may be of any size.
     """
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key)
-        if len(rows) <= k:
-            return rows.assign(rank=range(1, len(rows) + 1))[[group, key, "rank"]]
-        x = rows[features].to_numpy(float)
-        x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-9)
-        worth = rows[value].to_numpy(float)
-        chosen = [int(np.argmax(worth - 0.01 * np.linalg.norm(x, axis=1)))]
-        far = np.linalg.norm(x - x[chosen[0]], axis=1)
-        while len(chosen) < k:
-            score = worth + np.minimum(far, 10)
-            score[chosen] = -np.inf
-            chosen.append(int(np.argmax(score)))
-            far = np.minimum(far, np.linalg.norm(x - x[chosen[-1]], axis=1))
-        return rows.iloc[chosen].assign(rank=range(1, k + 1))[[group, key, "rank"]]
-
-    kind = dict(rows.dtypes)
-    return rows.select(group, key, value, *features).groupBy(group).applyInPandas(pick, f"{group} {kind[group]}, {key} {kind[key]}, rank long")
+    rows = rows.select(group, key, F.col(value).cast("double").alias("worth"), F.col(features).cast("array<double>").alias("x"))
+    each = rows.select(group, F.posexplode("x").alias("i", "v")).groupBy(group, "i").agg(F.avg("v").alias("m"), F.greatest(F.stddev_pop("v"), F.lit(1e-9)).alias("s"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda r: r[c])
+    stats = each.groupBy(group).agg(in_order("m").alias("m"), in_order("s").alias("s")).withColumnRenamed(group, "_g")
+    sizes = rows.groupBy(F.col(group).alias("_n")).agg(F.count("*").alias("size"))
+    chosen = stats.join(sizes, F.col("_g").eqNullSafe(F.col("_n"))).select("_g", "m", "s", "size", F.array().cast(f"array<struct<key:{dict(rows.dtypes)[key]},z:array<double>>>").alias("chosen"))
+    length = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, d: acc + d * d))
+    minus = lambda a, b: F.zip_with(a, b, lambda p, q: p - q)
+    for round_ in range(k):
+        near = rows.join(F.broadcast(chosen), F.col(group).eqNullSafe(F.col("_g")))
+        near = near.withColumn("z", F.zip_with(minus(F.col("x"), F.col("m")), F.col("s"), lambda d, s: d / s))
+        far = F.array_min(F.transform("chosen", lambda c: length(minus(F.col("z"), c["z"])))) if round_ else None
+        score = F.col("worth") + F.least(far, F.lit(10.0)) if round_ else F.col("worth") - 0.01 * length(F.col("z"))
+        taken = F.exists("chosen", lambda c: c["key"] == F.col(key))
+        # the least of the structs is the best row: not yet taken, of the highest score, of the least key
+        best = F.min(F.struct(taken.alias("taken"), F.when(F.col("size") <= k, 0.0).otherwise(-score).alias("score"), F.col(key).alias("key"), F.col("z").alias("z")))
+        found = near.groupBy("_g").agg(best.alias("best"), *(F.first(c).alias(c) for c in ("m", "s", "size", "chosen")))
+        grown = F.concat("chosen", F.array(F.struct(F.col("best.key").alias("key"), F.col("best.z").alias("z"))))
+        chosen = found.select("_g", "m", "s", "size", F.when(F.col("best.taken"), F.col("chosen")).otherwise(grown).alias("chosen"))
+    out = chosen.select(F.col("_g").alias(group), F.posexplode("chosen").alias("rank", "c"))
+    return out.select(group, F.col("c.key").alias(key), (F.col("rank") + 1).cast("long").alias("rank"))
 
 
 def mmd(rows: DataFrame, side: str, features: list[str], sigma: float = 1.0) -> DataFrame:

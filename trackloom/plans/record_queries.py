@@ -223,11 +223,11 @@ def raking_weights(spark, sf_dir):
 @query("representative_topk")
 def representative_topk(spark, sf_dir):
     """Per label the five most valuable and diverse vectors; every label is one review queue."""
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(4)), ((F.col("vec_id") % 89) / 89.0).alias("value"))
-    return sampling.representative(e, "label", 5, [f"f{k}" for k in range(4)], "value", "vec_id")
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", ((F.col("vec_id") % 89) / 89.0).alias("value"))
+    return sampling.representative(e, "label", 5, "embedding", "value", "vec_id")
 
 
 @query("mmd")
 def mmd(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select((F.col("label") < 5).alias("side"), *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(8)))
-    return rounded(sampling.mmd(e, "side", [f"f{k}" for k in range(8)]))
+    e = table(spark, sf_dir, "embeddings").select((F.col("label") < 5).alias("side"), *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(64)))
+    return rounded(sampling.mmd(e, "side", [f"f{k}" for k in range(64)]))

@@ -51,3 +51,13 @@ def test_mmd_sees_all_components(spark, tiny, tmp_path):
     moved = spark.range(200).select((F.col("id") % 10).cast("int").alias("label"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.when((k == 64) & (F.col("id") % 10 < 5), 3.0).otherwise(0.0)).alias("embedding"))
     moved.write.parquet(f"{tmp_path}/embeddings.parquet")
     assert record_queries.mmd(spark, str(tmp_path)).first()["mmd"] > 1
+
+
+def test_raking_over_many_domains_and_null(spark, tmp_path):
+    n = 700
+    spark.range(n * 10).select(F.col("id").alias("doc_id"), F.when(F.floor(F.col("id") / 10) % 70 == 0, None).otherwise(F.format_string("l%03d", (F.floor(F.col("id") / 10) % 70).cast("int"))).alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = record_queries.raking_weights(spark, str(tmp_path))
+    assert got.count() == n * 10
+    mass = got.groupBy(F.floor(F.col("sample_id") / 10) % 70).agg(F.sum("weight").alias("m")).collect()
+    assert len(mass) == 70 and all(r["m"] == pytest.approx(n * 10 / 70, rel=1e-3) for r in mass)

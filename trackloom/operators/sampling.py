@@ -95,38 +95,45 @@ def theil_sen(series: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return a.join(b, key).where("xa < xb").groupBy(key).agg(F.median((F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa"))).alias("slope"), F.count("*").alias("pairs"))
 
 
-def raking_weights(rows: DataFrame, axes: list[str], targets: dict[str, dict[str, float]], cap: float = 4.0, rounds: int = 100) -> DataFrame:
+def raking_weights(rows: DataFrame, axes: list[str], targets: dict[str, dict[str | None, float]], cap: float = 4.0, rounds: int = 100) -> DataFrame:
     """Iterative proportional fitting to marginal targets, with cap, mean 1 and effective size at least half.
 
     Rows of one cell have one weight, so the iteration runs on the table of cells (distinct
-    axis values), which is small and checked; the weights are joined back.
+    axis values), which is small and checked; the weights are joined back.  Null is a value
+    like any other, and ``None`` among the targets is its target.
     """
-    cells = rows.groupBy(*axes).count().limit(100_001).toPandas()
+    cells = rows.groupBy(*axes).count().limit(100_001).collect()
     if len(cells) > 100_000:
         raise ValueError("more than 100000 cells")
-    cells = cells.sort_values(axes).reset_index(drop=True)
-    n = cells["count"].to_numpy(float)
+    cells = sorted(cells, key=lambda r: [(r[x] is not None, "" if r[x] is None else r[x]) for x in axes])
+    n = np.array([r["count"] for r in cells], float)
     w = np.ones(len(cells))
+    codes, masses = {}, {}
     for axis in axes:
+        values = {x: k for k, x in enumerate(dict.fromkeys(r[axis] for r in cells))}
+        codes[axis] = np.array([values[r[axis]] for r in cells], int)
+        masses[axis] = np.full(len(values), np.nan)
         for value, mass in targets[axis].items():
-            if mass > 0 and not (cells[axis] == value).any():
+            if value in values:
+                masses[axis][values[value]] = mass
+            elif mass > 0:
                 raise ValueError(f"{axis}={value} has a target but no rows")
     for _ in range(rounds):
         for axis in axes:
-            total = (w * n).sum()
-            for value, mass in targets[axis].items():
-                here = (cells[axis] == value).to_numpy()
-                got = (w[here] * n[here]).sum() / total
-                if got > 0:
-                    w[here] *= mass / got
+            got = np.bincount(codes[axis], w * n, len(masses[axis])) / max((w * n).sum(), 1e-300)
+            has = ~np.isnan(masses[axis]) & (got > 0)
+            w *= np.where(has, masses[axis] / np.where(has, got, 1), 1)[codes[axis]]
         w = np.minimum(w, cap)
         w *= n.sum() / max((w * n).sum(), 1e-12)
     for _ in range(200):
         if (w * n).sum() ** 2 / max((w * w * n).sum(), 1e-12) >= 0.5 * n.sum() and w.max(initial=0) <= cap:
             break
         w = 0.95 * w + 0.05
-    found = rows.sparkSession.createDataFrame(cells[axes].assign(weight=w)) if len(cells) else None
-    return rows.join(F.broadcast(found), axes) if found is not None else rows.withColumn("weight", F.lit(1.0))
+    kind = dict(rows.dtypes)
+    schema = ", ".join([*(f"_of_{i} {kind[x]}" for i, x in enumerate(axes)), "weight double"])
+    found = rows.sparkSession.createDataFrame([(*(r[x] for x in axes), float(v)) for r, v in zip(cells, w, strict=True)], schema)
+    same = [F.col(x).eqNullSafe(F.col(f"_of_{i}")) for i, x in enumerate(axes)]
+    return rows.join(F.broadcast(found), same).drop(*(f"_of_{i}" for i in range(len(axes))))
 
 
 def representative(rows: DataFrame, group: str, k: int, features: str, value: str, key: str) -> DataFrame:

@@ -27,16 +27,16 @@ def _prepared(turns: DataFrame) -> DataFrame:
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """conv_id and n_turns of the conversations that are a prefix of no other.
 
-    Turns are taken in the order (turn, role, text), nulls first; null roles and texts count
-    as empty; rows without conv_id belong to no conversation and are left out.  Of equal
+    Turns are taken in the order (turn, role, text), nulls first (FORMAT_SQL
+    puts null turns last under DuckDB's default); null roles and texts count as empty; rows without conv_id belong to no conversation and are left out.  Of equal
     conversations the one with the smallest id stays.
     """
     rows = _prepared(turns)
-    order = Window.partitionBy("conv_id").orderBy("turn", "hash_a", "hash_b")
-    # 128 bits of each turn's content; the sort inside a conversation never compares texts
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    # 120 bits of each turn's content
     content = F.sha2(F.to_json(F.struct("role", "text")), 256)
-    turns = rows.select("conv_id", "turn", F.conv(F.substring(content, 1, 15), 16, 10).cast("long").alias("hash_a"), F.conv(F.substring(content, 16, 15), 16, 10).cast("long").alias("hash_b"))
-    placed = turns.withColumn("position", F.row_number().over(order))
+    placed = rows.withColumn("position", F.row_number().over(order))
+    placed = placed.select("conv_id", "position", F.conv(F.substring(content, 1, 15), 16, 10).cast("long").alias("hash_a"), F.conv(F.substring(content, 16, 15), 16, 10).cast("long").alias("hash_b"))
     # positions enter the hashed terms, so that the running xor is a hash of the sequence
     for x, y in (("hash_a", "hash_b"), ("hash_b", "hash_a")):
         placed = placed.withColumn(f"term_{x}", F.xxhash64("position", x, y))
@@ -60,10 +60,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     gives no row; columns other than conv_id, turn, role and text are ignored.
     """
     kept = maximal_conversations(turns)
-    lines = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn"), F.lit(-(2**63) + 1)).alias("turn"), "hash_a", "hash_b", "role", "text")))
-    content = F.sha2(F.to_json(F.struct("role", "text")), 256)
-    rows = _prepared(turns).withColumns({"hash_a": F.conv(F.substring(content, 1, 15), 16, 10).cast("long"), "hash_b": F.conv(F.substring(content, 16, 15), 16, 10).cast("long")})
-    chats = rows.join(kept, "conv_id").groupBy("conv_id", "n_turns").agg(lines.alias("lines"))
+    lines = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn"), F.lit(-(2**63) + 1)).alias("turn"), "role", "text")))
+    chats = _prepared(turns).join(kept, "conv_id").groupBy("conv_id", "n_turns").agg(lines.alias("lines"))
     text = F.array_join(F.transform("lines", lambda x: F.concat(F.lit(OPEN), x["role"], F.lit(CLOSE), x["text"], F.lit("\n"))), "")
     return chats.select("conv_id", "n_turns", text.alias("chat"))
 

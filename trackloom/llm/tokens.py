@@ -57,14 +57,14 @@ class Encoder:
     * BPE that drops white space: at white space; texts with U+001C to U+001F are encoded whole.
 
     A piece of nothing but Latin letters is one pre-token, which the tokenizer's model takes
-    directly.  Any other tokenizer encodes texts whole.
+    directly.  Texts that hold the content of an added token, and any other tokenizer's texts, are
+    encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -72,6 +72,9 @@ class Encoder:
         parts = [x["type"] for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         plain_spaces = "Replace" in [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.mode = "byte" if kind == "ByteLevel" and spec.get("normalizer") is None else "word" if parts == ["Split", "ByteLevel"] and plain_spaces else "whole"
+        # an added token's text is one id wherever it stands; letter case may be lost in normalising
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE if spec.get("normalizer") else 0)
         self.letters = _byte_letters()
         self.bare, self.spaced = _Pieces(self.piece, ""), _Pieces(self.piece, " ")
         self.newline = self.whole("\n")
@@ -94,6 +97,8 @@ class Encoder:
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
+        if self.added.search(text):
+            return self.whole(text)
         if self.mode == "word" and not self.separators.search(text):
             bare = self.bare
             return b"".join([bare[x] for x in text.split()])

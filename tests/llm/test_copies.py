@@ -119,3 +119,23 @@ def test_media(spark, tmp_path):
             member = tar.getmember(f"{r['digest'][:2]}/{r['digest']}.png")
             assert (member.offset_data, member.size) == (r["offset"], r["length"])
             assert hashlib.sha256(media.from_png(tar.extractfile(member).read())).hexdigest() == r["digest"]
+
+
+def test_groups_with_many_edits(spark):
+    """Groups whose texts lie on both sides of the threshold, families inside a group, and shortened texts."""
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(300)]
+    docs = []
+    for _ in range(3):
+        base = rng.choices(vocabulary, k=90)
+        other = base[:80] + rng.choices(vocabulary, k=10)
+        cuts = [base[:82], base[:78], base[3:85]]
+        for k in range(110):
+            words = list(rng.choice([base, base, other, *cuts]))
+            for _ in range(rng.choice([0, 1, 2, 2, 3, 3, 4])):
+                at = rng.randrange(len(words))
+                words[at : at + rng.choice([0, 1, 1, 1])] = rng.choices(vocabulary[:20], k=rng.choice([0, 1, 1, 1]))
+            docs.append((len(docs), " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = sorted(((r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(frame).collect()), key=str)
+    assert got == classes_by_hand(docs)

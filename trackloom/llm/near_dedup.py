@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 from collections import OrderedDict
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,6 @@ from .shared import settle, slices
 
 _WORDS = re.compile(r"\w+")
 _U = np.uint64
-#: Most pivots of a bucket in a round.
-PIVOTS = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 
 
@@ -124,7 +121,9 @@ def _sign(bands: int, rows: int, size: int):
     return run
 
 
-def _verify(size: int):
+def _compare(size: int, extras: bool):
+    """a, b and the weight that both multisets share; with ``extras`` also what b has beyond a, one value for each unit of weight."""
+
     def run(batches):
         kept: OrderedDict = OrderedDict()
 
@@ -137,13 +136,20 @@ def _verify(size: int):
 
         for whole in batches:
             for batch in slices(whole, 256):
-                got = []
+                both, more = [], []
                 for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "text_a", "text_b")), strict=True):
                     (ha, wa), (hb, wb) = of(a, x), of(b, y)
                     _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-                    both = int(np.minimum(wa[i], wb[j]).sum())
-                    got.append(both / (int(wa.sum()) + int(wb.sum()) - both))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], ["a", "b", "similarity"])
+                    common = np.minimum(wa[i], wb[j])
+                    both.append(int(common.sum()))
+                    if extras:
+                        left = wb.copy()
+                        left[j] -= common
+                        with np.errstate(over="ignore"):
+                            unit = np.arange(int(left.sum())) - np.repeat(np.cumsum(left) - left, left)
+                            more.append((np.repeat(hb, left) + unit.astype(_U) * _ODD[4]).view(np.int64))
+                columns = [batch.column(0), batch.column(1), pa.array(both, pa.int64()), *([pa.array(more, pa.list_(pa.int64()))] if extras else [])]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "both", "extra"][: len(columns)])
 
     return run
 
@@ -161,12 +167,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     a class unless the whole class has none (class_id is null then).  An empty table gives no
     row; other columns are ignored.  ``n_copies`` counts the rows with the very same text.
 
-    No bucket is expanded into its pairs.  In each bucket a pivot, its most central text, is
-    compared with all others (in later rounds up to ``PIVOTS`` of them are); what no pivot covers goes on to the next
-    round.  Distance is a metric: a text c that pivot p covers can only be linked with a text u
-    where d(p,u) <= d(p,c) + the threshold distance.  Such pairs are checked too, where their
-    texts are not in one class by then.  Multisets whose sizes alone put them too far apart
-    for either are not compared.
+    No bucket is expanded into its pairs.  Every text of a bucket is compared with the bucket's
+    pivot, its most central text, and the links found give first classes.  Two texts f and a of
+    different classes that share a pivot p hold at most min(both(f,p), both(a,p)) shingles of p
+    in common; whatever else they share, both have beyond p.  So a link is only possible where
+    that bound alone reaches the threshold, or where the texts share enough of their shingles
+    beyond p: an inverted index over those, which are rare in a group around its pivot, counts
+    them exactly.  Just these pairs are compared, and none that can be linked is left out.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
@@ -174,91 +181,72 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     nodes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
 
     # a key comes at most once from each partition of the scan
-    entries = signed.where("bands is not null").select("key", "size", F.explode("bands").alias("bucket")).distinct()
+    entries = signed.where("bands is not null").dropDuplicates(["key"]).select("key", "size", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared_entries = entries.join(shared, "bucket")
+    shared_entries = settle(entries.join(shared, "bucket"), "shared")
     # a text near the middle of a group is in more and larger buckets than one at its edge
     central = shared_entries.groupBy("key").agg(F.sum("n").alias("rank"))
-    left = settle(shared_entries.drop("n").join(central, "key").select("bucket", "key", "size", "rank"), "members")
-    texts = settle(signed.where("text is not null").select("key", "text").join(left.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")
+    members = settle(shared_entries.drop("n").join(central, "key").select("bucket", "key", "size", "rank"), "members")
+    texts = settle(signed.where("text is not null").select("key", "text").join(central.select("key"), "key", "left_semi").dropDuplicates(["key"]), "texts")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """a, b, similarity of different pairs; the rarely repeated side is joined first, the pivots' side may be skewed."""
+    def compared(pairs: DataFrame, extras: bool, name: str) -> DataFrame:
+        """a, b, both[, extra] of different pairs; the rarely repeated side b is joined first, the pivots' side a may be skewed."""
         with_b = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        both = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        return settle(both.mapInArrow(_verify(size), "a binary, b binary, similarity double"), name)
-
-    far = 1 - threshold
-    classes: DataFrame | None = None
-    rounds: list[DataFrame] = []
-
-    def grown(links: DataFrame) -> DataFrame:
-        """The classes after more links: the classes so far are stars, to which the links are added."""
-        edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        return settle(components(edges if classes is None else edges.unionByName(classes.select(F.col("node").alias("src"), F.col("class").alias("dst")))), "classes")
-
-    def with_class(df: DataFrame, c: str) -> DataFrame:
-        return df.join(classes.select(F.col("node").alias(c), F.col("class").alias(f"class_{c}")), c, "left").withColumn(f"class_{c}", F.coalesce(f"class_{c}", c))
-
-    fresh: list[DataFrame] = []
-    while not left.isEmpty():
-        # the most central text first, which settles groups of copies; later one for each of some
-        # hash slots, of those that are not in the class of the first, and only against other classes
-        slot = F.pmod(F.xxhash64("key", F.lit(len(rounds))), F.lit(min(PIVOTS, 4 ** len(rounds))))
-        free = left.where("class <> home") if rounds else left.withColumn("class", F.col("key"))
-        chosen = free.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("rank", "key", "size", "class")).alias("p"))
-        pivots = chosen.select("bucket", F.col("p.key").alias("p"), F.col("p.size").alias("p_size"), F.col("p.class").alias("p_class"))
-        most = F.least("size", "p_size") / F.greatest("size", "p_size")
-        apart = F.col("class") != F.col("p_class") if rounds else F.col("key") != F.col("p")
-        near = settle(left.join(pivots, "bucket").where(apart & (most >= 1 - 2 * far - 1e-9)).select("bucket", "p", F.col("key").alias("x")), "near")
-        similar = verified(near.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct(), "similar")
-        fresh.append(similar.where(F.col("similarity") >= threshold))
-        judged = settle(near.withColumns({"a": F.least("p", "x"), "b": F.greatest("p", "x")}).join(similar, ["a", "b"]).select("bucket", "p", "x", (1 - F.col("similarity")).alias("d")).where(F.col("d") <= 2 * far + 1e-9), "judged")
-        rounds.append(judged)
-        done = pivots.select("bucket", F.col("p").alias("key")).unionByName(judged.where(F.col("d") <= far + 1e-12).select("bucket", F.col("x").alias("key"))).distinct()
-        left = left.join(done, ["bucket", "key"], "left_anti")
-        if len(rounds) == 1:
-            classes, fresh = grown(fresh[0]), []
-            homes = with_class(pivots.select("bucket", F.col("p").alias("key")), "key").select("bucket", F.col("class_key").alias("home"))
-            left = with_class(left, "key").withColumnRenamed("class_key", "class").join(homes, "bucket")
-        # pairs are left only where a text outside the first class is
-        open_ = left.groupBy("bucket").agg(F.count("*").alias("n"), F.max((F.col("class") != F.col("home")).cast("int")).alias("other")).where("n > 1 and other = 1").select("bucket")
-        left = settle(left.join(open_, "bucket", "left_semi"), "left")
-
-    if rounds:
-        for links in fresh:
-            classes = grown(links)
-
-        def doubtful(most: int | None) -> DataFrame:
-            """Texts of one bucket that may be linked although their pivot did not link them and no class has them both.
-
-            Where ``most`` is given, only so many partners of each class: a first try, after
-            which most of such texts are in one class and the rest is few.
-            """
-            found = []
-            for judged in rounds:
-                fringe = with_class(judged.where(F.col("d") > far + 1e-12), "x").withColumnRenamed("d", "d_x")
-                covered = judged.where(F.col("d") <= far + 1e-12).select("bucket", "p", F.col("x").alias("c"), F.col("d").alias("d_c"))
-                covered = with_class(covered.join(fringe.select("bucket", "p").distinct(), ["bucket", "p"], "left_semi"), "c")
-                if most:
-                    slot = F.pmod(F.xxhash64("c"), F.lit(most))
-                    best = covered.groupBy("bucket", "p", "class_c", slot.alias("slot")).agg(F.max(F.struct("d_c", "c")).alias("b"))
-                    covered = best.select("bucket", "p", F.col("b.c").alias("c"), "class_c", F.col("b.d_c").alias("d_c"))
-                apart = fringe.join(covered, ["bucket", "p"]).where((F.col("class_x") != F.col("class_c")) & (F.col("d_c") + far + 1e-9 >= F.col("d_x")))
-                found.append(apart.select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")))
-            return reduce(DataFrame.unionByName, found).distinct()
-
-        for most in (4, None):
-            rest = verified(settle(doubtful(most), "doubtful"), "rest").where(F.col("similarity") >= threshold)
-            if not rest.isEmpty():
-                classes = grown(rest)
-        grouped = nodes.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("class", "key"))
-        names = grouped.groupBy("class").agg(F.min("rep").alias("class_id"))
-        nodes = grouped.join(names, "class").select("key", "class_id", "n_copies")
-    else:
-        nodes = nodes.select("key", F.col("rep").alias("class_id"), "n_copies")
+        found = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+        return settle(found.mapInArrow(_compare(size, extras), "a binary, b binary, both long" + ", extra array<long>" * extras), name)
+
+    # the shared weight of a link is at least this share of both sizes together; less a hair, so that rounding loses none
+    least = F.lit(threshold / (1 + threshold) - 1e-12)
+    sizes = members.select("key", "size").distinct()
+
+    pivots = members.groupBy("bucket").agg(F.max(F.struct("rank", "key")).alias("p")).select("bucket", F.col("p.key").alias("a"))
+    star = compared(members.join(pivots, "bucket").where("key <> a").select("a", F.col("key").alias("b")).distinct(), False, "star")
+    star = star.join(sizes.select(F.col("key").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("key").alias("b"), "size"), "b")
+    star = settle(star, "sized")
+    linked = lambda df: df.where(F.col("both") >= least * (F.col("size_a") + F.col("size"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    classes = settle(components(linked(star)), "classes")
+
+    # of each pivot the texts around it and their classes, where these are several
+    around = star.join(classes.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("p"), F.col("b").alias("x"), "size", "both", F.coalesce("class", "b").alias("class"))
+    several = around.groupBy("p").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.min("size").alias("smallest")).where("c0 <> c1").select("p", "smallest")
+    open_ = settle(around.join(several, "p"), "open")
+    by_class = open_.groupBy("p", "class").agg(F.count("*").alias("n")).groupBy("p").agg(F.max(F.struct("n", "class")).alias("m")).select("p", F.col("m.class").alias("main"))
+    open_main = open_.join(by_class, "p")
+
+    # pairs that may be linked by shingles of the pivot alone: a is smaller than the pivot then
+    room = F.col("both") / least - F.col("size")  # the largest partner that ``both`` would do for
+    wide = open_main.withColumn("room", room).where("room >= smallest")
+    most = wide.where("class <> main").groupBy("p").agg(F.max("room").alias("most"))
+    f = wide.where("class <> main").select("p", F.col("x").alias("f"), F.col("size").alias("size_f"), F.col("class").alias("class_f"), F.col("room").alias("room_f"))
+    a = wide.join(most, "p").where("size <= most").select("p", F.col("x").alias("g"), F.col("size").alias("size_g"), F.col("class").alias("class_g"), F.col("room").alias("room_g"), "main")
+    once = lambda c: (F.col("class_g") == F.col(c)) | (F.col("f") < F.col("g"))  # noqa: E731  a pair of two outer texts counts from one side
+    narrow = f.join(a, "p").where((F.col("class_f") != F.col("class_g")) & (F.col("size_g") <= F.col("room_f")) & (F.col("size_f") <= F.col("room_g")) & once("main")).select("f", "g")
+
+    # pairs that share shingles beyond the pivot
+    beyond = compared(open_.select(F.col("p").alias("a"), F.col("x").alias("b")), True, "beyond").select(F.col("a").alias("p"), F.col("b").alias("x"), F.explode("extra").alias("s"))
+    beyond = settle(beyond.join(open_.select("p", "x", "size", "both", "class", "smallest"), ["p", "x"]), "extras")
+    held = beyond.groupBy("p", "s", "class").agg(F.count("*").alias("n")).groupBy("p", "s").agg(F.max(F.struct("n", "class")).alias("m"), F.count("*").alias("k")).where("k > 1").select("p", "s", F.col("m.class").alias("usual"))
+    common = beyond.join(held, ["p", "s"])
+    able = common.groupBy("p", "x").agg(F.count("*").alias("n"), F.first("both").alias("both"), F.first("size").alias("size"), F.first("smallest").alias("smallest")).where(F.col("both") + F.col("n") >= least * (F.col("size") + F.col("smallest"))).select("p", "x")
+    common = settle(common.join(able, ["p", "x"], "left_semi"), "common")
+    f = common.where("class <> usual").select("p", "s", F.col("x").alias("f"), F.col("size").alias("size_f"), F.col("both").alias("both_f"), F.col("class").alias("class_f"))
+    a = common.select("p", "s", F.col("x").alias("g"), F.col("size").alias("size_g"), F.col("both").alias("both_g"), F.col("class").alias("class_g"), "usual")
+    met = f.join(a, ["p", "s"]).where((F.col("class_f") != F.col("class_g")) & once("usual"))
+    # a pair may be met from either side: the order is the same for all its shingles
+    met = met.select("p", F.least("f", "g").alias("f"), F.greatest("f", "g").alias("g"), (F.col("size_f") + F.col("size_g")).alias("size"), F.least("both_f", "both_g").alias("both"))
+    enough = met.groupBy("p", "f", "g").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("both").alias("both")).where(F.col("both") + F.col("n") >= least * F.col("size")).select("f", "g")
+
+    doubtful = settle(narrow.select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b")).unionByName(enough.select(F.col("f").alias("a"), F.col("g").alias("b"))).distinct(), "doubtful")
+    rest = compared(doubtful, False, "rest").join(sizes.select(F.col("key").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("key").alias("b"), "size"), "b")
+    late = settle(linked(rest), "late")
+    if not late.isEmpty():
+        classes = settle(components(late.unionByName(classes.select(F.col("node").alias("src"), F.col("class").alias("dst")))), "classes")
+
+    grouped = nodes.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("class", "key"))
+    names = grouped.groupBy("class").agg(F.min("rep").alias("class_id"))
+    named = grouped.join(names, "class").select("key", "class_id", "n_copies")
     # narrow rows: a text that a third of them share is split by the skewed-join rule
-    return signed.select("doc_id", "key").join(nodes, "key").select("doc_id", "class_id", "n_copies")
+    return signed.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "n_copies")
 
 
 def deduplicate(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:

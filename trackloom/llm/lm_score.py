@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontamination import words
-from .near_dedup import _HASHES, _ODD, _U, _mix
+from .near_dedup import _ODD, _U, _mix
 from .shared import settle, slices
 
 CHUNKS = "chunk long, n_tokens long, doc_ids binary, null_ids binary, lengths binary, hashes binary, indices binary"
@@ -30,6 +30,19 @@ TOTALS = "chunk long, ngram int, bucket int, totals binary"
 SCORES = "doc_id long, n_words long, log_score double"
 
 
+class _WordHash(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= 300_000:
+            self.clear()
+        self[word] = got = xxhash.xxh3_64_intdigest(word)
+        return got
+
+
+_HASHES = _WordHash()
+
+
 def planes(x: np.ndarray) -> bytes:
     """Integers byte plane by byte plane, which the shuffle's compression packs well."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
@@ -144,6 +157,31 @@ def _score(order: int, alpha: float, min_count: int, n_tokens: int):
     return run
 
 
+def _table(cells: pa.Table) -> pa.Table:
+    """One bucket's n-grams and their counts as rows."""
+    keys = np.concatenate([np.cumsum(from_planes(x, _U), dtype=_U) for x in cells.column("keys").to_pylist()])
+    counts = np.concatenate([from_planes(x, "<u4") for x in cells.column("counts").to_pylist()])
+    different, index = np.unique(keys, return_inverse=True)
+    n = cells.column("ngram")[0].as_py()
+    return pa.table([pa.array(np.full(len(different), n, np.int32)), pa.array(different.view(np.int64)), pa.array(np.bincount(index, weights=counts).astype(np.int64))], names=["ngram", "key", "n"])
+
+
+def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return settle(rows.mapInArrow(_chunk(chunk_tokens), CHUNKS), "chunks")
+
+
+def _partitioned(chunks: DataFrame, order: int):
+    """Every chunk's n-grams, grouped by the bucket of their hash."""
+    buckets = 4 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chunks.select("chunk", "lengths", "hashes", "indices").mapInArrow(_cells(order, buckets), CELLS).groupBy("bucket", "ngram")
+
+
+def ngram_counts(docs: DataFrame, order: int = 2, chunk_tokens: int = 2_000_000) -> DataFrame:
+    """The count tables that ``score`` joins: ngram (1 to ``order``), key (the n-gram's 64-bit hash) and n, over all of ``docs``."""
+    return _partitioned(_chunks(docs, chunk_tokens), order).applyInArrow(_table, "ngram int, key long, n long")
+
+
 def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_count: int = 2, chunk_tokens: int = 2_000_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, log_score (the sum over its words).
 
@@ -157,13 +195,9 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_count: int =
     ``chunk_tokens`` bounds a worker's memory besides a single document; it should grow with the
     number of shuffle partitions, which the buckets follow.
     """
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = settle(rows.mapInArrow(_chunk(chunk_tokens), CHUNKS), "chunks")
+    chunks = _chunks(docs, chunk_tokens)
     n_tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
-    cells = chunks.select("chunk", "lengths", "hashes", "indices").mapInArrow(_cells(order, buckets), CELLS)
-    totals = cells.groupBy("bucket", "ngram").applyInArrow(_count, TOTALS)
+    totals = _partitioned(chunks, order).applyInArrow(_count, TOTALS)
     return chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_score(order, alpha, min_count, n_tokens), SCORES)
 
 

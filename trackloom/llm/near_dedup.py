@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import settle, slices
 
-_WORDS = re.compile(r"\w+")
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 
@@ -33,17 +32,65 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
+#: A fixed random number for each byte; word bytes of ASCII; every other byte belongs to a word once separators are gone.
+_BYTE = _mix(np.arange(1, 257, dtype=_U) * _ODD[0]) | _U(1)
+_IN_WORD = np.array([c >= 128 or chr(c).isalnum() or c == 95 for c in range(256)])
+_SEPARATORS = re.compile(r"[^\w\x00-\x7f]+")
 
-        if len(self) >= 300_000:
-            self.clear()
-        self[word] = got = xxhash.xxh3_64_intdigest(word)
-        return got
 
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([np.ones(1, _U), np.full(n - 1, base, _U)]), dtype=_U)
+
+
+#: Powers of an odd number and of its inverse modulo 2**64, for texts of up to so many bytes at once.
+_SPAN = 1 << 16
+_POWER, _INVERSE = _powers(0x9E3779B97F4A7C15, _SPAN), _powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64), _SPAN)
+
+
+def _hashes(raw: np.ndarray) -> np.ndarray:
+    """Hashes of the words in up to ``_SPAN`` bytes: differences of one running sum, moved to where a word starts at power 0."""
+    inside = _IN_WORD[raw]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edges[0::2], edges[1::2]
+    with np.errstate(over="ignore"):
+        running = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[raw] * _POWER[: len(raw)], dtype=_U)])
+        return _mix((running[end] - running[start]) * _INVERSE[start] + (end - start).astype(_U))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words in order: runs of letters, digits and underscores in lower case.
 
-_HASHES = _WordHash()
+    A polynomial over a word's UTF-8 bytes, all words of a text at once; longer texts go in
+    parts that end where no word is cut, and a word that is longer than a part by itself.
+    """
+    low = (text or "").lower()
+    if not low.isascii():
+        low = _SEPARATORS.sub(" ", low)
+    raw = np.frombuffer(low.encode("utf-8", "surrogatepass"), np.uint8)
+    if len(raw) <= _SPAN:
+        return _hashes(raw)
+    out, at = [], 0
+    gaps = np.append(np.flatnonzero(~_IN_WORD[raw]), len(raw))  # where parts may end
+    while at < len(raw):
+        k = int(np.searchsorted(gaps, at + _SPAN - 1, "right")) - 1
+        end = int(gaps[k]) if k >= 0 and gaps[k] > at else int(gaps[min(k + 1, len(gaps) - 1)])
+        if end - at <= _SPAN:
+            out.append(_hashes(raw[at:end]))
+        else:  # one long word
+            out.append(_long_word(raw[at:end]))
+        at = end + 1
+    return np.concatenate(out)
+
+
+def _long_word(raw: np.ndarray) -> np.ndarray:
+    total = _U(0)
+    with np.errstate(over="ignore"):
+        step = _POWER[-1] * _POWER[1]
+        for k in range((len(raw) - 1) // _SPAN, -1, -1):
+            part = raw[k * _SPAN : (k + 1) * _SPAN]
+            total = total * step + np.sum(_BYTE[part] * _POWER[: len(part)], dtype=_U)
+        return _mix(np.array([total], _U) + _U(len(raw)))
 
 
 def shingles(text: str | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -52,15 +99,14 @@ def shingles(text: str | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     Words are runs of letters, digits and underscores in lower case.  A text of fewer words,
     but not none, is one shingle.
     """
-    found = _WORDS.findall((text or "").lower())
-    if not found:
+    ids = word_hashes(text)
+    if not len(ids):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    ids = np.array([_HASHES[w] for w in found], _U)
     n = min(size, len(ids))
     with np.errstate(over="ignore"):
         total = np.full(len(ids) - n + 1, n, _U)
         for k in range(n):
-            total = _mix(total + ids[k : len(ids) - n + 1 + k]) * _ODD[k % 5]
+            total += ids[k : len(ids) - n + 1 + k] * (_ODD[k % 5] + _U(2 * k))
         return np.unique(_mix(total), return_counts=True)
 
 
@@ -223,8 +269,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     narrow = f.join(a, "p").where((F.col("class_f") != F.col("class_g")) & (F.col("size_g") <= F.col("room_f")) & (F.col("size_f") <= F.col("room_g")) & once("main")).select("f", "g")
 
     # pairs that share shingles beyond the pivot
-    beyond = compared(open_.select(F.col("p").alias("a"), F.col("x").alias("b")), True, "beyond").select(F.col("a").alias("p"), F.col("b").alias("x"), F.explode("extra").alias("s"))
-    beyond = settle(beyond.join(open_.select("p", "x", "size", "both", "class", "smallest"), ["p", "x"]), "extras")
+    beyond = compared(open_.select(F.col("p").alias("a"), F.col("x").alias("b")), True, "beyond").select(F.col("a").alias("p"), F.col("b").alias("x"), "extra")
+    beyond = beyond.join(open_.select("p", "x", "size", "both", "class", "smallest"), ["p", "x"])
+    beyond = settle(beyond.select("p", "x", "size", "both", "class", "smallest", F.explode("extra").alias("s")), "extras")
     held = beyond.groupBy("p", "s", "class").agg(F.count("*").alias("n")).groupBy("p", "s").agg(F.max(F.struct("n", "class")).alias("m"), F.count("*").alias("k")).where("k > 1").select("p", "s", F.col("m.class").alias("usual"))
     common = beyond.join(held, ["p", "s"])
     able = common.groupBy("p", "x").agg(F.count("*").alias("n"), F.first("both").alias("both"), F.first("size").alias("size"), F.first("smallest").alias("smallest")).where(F.col("both") + F.col("n") >= least * (F.col("size") + F.col("smallest"))).select("p", "x")

@@ -34,6 +34,64 @@ MANIFEST = "shard int, path string, byte_offset long, byte_length long, start_in
 DOCUMENTS = "shard int, doc_id long, start_in_shard long, n_tokens long, ids_crc32 long, ids binary"
 
 
+def pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``BLOCK`` values as rows of 16 * ``width`` bytes: the low ``width`` bits of each, highest bit first."""
+    rows = len(values)
+    if not width:
+        return np.zeros((rows, 0), np.uint8)
+    if width > 16:
+        bits = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(rows, BLOCK, 4), axis=2)
+        return np.packbits(bits[:, :, 32 - width :].reshape(rows, -1), axis=1)
+    w, x = np.uint64(width), (values & np.uint32((1 << width) - 1)).astype(np.uint64).reshape(rows, -1, 4)
+    four = ((x[:, :, 0] << w | x[:, :, 1]) << w | x[:, :, 2]) << w | x[:, :, 3]
+    as_bytes = lambda v, n: v.astype(">u8").view(np.uint8).reshape(*v.shape, 8)[:, :, 8 - n :]
+    if width % 2 == 0:
+        return as_bytes(four, width // 2).reshape(rows, -1)
+    # two fours of an odd width share a byte in the middle
+    high, low, n = four[:, 0::2], four[:, 1::2], width // 2
+    cut = np.uint64(4 * width - 4)
+    out = np.empty((rows, high.shape[1], width), np.uint8)
+    out[:, :, :n] = as_bytes(high >> np.uint64(4), n)
+    out[:, :, n] = (high & np.uint64(15)) << np.uint64(4) | low >> cut
+    out[:, :, n + 1 :] = as_bytes(low & (np.uint64(1) << cut) - np.uint64(1), n)
+    return out.reshape(rows, -1)
+
+
+def unpack(raw: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``BLOCK`` values from rows of 16 * ``width`` bytes."""
+    rows = len(raw)
+    if not width:
+        return np.zeros((rows, BLOCK), np.uint32)
+    if width > 16:
+        wide = np.zeros((rows, BLOCK, 32), np.uint8)
+        wide[:, :, 32 - width :] = np.unpackbits(raw, axis=1).reshape(rows, BLOCK, width)
+        return np.packbits(wide, axis=2).view(">u4")[:, :, 0].astype(np.uint32)
+
+    def number(v: np.ndarray) -> np.ndarray:
+        full = np.zeros((*v.shape[:2], 8), np.uint8)
+        full[:, :, 8 - v.shape[2] :] = v
+        return full.view(">u8")[:, :, 0].astype(np.uint64)
+
+    if width % 2 == 0:
+        four = number(raw.reshape(rows, -1, width // 2))
+    else:
+        parts, n = raw.reshape(rows, -1, width), width // 2
+        middle = parts[:, :, n].astype(np.uint64)
+        four = np.empty((rows, 2 * parts.shape[1]), np.uint64)
+        four[:, 0::2] = number(parts[:, :, :n]) << np.uint64(4) | middle >> np.uint64(4)
+        four[:, 1::2] = (middle & np.uint64(15)) << np.uint64(4 * width - 4) | number(parts[:, :, n + 1 :])
+    out = np.empty((rows, four.shape[1], 4), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for k in range(4):
+        out[:, :, k] = four >> np.uint64(width * (3 - k)) & mask
+    return out.reshape(rows, BLOCK)
+
+
+def _ranks(of: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of entries inside their blocks; ``of`` is each entry's block, in order, ``n`` the entries of each block."""
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def encode_blocks(ids: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, bytes]:
     """Byte offset of each block and the packed blocks of ``ids`` (below 2**32)."""
     full = -(-len(ids) // BLOCK)
@@ -44,51 +102,42 @@ def encode_blocks(ids: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, byte
     grid = padded.reshape(full, BLOCK)
     low = grid.min(axis=1)
     rest = grid - low[:, None]
-    bits = np.ceil(np.log2(rest.astype(np.float64) + 1)).astype(np.uint8)
+    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
     at = min(BLOCK - 1, int(np.ceil(share * BLOCK)) - 1)
-    width = np.partition(bits, at, axis=1)[:, at]
-    over = bits > width[:, None]
-    n_over = over.sum(axis=1)
-    packed: list[bytes] = [b""] * full
-    as_bits = np.unpackbits(rest.astype(">u4").view(np.uint8).reshape(full, BLOCK, 4)[:, :, 2:], axis=2) if width.max() <= 16 else np.unpackbits(rest.astype(">u4").view(np.uint8).reshape(full, BLOCK, 4), axis=2)
+    width = np.partition(bits, at, axis=1)[:, at].astype(np.int64)
+    block, where = np.nonzero(bits > width[:, None])
+    n_over = np.bincount(block, minlength=full)
+    sizes = 6 + BLOCK // 8 * width + 5 * n_over
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint8)
+    out[starts[:, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(full, 4)
+    out[starts + 4], out[starts + 5] = width, n_over
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
-        body = np.packbits(as_bits[rows][:, :, as_bits.shape[2] - w :].reshape(len(rows), -1), axis=1) if w else np.zeros((len(rows), 0), np.uint8)
-        for r, b in zip(rows, body, strict=True):
-            packed[r] = b.tobytes()
-    out, starts, pos = [], np.zeros(full, "<u4"), 0
-    for k in range(full):
-        where = np.flatnonzero(over[k])
-        block = struct.pack("<IBB", int(low[k]), int(width[k]), int(n_over[k])) + packed[k]
-        if len(where):
-            block += where.astype(np.uint8).tobytes() + (rest[k, where] >> width[k]).astype("<u4").tobytes()
-        starts[k] = pos
-        pos += len(block)
-        out.append(block)
-    return starts, b"".join(out)
+        out[starts[rows][:, None] + 6 + np.arange(BLOCK // 8 * w)] = pack(rest[rows], int(w))
+    tail, rank = (starts + 6 + BLOCK // 8 * width)[block], _ranks(block, n_over)
+    out[tail + rank] = where
+    upper = (rest[block, where] >> width[block].astype(np.uint32)).astype("<u4")
+    out[(tail + n_over[block] + 4 * rank)[:, None] + np.arange(4)] = upper.view(np.uint8).reshape(-1, 4)
+    return starts.astype("<u4"), out.tobytes()
 
 
 def decode_blocks(starts: np.ndarray, body: bytes, n: int) -> np.ndarray:
     """The ids that ``encode_blocks`` packed."""
     full = len(starts)
-    raw = np.frombuffer(body, np.uint8)
+    if not full:
+        return np.zeros(0, np.uint32)
+    raw, at = np.frombuffer(body, np.uint8), starts.astype(np.int64)
+    low = raw[at[:, None] + np.arange(4)].view("<u4")[:, 0]
+    width, n_over = raw[at + 4].astype(np.int64), raw[at + 5].astype(np.int64)
     grid = np.zeros((full, BLOCK), np.uint32)
-    at = starts.astype(np.int64)
-    low = (raw[at].astype(np.uint32) | raw[at + 1].astype(np.uint32) << 8 | raw[at + 2].astype(np.uint32) << 16 | raw[at + 3].astype(np.uint32) << 24) if full else np.zeros(0, np.uint32)
-    width, n_over = raw[at + 4] if full else at, raw[at + 5] if full else at
     for w in np.unique(width):
-        if w:
-            rows = np.flatnonzero(width == w)
-            size = BLOCK * int(w) // 8
-            bits = np.unpackbits(raw[at[rows][:, None] + 6 + np.arange(size)], axis=1).reshape(len(rows), BLOCK, int(w))
-            wide = np.zeros((len(rows), BLOCK, 16 if w <= 16 else 32), np.uint8)
-            wide[:, :, wide.shape[2] - int(w) :] = bits
-            grid[rows] = np.packbits(wide, axis=2).view(">u2" if w <= 16 else ">u4")[:, :, 0]
-    for k in np.flatnonzero(n_over):
-        p = int(at[k]) + 6 + BLOCK * int(width[k]) // 8
-        m = int(n_over[k])
-        where = raw[p : p + m]
-        grid[k, where] |= np.frombuffer(body, "<u4", m, p + m) << np.uint32(width[k])
+        rows = np.flatnonzero(width == w)
+        grid[rows] = unpack(raw[at[rows][:, None] + 6 + np.arange(BLOCK // 8 * w)], int(w))
+    block = np.repeat(np.arange(full), n_over)
+    tail, rank = (at + 6 + BLOCK // 8 * width)[block], _ranks(block, n_over)
+    upper = np.ascontiguousarray(raw[(tail + n_over[block] + 4 * rank)[:, None] + np.arange(4)]).view("<u4").reshape(-1)
+    grid[block, raw[tail + rank]] |= upper << width[block].astype(np.uint32)
     return (grid + low[:, None]).reshape(-1)[:n]
 
 

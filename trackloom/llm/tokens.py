@@ -15,6 +15,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHED_PIECES = 500_000
 
 
+#: ASCII white space but space and newline.
+RARE_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
 def _byte_letters() -> dict[int, str]:
     """The public byte-level alphabet: printable bytes stand for themselves, the others for U+0100 and up, in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -28,17 +32,13 @@ class _Pieces(dict):
     frequent pieces so survive.
     """
 
-    def __init__(self, encode, lead: str):
+    def __init__(self, make):
         super().__init__()
-        self.encode, self.lead, self.older = encode, lead, {}
+        self.make, self.older = make, {}
 
     def __missing__(self, piece: str) -> bytes:
         if (ids := self.older.get(piece)) is None:
-            # A comma or full stop after a letter is a pre-token of its own.
-            if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha():
-                ids = self[piece[:-1]] + self.encode(piece[-1])
-            else:
-                ids = self.encode(self.lead + piece)
+            ids = self.make(piece)
         if len(self) >= CACHED_PIECES:
             self.older = dict(self)
             self.clear()
@@ -46,6 +46,10 @@ class _Pieces(dict):
         return ids
 
 
+#: Letters, then ASCII punctuation; marks would join the letters.
+_TAILED = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]+)")
+
+
 class Encoder:
     """Texts to id bytes, equal to encoding each whole text.
 
@@ -57,7 +61,8 @@ class Encoder:
     * BPE that drops white space: at white space; texts with U+001C to U+001F are encoded whole.
 
     A piece of nothing but Latin letters is one pre-token, which the tokenizer's model takes
-    directly.  Texts that hold the content of an added token, and any other tokenizer's texts, are
+    directly; punctuation after letters is a pre-token of its own, so that both parts are kept
+    for themselves.  Texts that hold the content of an added token, and any other tokenizer's texts, are
     encoded whole.
     """
 
@@ -75,17 +80,31 @@ class Encoder:
         # an added token's text is one id wherever it stands; letter case may be lost in normalising
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE if spec.get("normalizer") else 0)
+        self.openers = sorted({x for t in self.tokenizer.get_added_tokens_decoder().values() if t.content for x in (t.content[0].lower(), t.content[0].upper())})
         self.letters = _byte_letters()
-        self.bare, self.spaced = _Pieces(self.piece, ""), _Pieces(self.piece, " ")
+        self.bare, self.spaced, self.tails = _Pieces(self.bare_piece), _Pieces(self.spaced_piece), _Pieces(self.whole)
         self.newline = self.whole("\n")
         # white space but space and newline, then where spaces and newlines stand as well
         self.rare = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
         self.odd = re.compile(r" \s| \Z|\n\s|\s\n|[\x1c-\x1f]")
-        self.separators = re.compile(r"[\x1c-\x1f]")
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def bare_piece(self, piece: str) -> bytes:
+        if (two := _TAILED.fullmatch(piece)) and two[1].isalpha():
+            return self.bare[two[1]] + self.tails[two[2]]
+        if self.mode == "word" and piece.isalpha() and (low := piece.lower()) != piece and max(piece) < "\u0250":
+            return self.bare[low]
+        return self.piece(piece)
+
+    def spaced_piece(self, piece: str) -> bytes:
+        if piece[:1] == "\n":  # a line's first word
+            return self.newline + (self.bare[piece[1:]] if len(piece) > 1 else b"")
+        if (two := _TAILED.fullmatch(piece)) and two[1].isalpha():
+            return self.spaced[two[1]] + self.tails[two[2]]
+        return self.piece(" " + piece)
+
     def piece(self, piece: str) -> bytes:
         word = piece.lstrip(" ") if self.mode == "byte" else piece
         if not word.isalpha() or not (word.isascii() or max(word) < "\u0250"):
@@ -97,21 +116,19 @@ class Encoder:
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
-        if self.added.search(text):
+        # single characters are found far faster than patterns
+        if any(x in text for x in self.openers) and self.added.search(text):
             return self.whole(text)
-        if self.mode == "word" and not self.separators.search(text):
+        if self.mode == "word" and not any(x in text for x in "\x1c\x1d\x1e\x1f"):
             bare = self.bare
             return b"".join([bare[x] for x in text.split()])
         if self.mode != "byte":
             return self.whole(text)
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith(" ") or self.rare.search(text) and self.odd.search(text):
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith(" ") or (not text.isascii() or any(x in text for x in RARE_ASCII)) and self.rare.search(text) and self.odd.search(text):
             return self.whole(text)
-        spaced, lines = self.spaced, []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            head = self.bare[first] if first else b""
-            lines.append(head + b"".join([spaced[x] for x in rest]))
-        return self.newline.join(lines)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        spaced = self.spaced
+        return (self.bare[first] if first else b"") + b"".join([spaced[x] for x in rest])
 
 
 @lru_cache(maxsize=2)

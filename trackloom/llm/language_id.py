@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import groupby
 from operator import or_
 
 import numpy as np
@@ -21,12 +24,27 @@ from pyspark.sql import functions as F
 
 from .shared import settle, slices
 
-#: A word: letters and marks that are not digits or underscores.
-_WORD = re.compile(r"[^\W\d_]+")
+_ASCII = re.compile(r"[a-z]+")
 UNDETERMINED = "und"
 LONGEST = 5
 
 
+@lru_cache(maxsize=1)
+def _runs() -> re.Pattern:
+    """Runs of letters and marks: the Unicode categories L and M."""
+    wanted = [c for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in "LM"]
+    parts = [[c for _, c in run] for _, run in groupby(enumerate(wanted), lambda x: x[1] - x[0])]
+    return re.compile("[A-Za-z" + "".join(f"{chr(p[0])}-{chr(p[-1])}" for p in parts) + "]+")
+
+
+def words(text: str | None) -> list[str]:
+    """The words of a text in lower case: runs of letters and marks with at least one letter.  Numerals such as fractions are no letters."""
+    low = (text or "").lower()
+    if low.isascii():
+        return _ASCII.findall(low)
+    return [w for w in _runs().findall(low) if w[0].isalpha() or any(map(str.isalpha, w))]
+
+
 class Model:
     """Bounded tables: each known word and n-gram has a row of log frequencies, one per language; the last row is for what nothing fits."""
 
@@ -45,7 +63,7 @@ class Model:
         return out or [len(self.rows) - 1]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(_WORD.findall((text or "").lower()))
+        counts = Counter(words(text))
         if not counts or not self.languages:
             return UNDETERMINED, 0.0
         if len(self.unseen) > 200_000:
@@ -71,7 +89,7 @@ def _word_rows(batches):
         for batch in slices(whole, 512):
             counts: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(_WORD.findall((text or "").lower()))
+                counts.setdefault(lang, Counter()).update(words(text))
             rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
@@ -158,8 +176,8 @@ def _predict(shared):
         for whole in batches:
             for batch in slices(whole, 512):
                 got = [model.predict(x) for x in batch.column(1).to_pylist()]
-                columns = [batch.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), *batch.columns[2:]]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", *batch.schema.names[2:]])
+                columns = [*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_lang_pred", "_score"])
 
     return run
 
@@ -169,15 +187,19 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
     Null text, and text without a letter, is ``und`` with score 0; so is every text where the
     model has no language (no labelled row).  Ties go to the language first in order.  Texts
-    of any length are read whole; repeated rows are judged each for itself.
+    of any length are read whole; repeated rows are judged each for itself.  Kept columns named
+    like the result's get the prefix ``of_``; doc_id and text are not passed on twice.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or []
+    other = [c for c in keep if c not in ("doc_id", "text")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_of_{i}") for i, c in enumerate(keep)))
-    schema = "doc_id long, lang_pred string, score double" + "".join(f", _of_{i} {kinds[c]}" for i, c in enumerate(keep))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").cast("string").alias("_text"), *(F.col(c).alias(f"_of_{i}") for i, c in enumerate(other)))
+    schema = "_doc_id long, _text string" + "".join(f", _of_{i} {kinds[c]}" for i, c in enumerate(other)) + ", _lang_pred string, _score double"
     found = rows.mapInArrow(_predict(shared), schema)
-    return found.select("doc_id", "lang_pred", "score", *(F.col(f"_of_{i}").alias(c if c not in ("doc_id", "lang_pred", "score") else f"of_{c}") for i, c in enumerate(keep)))
+    where = {"doc_id": "_doc_id", "text": "_text"} | {c: f"_of_{i}" for i, c in enumerate(other)}
+    named = [F.col(where[c]).alias(f"of_{c}" if c in ("doc_id", "lang_pred", "score") else c) for c in keep]
+    return found.select(F.col("_doc_id").alias("doc_id"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), *named)
 
 
 def held_out(doc_id="doc_id"):

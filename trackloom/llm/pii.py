@@ -1,9 +1,11 @@
 """Personal data: fixed base patterns, and weakly supervised further spans.  DataFrame functions only.
 
 Base spans (email, ip, card, phone) are what the fixed patterns match.  Further candidates
-(token-like secrets, grouped numbers) are voted on by regex, gazetteer and context labelers;
-expectation-maximisation over the table of vote patterns estimates each labeler's
-reliability, and its posteriors train the span classifier that decides.
+(token-like secrets, grouped numbers, values given to a credential's name) are voted on by
+regex, gazetteer and context labelers; expectation-maximisation over the table of vote
+patterns estimates each labeler's reliability, and its posteriors are the soft labels of the
+span classifier that decides.  The classifier sees the votes and what no labeler looks at:
+the make-up of the span and the characters around it.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed order of kinds in results; the last two are what the method adds.
-KINDS = ["email", "ip", "card", "phone", "secret", "number"]
+#: Fixed order of kinds in results; the last three are what the method adds.
+KINDS = ["email", "ip", "card", "phone", "secret", "number", "credential"]
 BASE = KINDS[:4]
 
 # The base patterns, with the same matches as their plain forms but without backtracking: where
@@ -28,14 +30,22 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+(?![A-Za-z0-9_])",
     "number": r"(?<![0-9A-Za-z])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){2,4}+(?![0-9A-Za-z])",
+    "credential": r"(?i)(?<=(?:key|token|secret|password|passwd|pwd|passphrase|credential|bearer|auth)[\"']?[\x20]?[=:]?[\x20]?[\"']?)(?<![A-Za-z0-9/+_.~-])(?=[A-Za-z/+=_.~-]*+[0-9])[A-Za-z0-9/+=_.~-]{8,}+",
 }
 #: Cheap tests that every text with a match passes.
-GUARDS = {"email": r"@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": PATTERNS["card"], "phone": r"\+[0-9]", "secret": PATTERNS["secret"], "number": r"[0-9]{2}\)?[\x20.-][0-9]{2,4}[\x20.-][0-9]{2}"}
+GUARDS = {"email": r"@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": PATTERNS["card"], "phone": r"\+[0-9]", "secret": PATTERNS["secret"], "number": r"[0-9]{2}\)?[\x20.-][0-9]{2,4}[\x20.-][0-9]{2}", "credential": r"(?i)(?:key|token|secret|password|passwd|pwd|passphrase|credential|bearer|auth)[\"']?[\x20=:]"}
 
 #: Words before a span that speak for and against it.
 FOR_WORDS = "account api auth bearer call card cell contact credential fax iban id key login mobile passport password passwd phone pin pwd secret ssn tel telephone token whatsapp".split()
 AGAINST_WORDS = "build chapter commit edition figure isbn issn no page pages part revision section sha table version vol volume year".split()
-LABELERS = ["shape", "gazetteer", "context", "checksum", "mix"]
+#: How tokens of known issuers begin.
+ISSUERS = "AKIA ASIA AIza ghp_ gho_ ghs_ github_pat_ glpat- xoxb- xoxp- sk_live_ sk_test_ rk_live_ pk_live_ sk- ya29. eyJ SG. npm_ pypi- dop_v1_ hf_ shpat_".split()
+#: What stands in examples and never opens anything.
+PLACEHOLDERS = "example sample dummy changeme placeholder your_ xxxx 00000000 12345678 abcdefgh deadbeef lorem".split()
+#: National and toll-free prefixes of grouped numbers, and years, which are none.
+CODES = "800 833 844 855 866 877 888 001 0044 0049 0033 0034".split()
+LABELERS = ["shape", "gazetteer", "words", "punctuation", "checksum", "mix"]
+FEATURES = ["rank", "size", "digits", "classes", "distinct", "lead"]
 BEFORE = 24
 
 
@@ -92,20 +102,30 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     docs = docs.withColumn("base", F.array_sort(F.concat(*(spans_of(body, k) for k in BASE))))
     free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return docs.withColumn("candidates", F.filter(F.concat(*(spans_of(body, k) for k in KINDS[4:])), free))
+    docs = docs.withColumn("candidates", F.filter(F.concat(*(spans_of(body, k) for k in KINDS[4:])), free))
+    # a credential that is a secret token from end to end is that
+    same = lambda c: F.exists("candidates", lambda o: (o["rank"] == KINDS.index("secret")) & (o["start"] == c["start"]) & (o["end"] == c["end"]))
+    return docs.withColumn("candidates", F.filter("candidates", lambda c: (c["rank"] != KINDS.index("credential")) | ~same(c)))
+
+
+def _lead(text: Column, start: Column) -> Column:
+    return F.lower(F.substring(text, F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE))))
 
 
 def votes(text: Column, span: Column) -> list[Column]:
     """Each labeler's vote on a span: 1 for personal or secret, -1 against, 0 abstains."""
-    match, start = span["match"], span["start"]
-    lead = F.lower(F.substring(text, F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE))))
+    match, lead = span["match"], _lead(text, span["start"])
     word = F.regexp_extract(lead, r"([a-z]+)[^a-z0-9]{0,4}\z", 1)
     digits = _digits(match)
     size = F.length(match)
     kinds = F.size(F.array_distinct(F.split(match, "")))
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
+    either = lambda conditions: reduce(lambda a, b: a | b, conditions)
+    issued = either([match.startswith(x) for x in ISSUERS]) | either([F.regexp_replace(match, r"\(", "").startswith(x) for x in CODES])
+    shown = either([F.lower(match).contains(x) for x in PLACEHOLDERS]) | match.rlike(r"^(?:19|20)[0-9]{2}[ .-]")
     return [
-        vote(match.rlike(r"^(?:AKIA[A-Z0-9]{16}|[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|(?=.*[a-z])(?=.*[0-9])[0-9a-f]{16,})\z"), match.rlike(r"^(?:[0-9]{2,4}-[0-9]{2}-[0-9]{2,4}|[A-Za-z]+[0-9]{1,2})\z") & ~match.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}\z")),
+        vote(match.rlike(r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|(?=.*[a-z])(?=.*[0-9])[0-9a-f]{16,}|(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9]).{16,})\z"), match.rlike(r"^(?:[0-9]{2,4}-[0-9]{2}-[0-9]{2,4}|[A-Za-z]+[0-9]{1,2}|[0-9]{1,4}(?:\.[0-9]{1,4})+)\z") & ~match.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}\z")),
+        vote(issued, shown),
         vote(word.isin(FOR_WORDS), word.isin(AGAINST_WORDS)),
         vote(lead.rlike(r"[=:\"']\s?\z"), lead.rlike(r"(?:[0-9a-z/_.-]|#\s?)\z")),
         vote(F.length(digits).between(13, 19) & (F.length(digits) == size) & luhn(digits), F.length(digits).between(13, 19) & (F.length(digits) == size)),
@@ -113,6 +133,22 @@ def votes(text: Column, span: Column) -> list[Column]:
     ]
 
 
+def features(text: Column, span: Column) -> list[Column]:
+    """What the classifier sees besides the votes, each a small number: kind, length, share of digits, kinds of characters, different ones, what stands before."""
+    match, lead = span["match"], _lead(text, span["start"])
+    n = F.length(match)
+    has = lambda pattern, bit: F.when(match.rlike(pattern), bit).otherwise(0)
+    last = F.substring(lead, -1, 1)
+    return [
+        span["rank"],
+        F.when(n < 12, 0).when(n < 20, 1).when(n < 33, 2).otherwise(3),
+        F.floor(4 * F.length(_digits(match)) / F.greatest(n, F.lit(1))).cast("int"),
+        has("[a-z]", 1) + has("[A-Z]", 2) + has("[0-9]", 4) + has("[^A-Za-z0-9]", 8),
+        F.least(F.floor(F.size(F.array_distinct(F.split(match, ""))) / 4), F.lit(6)).cast("int"),
+        F.when(last == "", 0).when(last.isin("'", '"'), 1).when(last.isin("=", ":"), 2).when(last == " ", 3).otherwise(4),
+    ]
+
+
 #: Prior beliefs on a labeler's votes -1, 0 and 1, given a positive and given a negative span.
 PRIOR = {-1: (0.05, 0.45), 0: (0.5, 0.5), 1: (0.45, 0.05)}
 
@@ -124,7 +160,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 25) -> t
     The table has at most 3**labelers rows, whatever the size of the corpus.  The prior weighs
     a fifth of the spans: it keeps every labeler better than chance and the classes named.
     """
-    k, total = len(LABELERS), sum(n for _, n in patterns)
+    k, total = len(patterns[0][0]) if patterns else len(LABELERS), sum(n for _, n in patterns)
     weight = 5 + 0.2 * total
     belief = [1 / (1 + math.exp(-1.5 * sum(v))) for v, _ in patterns]
     prior, rates = 0.5, []
@@ -149,49 +185,60 @@ def posterior(prior: float, rates: list[dict[int, tuple[float, float]]], v: tupl
 
 
 class SpanClassifier:
-    """Log-odds per vote and per kind and length class of a span, from posteriors as soft labels."""
+    """Log-odds per vote and per feature value of a span, from posteriors as soft labels.
+
+    ``rows`` are (votes, feature, value, how often): one table for each feature, by vote pattern.
+    """
 
     def __init__(self, rows: list[tuple[tuple[int, ...], str, int, int]]):
         table: dict[tuple[int, ...], int] = {}
-        for v, _, _, n in rows:
-            table[v] = table.get(v, 0) + n
+        for v, name, _, n in rows:
+            if name == FEATURES[0]:
+                table[v] = table.get(v, 0) + n
         self.prior, self.rates = estimate(sorted(table.items()))
-        soft = [(posterior(self.prior, self.rates, v), v, kind, size, n) for v, kind, size, n in rows]
-        pos, total = sum(p * n for p, *_, n in soft), sum(r[-1] for r in soft)
+        soft = {v: posterior(self.prior, self.rates, v) for v in table}
+        pos, total = sum(soft[v] * n for v, n in table.items()), sum(table.values())
         self.bias = math.log((pos + 1) / (total - pos + 1))
 
-        def odds(member) -> float:
-            a = sum(p * n for p, v, kind, size, n in soft if member(v, kind, size))
-            c = sum((1 - p) * n for p, v, kind, size, n in soft if member(v, kind, size))
-            return math.log((a + 1) / (pos + 3)) - math.log((c + 1) / (total - pos + 3))
-
-        self.vote = [{x: odds(lambda v, kind, size, j=j, x=x: v[j] == x) for x in (-1, 0, 1)} for j in range(len(LABELERS))]
-        self.kind = {x: odds(lambda v, kind, size, x=x: kind == x) for x in KINDS[4:]}
-        self.size = {x: odds(lambda v, kind, size, x=x: size == x) for x in range(4)}
+        def odds(counted: list[tuple[tuple[int, ...], int]], values: int) -> float:
+            a = sum(soft[v] * n for v, n in counted)
+            c = sum((1 - soft[v]) * n for v, n in counted)
+            return math.log((a + 1) / (pos + values)) - math.log((c + 1) / (total - pos + values))
+
+        self.vote = [{x: odds([(v, n) for v, n in table.items() if v[j] == x], 3) for x in (-1, 0, 1)} for j in range(len(LABELERS))]
+        self.feature: list[dict[int, float]] = []
+        for name in FEATURES:
+            held: dict[int, list] = {}
+            for v, other, value, n in rows:
+                if other == name:
+                    held.setdefault(value, []).append((v, n))
+            # features of one span are not independent of each other: together they weigh as two
+            self.feature.append({value: odds(own, len(held)) * 2 / len(FEATURES) for value, own in held.items()})
 
     def logit(self, text: Column, span: Column) -> Column:
         """The classifier as an expression."""
         pick = lambda x, table: reduce(lambda c, kv: c.when(x == kv[0], kv[1]), sorted(table.items()), F.when(F.lit(False), 0.0)).otherwise(0.0)
         terms = [pick(v, self.vote[j]) for j, v in enumerate(votes(text, span))]
-        terms += [pick(span["rank"], {KINDS.index(k): x for k, x in self.kind.items()}), pick(_size_class(span), self.size)]
+        terms += [pick(x, self.feature[j]) for j, x in enumerate(features(text, span))]
         return reduce(lambda a, b: a + b, terms, F.lit(self.bias))
 
 
-def _size_class(span: Column) -> Column:
-    n = F.length(span["match"])
-    return F.when(n < 12, 0).when(n < 20, 1).when(n < 33, 2).otherwise(3)
-
-
 def fit(docs: DataFrame) -> SpanClassifier:
-    """Counts vote patterns over all documents and fits the classifier.  What reaches the driver is the pattern table."""
+    """Counts vote patterns with each feature over all documents and fits the classifier.
+
+    What reaches the driver has at most 3**labelers rows for each of some forty feature values,
+    whatever the size of the corpus.
+    """
     body = F.coalesce(F.col("text"), F.lit(""))
     found = with_spans(docs.select(F.col("text").cast("string").alias("text"))).where(F.size("candidates") > 0)
     # only what a labeler looks at goes on: the span and the characters before it
     near = lambda s: F.struct(F.least(s["start"], F.lit(BEFORE)).alias("start"), s["rank"].alias("rank"), s["match"].alias("match"), F.substring(body, F.greatest(s["start"] - BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(BEFORE))).alias("lead"))
     spans = found.select(F.explode(F.transform("candidates", near)).alias("s"))
     columns = [v.alias(LABELERS[j]) for j, v in enumerate(votes(F.col("s.lead"), F.col("s")))]
-    counts = spans.select(*columns, F.col("s.rank").alias("rank"), _size_class(F.col("s")).alias("size")).groupBy(*LABELERS, "rank", "size").count()
-    return SpanClassifier([(tuple(r[x] for x in LABELERS), KINDS[r["rank"]], r["size"], r["count"]) for r in counts.orderBy(*counts.columns).collect()])
+    values = F.array(*(F.struct(F.lit(x).alias("feature"), v.cast("int").alias("value")) for x, v in zip(FEATURES, features(F.col("s.lead"), F.col("s")), strict=True)))
+    voted = spans.select(*columns, F.explode(values).alias("f")).select(*LABELERS, "f.feature", "f.value")
+    counts = voted.groupBy(*LABELERS, "feature", "value").count()
+    return SpanClassifier([(tuple(r[x] for x in LABELERS), r["feature"], r["value"], r["count"]) for r in counts.orderBy(*counts.columns).collect()])
 
 
 def _listed(spans: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder URI under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the session does not set that folder (tests, notebooks on one machine) a local
-    temporary folder is used.
+    A session on one machine (tests, notebooks) that does not set that folder uses a local
+    temporary one; on a cluster an unset folder raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/trackloom-work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -15,7 +15,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -218,8 +218,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     different classes that share a pivot p hold at most min(both(f,p), both(a,p)) shingles of p
     in common; whatever else they share, both have beyond p.  So a link is only possible where
     that bound alone reaches the threshold, or where the texts share enough of their shingles
-    beyond p: an inverted index over those, which are rare in a group around its pivot, counts
-    them exactly.  Just these pairs are compared, and none that can be linked is left out.
+    beyond p: these are rare in a group around its pivot, and an inverted index over the rarest
+    of them finds every such pair.  Just these pairs are compared, and none that can be linked
+    is left out.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
@@ -272,16 +273,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     beyond = compared(open_.select(F.col("p").alias("a"), F.col("x").alias("b")), True, "beyond").select(F.col("a").alias("p"), F.col("b").alias("x"), "extra")
     beyond = beyond.join(open_.select("p", "x", "size", "both", "class", "smallest"), ["p", "x"])
     beyond = settle(beyond.select("p", "x", "size", "both", "class", "smallest", F.explode("extra").alias("s")), "extras")
-    held = beyond.groupBy("p", "s", "class").agg(F.count("*").alias("n")).groupBy("p", "s").agg(F.max(F.struct("n", "class")).alias("m"), F.count("*").alias("k")).where("k > 1").select("p", "s", F.col("m.class").alias("usual"))
-    common = beyond.join(held, ["p", "s"])
-    able = common.groupBy("p", "x").agg(F.count("*").alias("n"), F.first("both").alias("both"), F.first("size").alias("size"), F.first("smallest").alias("smallest")).where(F.col("both") + F.col("n") >= least * (F.col("size") + F.col("smallest"))).select("p", "x")
-    common = settle(common.join(able, ["p", "x"], "left_semi"), "common")
-    f = common.where("class <> usual").select("p", "s", F.col("x").alias("f"), F.col("size").alias("size_f"), F.col("both").alias("both_f"), F.col("class").alias("class_f"))
-    a = common.select("p", "s", F.col("x").alias("g"), F.col("size").alias("size_g"), F.col("both").alias("both_g"), F.col("class").alias("class_g"), "usual")
-    met = f.join(a, ["p", "s"]).where((F.col("class_f") != F.col("class_g")) & once("usual"))
-    # a pair may be met from either side: the order is the same for all its shingles
-    met = met.select("p", F.least("f", "g").alias("f"), F.greatest("f", "g").alias("g"), (F.col("size_f") + F.col("size_g")).alias("size"), F.least("both_f", "both_g").alias("both"))
-    enough = met.groupBy("p", "f", "g").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("both").alias("both")).where(F.col("both") + F.col("n") >= least * F.col("size")).select("f", "g")
+    by_shingle = beyond.groupBy("p", "s", "class").agg(F.count("*").alias("n")).groupBy("p", "s")
+    held = by_shingle.agg(F.max(F.struct("n", "class")).alias("m"), F.count("*").alias("k"), F.sum("n").alias("often")).where("k > 1").select("p", "s", "often", F.col("m.class").alias("usual"))
+    # what a text must share beyond the pivot with a partner of the least size; of that many it shares at
+    # least one among all but need - 1 of its shingles: the frequent ones need not be looked up
+    need = F.greatest(F.ceil(least * (F.col("size") + F.col("smallest")) - F.col("both")), F.lit(1))
+    own = Window.partitionBy("p", "x")
+    common = beyond.join(held, ["p", "s"]).withColumns({"n": F.count("*").over(own), "place": F.row_number().over(own.orderBy("often", "s"))})
+    common = settle(common.where(F.col("place") <= F.col("n") - need + 1).withColumn("rest", F.col("n") - F.col("place")), "common")
+    side = lambda name, c: F.col(c).alias(f"{c}_{name}")
+    f = common.where("class <> usual").select("p", "s", F.col("x").alias("f"), *(side("f", c) for c in ("size", "both", "class", "rest")))
+    a = common.select("p", "s", F.col("x").alias("g"), *(side("g", c) for c in ("size", "both", "class", "rest")), "usual")
+    # after the first shingle that two texts share, they share at most what the shorter of them has left
+    most = F.least("both_f", "both_g") + 1 + F.least("rest_f", "rest_g")
+    met = f.join(a, ["p", "s"]).where((F.col("class_f") != F.col("class_g")) & once("usual") & (most >= least * (F.col("size_f") + F.col("size_g"))))
+    enough = met.select("f", "g").distinct()
 
     doubtful = settle(narrow.select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b")).unionByName(enough.select(F.col("f").alias("a"), F.col("g").alias("b"))).distinct(), "doubtful")
     rest = compared(doubtful, False, "rest").join(sizes.select(F.col("key").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("key").alias("b"), "size"), "b")

@@ -1,6 +1,7 @@
 """Decontamination, URL filter, PII and language ID against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -152,3 +153,22 @@ def test_backoff_prefers_longer_grams():
     model = language_id.Model(["a", "b"], {"known": 0}, {"x": 1, "xy": 2}, rows)
     assert model.predict("known")[0] == "a" and model.predict("xx")[0] == "b" and model.predict("xy")[0] == "a"
     assert model.backoff("xyx") == [2, 1] and model.backoff("zz") == [3] and model.predict("zz") == ("a", 0.5)
+
+
+def test_items_in_blocks_give_the_same(spark):
+    """More items than one block holds: every result as with a single automaton."""
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(400)}"
+    items = [(f"i{k}" if k % 5 else None, " ".join(word() for _ in range(rng.choice([3, 13, 40])))) for k in range(40)]
+    docs = [(k, " ".join([word() for _ in range(30)] + rng.choice(items)[1].split() + [word() for _ in range(20)] + rng.choice(items)[1].split()[:15])) for k in range(60)] + [(None, None), (61, "")]
+    frame = spark.createDataFrame([(d, t, "x", d) for d, t in docs], "doc_id long, text string, spans string, row_ long").repartition(3)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    one = sorted(decontamination.contamination(frame, bench).collect(), key=str)
+    many = sorted(decontamination.contamination(frame, bench, block_bytes=500).collect(), key=str)
+    assert one == many and sum(r["contaminated"] for r in one) > 10
+    known = [("" if i is None else i, t) for i, t in items]
+    by_hand = {d: brute(t, known) for d, t in docs}
+    assert all(tuple(r)[1:] == by_hand[r["doc_id"]] for r in many)
+    clean = decontamination.decontaminate(frame, bench, one_in=2, block_bytes=500)
+    assert clean.columns == frame.columns
+    assert sorted(clean.collect(), key=str) == sorted(decontamination.decontaminate(frame, bench, one_in=2).collect(), key=str)

@@ -15,15 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import settle, slices
 
 #: Fixed value: what counts as a word once A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDS = re.compile(WORD)
 _LOWER = {c: c + 32 for c in range(65, 91)}
-#: Words of test items in one automaton; more items go into further automata, in blocks.
-BLOCK_WORDS = 2_000_000
-
 
 def words(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").translate(_LOWER))
@@ -40,18 +37,20 @@ class Automaton:
         self.window = window
         self.step: list[dict[str, int]] = [{}]
         self.link, self.size = [-1], [0]
-        marks: list[set[str]] = [set()]
+        marks: dict[int, set[str]] = {}  # only of states that hold a whole window
         self.short: dict[int, dict[int, set[str]]] = {}  # state -> length of a whole short item -> items
         wholes = []
         for name, seq in sequences:
             last = 0
             for w in seq:
-                last = self._extend(last, w, marks)
-                marks[last].add(name)
+                last = self._extend(last, w)
+                if self.size[last] >= window:
+                    marks.setdefault(last, set()).add(name)
             if 0 < len(seq) < window:
                 wholes.append((name, seq))
-        for state in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
-            marks[self.link[state]] |= marks[state]
+        for state in sorted((k for k in range(1, len(self.size)) if self.size[k] > window), key=self.size.__getitem__, reverse=True):
+            if state in marks and self.size[self.link[state]] >= window:
+                marks.setdefault(self.link[state], set()).update(marks[state])
         self.items = marks
         for name, seq in wholes:
             state = 0
@@ -65,11 +64,11 @@ class Automaton:
         self.stride = max(1, self.least - self.seed + 1)
         self.seeds = {tuple(seq[k : k + self.seed]) for _, seq in sequences for k in range(len(seq) - self.seed + 1)} if self.least else set()
 
-    def _extend(self, last: int, w: str, marks: list[set[str]]) -> int:
+    def _extend(self, last: int, w: str) -> int:
         step, link, size = self.step, self.link, self.size
 
         def split(p: int, q: int) -> int:
-            step.append(dict(step[q])), link.append(link[q]), size.append(size[p] + 1), marks.append(set())
+            step.append(dict(step[q])), link.append(link[q]), size.append(size[p] + 1)
             new = len(size) - 1
             while p != -1 and step[p].get(w) == q:
                 step[p][w] = new
@@ -80,7 +79,7 @@ class Automaton:
         if w in step[last]:
             q = step[last][w]
             return q if size[q] == size[last] + 1 else split(last, q)
-        step.append({}), link.append(0), size.append(size[last] + 1), marks.append(set())
+        step.append({}), link.append(0), size.append(size[last] + 1)
         new, p = len(size) - 1, last
         while p != -1 and w not in step[p]:
             step[p][w] = new
@@ -129,7 +128,7 @@ class Automaton:
                     hit = window
                     while size[link[at]] >= window:
                         at = link[at]
-                    found |= self.items[at]
+                    found |= self.items.get(at, set())
                 if short:
                     at = state
                     while at > 0:
@@ -147,15 +146,8 @@ class Automaton:
 
 
 @lru_cache(maxsize=1)
-def _automata(packed: tuple, window: int) -> list[Automaton]:
-    blocks, held, size = [], [], 0
-    for name, text in packed:
-        held.append((name, words(text)))
-        size += len(held[-1][1])
-        if size >= BLOCK_WORDS:
-            blocks.append(Automaton(held, window))
-            held, size = [], 0
-    return [*blocks, Automaton(held, window)] if held else blocks
+def _automaton(packed: tuple, window: int) -> Automaton:
+    return Automaton([(name, words(text)) for name, text in packed], window)
 
 
 def _merge(lists: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
@@ -180,41 +172,99 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[pos:]
 
 
+def _verdict(n_words: int, spans: list[tuple[int, int]], items: set[str], one_in: int) -> tuple:
+    n_hit = sum(b - a for a, b in spans)
+    return n_words, n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0 and n_hit * one_in >= n_words
+
+
+VERDICT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_KINDS = [pa.int64()] * 3 + [pa.string(), pa.bool_()]
+
+
 def _judge(shared, window: int, one_in: int, clean: bool):
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    """Batches of text and other columns: adds the verdict, and with ``clean`` cuts the hit stretches out of the text."""
 
     def run(batches):
-        automata = _automata(shared.value, window)
+        automaton = _automaton(shared.value, window)
         for whole in batches:
             for batch in slices(whole, 512):
                 out, cleaned = [], []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for text in batch.column("text").to_pylist():
                     doc = words(text)
-                    got = [a.scan(doc) for a in automata]
-                    spans, items = _merge([s for s, _ in got]) if got else [], set().union(*(f for _, f in got))
-                    n_hit = sum(b - a for a, b in spans)
-                    out.append((doc_id, len(doc), n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0 and n_hit * one_in >= len(doc)))
+                    spans, items = automaton.scan(doc)
+                    out.append(_verdict(len(doc), spans, items, one_in))
                     if clean:
                         cleaned.append(_without(text, spans) if spans else text)
-                kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_()]
-                columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
-                columns += [pa.array(cleaned, pa.string()), *batch.columns[2:]] if clean else []
-                yield pa.RecordBatch.from_arrays(columns, names + (["text", *batch.schema.names[2:]] if clean else []))
+                columns = [pa.array(cleaned, pa.string()) if clean and n == "text" else c for n, c in zip(batch.schema.names, batch.columns, strict=True) if clean or n != "text"]
+                names = [n for n in batch.schema.names if clean or n != "text"]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(_KINDS))], [*names, *(x.split()[0] for x in VERDICT.split(", "))])
 
     return run
 
 
-def _shared_items(benchmark: DataFrame, max_bytes: int):
-    """The test items on the driver, after a check of their size."""
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > max_bytes:
-        raise ValueError(f"the test items have {size} bytes, more than max_bytes={max_bytes}: split the benchmark and judge against each part")
-    rows = sorted({(r[0] if r[0] is not None else "", r[1]) for r in items.collect()})
-    return benchmark.sparkSession.sparkContext.broadcast(tuple(rows))
+def _hits(shared, window: int):
+    """Rows with a hit in one block of items: row_, spans (starts and ends alternating), items."""
+
+    def run(batches):
+        automaton = _automaton(shared.value, window)
+        for whole in batches:
+            for batch in slices(whole, 512):
+                rows = []
+                for row, text in zip(batch.column("row_").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    spans, items = automaton.scan(words(text))
+                    if spans:
+                        rows.append((row, [x for s in spans for x in s], sorted(items)))
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["row_", "spans", "items"])
+
+    return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, max_bytes: int = 64_000_000) -> DataFrame:
+def _conclude(one_in: int, clean: bool):
+    """Like ``_judge``, from the hits of all blocks, which stand beside each row as lists of lists."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, 512):
+                out, cleaned = [], []
+                for text, spans, items in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items")), strict=True):
+                    merged = _merge([list(zip(s[0::2], s[1::2], strict=True)) for s in spans or []])
+                    out.append(_verdict(len(words(text)), merged, set().union(*(items or [])), one_in))
+                    if clean:
+                        cleaned.append(_without(text, merged) if merged else text)
+                kept = [n for n in batch.schema.names if n not in ("spans", "items", "row_") and (clean or n != "text")]
+                columns = [pa.array(cleaned, pa.string()) if clean and n == "text" else batch.column(n) for n in kept]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(_KINDS))], [*kept, *(x.split()[0] for x in VERDICT.split(", "))])
+
+    return run
+
+
+def _judged(rows: DataFrame, benchmark: DataFrame, window: int, one_in: int, max_bytes: int | None, block_bytes: int, clean: bool) -> DataFrame:
+    """``rows`` (with text) and their verdicts; the test items go over the driver in blocks of about ``block_bytes``."""
+    context = rows.sparkSession.sparkContext
+    items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if max_bytes is not None and size > max_bytes:
+        raise ValueError(f"the test items have {size} bytes, more than max_bytes={max_bytes}")
+    blocks = max(1, -(-size // block_bytes))
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if clean or f.name != "text"]
+    schema = ", ".join([*kept, VERDICT])
+    if blocks == 1:
+        return rows.mapInArrow(_judge(context.broadcast(tuple(sorted({tuple(r) for r in items.collect()}))), window, one_in, clean), schema)
+    # one block of items after another, so that neither driver nor workers ever hold more; only hits are kept
+    numbered = settle(rows.withColumn("row_", F.monotonically_increasing_id()), "numbered")
+    spread = settle(items.distinct().withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
+    found = None
+    for k in range(blocks):
+        shared = context.broadcast(tuple(sorted((r[0], r[1]) for r in spread.where(F.col("block") == k).select("item_id", "text").collect())))
+        hits = settle(numbered.select("row_", "text").mapInArrow(_hits(shared, window), "row_ long, spans array<long>, items array<string>"), "hits")
+        shared.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    pooled = found.groupBy("row_").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))  # one entry a block
+    return numbered.join(pooled, "row_", "left").mapInArrow(_conclude(one_in, clean), schema)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, max_bytes: int | None = None, block_bytes: int = 4_000_000) -> DataFrame:
     """How much of each document occurs in the test items.
 
     One row per row of ``docs``: doc_id, n_words, n_hit (words inside any window of any item),
@@ -223,28 +273,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_i
 
     A null or empty text has no words; so has an item without words, which then never occurs.
     An item of fewer words than ``window`` counts as one window.  Repeated items and documents
-    are each judged for themselves; a null item id counts as the empty string.  The test set's
-    size is checked against ``max_bytes`` before it is broadcast; beyond ``BLOCK_WORDS`` it is
-    split over several automata, which every document passes.
+    are each judged for themselves; a null item id counts as the empty string.  Items of more
+    than about ``block_bytes`` go in blocks, each with an automaton of its own, and the
+    stretches that the blocks hit are united: results do not depend on it.  A caller may state
+    ``max_bytes``, beyond which a test set is refused; by default none is.
     """
-    items = _shared_items(benchmark, max_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_judge(items, window, one_in, False), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return _judged(rows, benchmark, window, one_in, max_bytes, block_bytes, False)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, max_bytes: int = 64_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, max_bytes: int | None = None, block_bytes: int = 4_000_000) -> DataFrame:
     """``docs`` without contaminated documents, and without the hit stretches of the others.
 
     Keeps the columns of ``docs`` in their order; documents without a hit are unchanged.
     """
-    items = _shared_items(benchmark, max_bytes)
-    other = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_of_{i}") for i, c in enumerate(other)))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, text string" + "".join(f", _of_{i} {kinds[c]}" for i, c in enumerate(other))
-    judged = rows.mapInArrow(_judge(items, window, one_in, True), schema).where(~F.col("contaminated"))
-    names = {c: f"_of_{i}" for i, c in enumerate(other)}
-    return judged.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+    other = {c: f"_of_{i}" for i, c in enumerate(c for c in docs.columns if c != "text")}
+    rows = docs.select(F.col("text").cast("string").alias("text"), *(F.col(c).alias(n) for c, n in other.items()))
+    judged = _judged(rows, benchmark, window, one_in, max_bytes, block_bytes, True).where(~F.col("contaminated"))
+    return judged.select(*(F.col(other.get(c, c)).alias(c) for c in docs.columns))
 
 
 #: DuckDB SQL for ``contamination`` with its default parameters over documents and benchmark.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
+from .tracks import with_runs
 
 
 def tile_starts(size: int, window: int, overlap: float) -> list[int]:
@@ -77,14 +78,18 @@ def causal_tuples(obs: DataFrame, key: str, order: list[str], value: str, n: int
     return obs.select(key, *order, *(F.coalesce(F.lag(value, k).over(w), first).alias(f"t{k}") for k in back), F.col(value).alias("t0"), real.alias("valid"))
 
 
-def smooth(obs: DataFrame, value: str, limit: float = 2.0) -> DataFrame:
-    """Gaussian mean (sigma 1, two neighbours each side, edges repeat) of a track's value, moved by at most ``limit``."""
-    w = Window.partitionBy("track_id").orderBy("frame", "event_id")
+def smooth(obs: DataFrame, value: str, limit: float = 2.0, max_gap: int = 1) -> DataFrame:
+    """Gaussian mean (sigma 1, two neighbours each side, edges repeat) of a track's value, moved by at most ``limit``.
+
+    Neighbours are of the same stretch without a gap of more than ``max_gap`` frames.
+    """
+    runs = with_runs(obs, max_gap)
+    w = Window.partitionBy("track_id", "run").orderBy("frame", "event_id")
     weights = {0: 1.0, 1: 0.6065306597126334, 2: 0.1353352832366127}
     near = lambda k: F.coalesce(F.lag(value, k).over(w), F.lag(value, max(k - 1, 0)).over(w), F.col(value)) if k > 0 else F.coalesce(F.lead(value, -k).over(w), F.lead(value, max(-k - 1, 0)).over(w), F.col(value))
     mean = sum((near(k) * weights[abs(k)] for k in (-2, -1, 0, 1, 2)), F.lit(0.0)) / (weights[0] + 2 * weights[1] + 2 * weights[2])
     moved = F.least(F.greatest(mean - F.col(value), F.lit(-limit)), F.lit(limit))
-    return obs.select("track_id", "frame", "event_id", (F.col(value) + moved).alias("smoothed"))
+    return runs.select("track_id", "frame", "event_id", (F.col(value) + moved).alias("smoothed"))
 
 
 def cyclic_quota(rows: DataFrame, bucket: str, key: str, order: Column) -> DataFrame:

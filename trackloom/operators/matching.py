@@ -107,40 +107,57 @@ def greedy_matches(pred: DataFrame, gt: DataFrame, thresholds: list[float]) -> D
     return per_group(_both_sides(pred, gt), ["frame"], ["side", F.desc("conf"), "det"], match, "frame long, det long, conf double, threshold double, hit boolean")
 
 
-def average_precision(hits: DataFrame, n_truth: int) -> DataFrame:
+def average_precision(hits: DataFrame, truth: DataFrame) -> DataFrame:
     """101-point interpolated AP per threshold from greedy matches, with recall and false positives.
 
-    Confidences are grouped to 1/10000 first, so that the running sums are over a bounded table
-    whatever the number of detections.
+    ``truth`` (frame) has a row for each true box; predictions of frames without one do not
+    count.  Equal confidences are one point of the curve, the confidences themselves stay exact.
+    The running sums are taken inside ranges of confidence and joined with the totals of the
+    ranges above, so that no task holds the whole curve.
     """
-    levels = hits.groupBy("threshold", F.round("conf", 4).alias("conf")).agg(F.sum(F.col("hit").cast("int")).alias("tp"), F.count("*").alias("n"))
-    w = Window.partitionBy("threshold").orderBy(F.desc("conf"))
-    curve = levels.select("threshold", "conf", F.sum("tp").over(w).alias("tp"), F.sum("n").over(w).alias("n"))
-    curve = curve.select("threshold", (F.col("tp") / max(n_truth, 1)).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"), "tp", "n")
-    points = curve.withColumn("r", F.explode(F.sequence(F.lit(0), F.floor(F.col("recall") * 100 + 1e-9).cast("int"))))
-    best = points.groupBy("threshold", "r").agg(F.max("precision").alias("p"))
+    frames = truth.groupBy("frame").agg(F.count("*").alias("boxes"))
+    # a cell per leading bits of the confidence: order holds from cell to cell
+    cell = F.floor(F.col("conf") * 512).cast("long")
+    levels = hits.join(frames.select("frame"), "frame", "left_semi").groupBy("threshold", cell.alias("cell"), "conf").agg(F.sum(F.col("hit").cast("int")).alias("tp"), F.count("*").alias("n"))
+    cells = levels.groupBy("threshold", "cell").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
+    above = Window.partitionBy("threshold").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
+    base = cells.select("threshold", "cell", F.coalesce(F.sum("tp").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"))
+    w = Window.partitionBy("threshold", "cell").orderBy(F.desc("conf"))
+    curve = levels.select("threshold", "cell", F.sum("tp").over(w).alias("tp"), F.sum("n").over(w).alias("n")).join(base, ["threshold", "cell"])
+    curve = curve.crossJoin(frames.agg(F.coalesce(F.sum("boxes"), F.lit(0)).alias("total")))  # one row
+    curve = curve.select("threshold", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("n") + F.col("n0")).alias("n"), F.greatest("total", F.lit(1)).alias("total"))
+    curve = curve.select("threshold", "tp", "n", (F.col("tp") / F.col("total")).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"))
+    # the best precision at each recall point or beyond it: first within the points that a level reaches last
+    reach = F.floor(F.col("recall") * 100 + 1e-9).cast("int")
+    at = curve.groupBy("threshold", reach.alias("r")).agg(F.max("precision").alias("p"))
+    points = at.select("threshold", F.explode(F.sequence(F.lit(0), "r")).alias("r"), "p").groupBy("threshold", "r").agg(F.max("p").alias("p"))
     ends = curve.groupBy("threshold").agg(F.max("recall").alias("recall"), F.max(F.col("n") - F.col("tp")).alias("false_positives"))
-    return best.groupBy("threshold").agg((F.sum("p") / 101).alias("ap")).join(ends, "threshold")
+    return points.groupBy("threshold").agg((F.sum("p") / 101).alias("ap")).join(ends, "threshold")
 
 
-def suppress(dets: DataFrame, least: float, order: list[Column], measure: str = "iou", min_common: float = 0.0, protected: Column | None = None) -> DataFrame:
+def suppress(dets: DataFrame, least: float, order: list[Column], measure: str = "iou", min_common: float = 0.0, protected: Column | None = None, blocks: Column | None = None) -> DataFrame:
     """Greedy suppression per frame in a total order: a box goes if it overlaps a kept one by ``least`` or more.
 
     ``measure`` is ``iou`` or ``io_min``; ``protected`` rows are kept from the start, and block
-    others.  Adds kept and blocker (the worst kept box).
+    others; rows where ``blocks`` is not true never hide another box.  Adds kept and blocker
+    (the worst kept box).  Nulls in the order come first.
     """
-    ranked = dets.withColumn("rank_", F.row_number().over(Window.partitionBy("frame").orderBy(*order))).withColumn("sure_", protected if protected is not None else F.lit(False))
+    ranked = dets.withColumns({
+        "rank_": F.row_number().over(Window.partitionBy("frame").orderBy(*order)),
+        "sure_": F.coalesce(protected, F.lit(False)) if protected is not None else F.lit(False),
+        "blocks_": F.coalesce(blocks, F.lit(False)) if blocks is not None else F.lit(True),
+    })
 
     def fold(g):
         boxes = _boxes(g, slice(None))
         both, small, union = overlaps(boxes, boxes)
         score = union if measure == "iou" else small
-        clash = (score >= least) & (both >= min_common)
+        clash = (score >= least) & (both >= min_common) & g["blocks_"].astype(bool)[None, :]
+        np.fill_diagonal(clash, False)
         n = len(boxes)
         kept, blocker = g["sure_"].astype(bool).copy(), np.full(n, -1)
         # sure boxes come first; a box without any clash is kept without looking at the others
-        free = clash.sum(axis=1) <= 1
-        kept |= free
+        kept |= ~clash.any(axis=1)
         for k in np.flatnonzero(~kept):
             hit = np.flatnonzero(kept[:k] & clash[k, :k]) if k else []
             kept[k] = not len(hit)
@@ -148,7 +165,7 @@ def suppress(dets: DataFrame, least: float, order: list[Column], measure: str =
                 blocker[k] = g["det"][hit[score[k][hit].argmax()]]
         return {"frame": g["frame"], "det": g["det"], "kept": kept, "blocker": blocker}
 
-    rows = ranked.select("frame", "det", "rank_", "sure_", *(F.col(c).cast("double").alias(c) for c in BOX))
+    rows = ranked.select("frame", "det", "rank_", "sure_", "blocks_", *(F.col(c).cast("double").alias(c) for c in BOX))
     return per_group(rows, ["frame"], [F.desc("sure_"), "rank_"], fold, "frame long, det long, kept boolean, blocker long")
 
 
@@ -199,12 +216,17 @@ def motion_states(moves: DataFrame, stationary: float, fast: float, hysteresis:
     return moves.select("track_id", "frame", "event_id", "speed").groupBy("track_id").applyInPandas(fold, "track_id long, frame long, event_id long, state string")
 
 
-def isotonic(rows: DataFrame, keys: list[str]) -> DataFrame:
+def isotonic(rows: DataFrame, keys: list[str], levels: int = 1_000_000) -> DataFrame:
     """Pool-adjacent-violators fit per key: steps (upper score, calibrated value, weight).
 
-    Equal scores are summed on the cluster first, at most 10000 levels a key (four decimals).
+    Equal scores are summed on the cluster first; scores stay exact.  A key with more than
+    ``levels`` different scores raises, as its levels are walked through in one task.  Rows
+    without a score or outcome do not count.
     """
-    levels = rows.groupBy(*keys, F.round("score", 4).alias("score")).agg(F.sum("correct").cast("double").alias("hits"), F.count("*").cast("double").alias("n"))
+    known = rows.where(F.col("score").isNotNull() & F.col("correct").isNotNull())
+    summed = known.groupBy(*keys, F.col("score").cast("double").alias("score")).agg(F.sum("correct").cast("double").alias("hits"), F.count("*").cast("double").alias("n"))
+    size = F.count("*").over(Window.partitionBy(*keys))
+    checked = summed.withColumn("n", F.when(size > levels, F.raise_error(F.lit("too many different scores of one key"))).otherwise(F.col("n")))
     kinds = dict(rows.dtypes)
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
@@ -219,7 +241,20 @@ def isotonic(rows: DataFrame, keys: list[str]) -> DataFrame:
             out.insert(0, k, g[k].iloc[0])
         return out
 
-    return levels.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", upper double, value double, weight double")
+    return checked.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", upper double, value double, weight double")
+
+
+def calibrated(scores: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
+    """``scores`` (keys, score) with ``calibrated``: the value of the first step whose upper score is not below the score, the last step's beyond.
+
+    Null where the key has no fit.  Steps of a key form one array, which has a bounded size.
+    """
+    fitted = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("upper", "value"))).alias("steps_"))
+    same = [f.eqNullSafe(g) for f, g in ((scores[k], fitted[k]) for k in keys)]
+    joined = scores.join(fitted, same, "left").drop(*(fitted[k] for k in keys))
+    fits = F.filter("steps_", lambda s: s["upper"] >= F.col("score"))
+    value = F.when(F.size(fits) > 0, fits[0]["value"]).otherwise(F.element_at("steps_", -1)["value"])
+    return joined.withColumn("calibrated", F.when(F.col("score").isNotNull() & F.col("steps_").isNotNull(), value)).drop("steps_")
 
 
 def oscillation(obs: DataFrame, value: str, least: int = 8, span: int = 30) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .nullsafe import join_same
+from .ranks import in_ranges
+
 
 def recall_by_slice(rows: DataFrame, domain: str, cell: list[str], tp: Column, gt: Column, prior: float = 10.0) -> DataFrame:
     """Slice recall shrunk to its domain's: (tp + k * p) / (gt + k)."""
@@ -44,7 +47,7 @@ def route_candidates(scores: DataFrame, item: str, sure: float = 0.85, maybe: fl
 def label_filter(rows: DataFrame, group: str, high: float = 0.9, low: float = 0.1) -> DataFrame:
     """keep, review or reject by the quantiles of the score within the group."""
     limits = rows.groupBy(group).agg(F.percentile("score", F.lit(high)).alias("hi"), F.percentile("score", F.lit(low)).alias("lo"))
-    return rows.join(F.broadcast(limits), group).withColumn("decision", F.when(F.col("score") >= F.col("hi"), "keep").when(F.col("score") <= F.col("lo"), "reject").otherwise("review"))
+    return join_same(rows, F.broadcast(limits), [group]).withColumn("decision", F.when(F.col("score") >= F.col("hi"), "keep").when(F.col("score") <= F.col("lo"), "reject").otherwise("review"))
 
 
 def class_f1(rows: DataFrame, key: str, truth: str, guess: str) -> DataFrame:
@@ -73,10 +76,13 @@ def merge_reviews(entities: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def pareto(rows: DataFrame, key: str, up: str, down: str) -> DataFrame:
     """Rows that no other row beats in both measures (higher ``up``, lower ``down``), by a running best instead of comparing pairs."""
-    best = rows.groupBy(down).agg(F.max(up).alias(up))
-    before = F.max(up).over(Window.orderBy(down).rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("before", before).where(F.col("before").isNull() | (F.col(up) > F.col("before"))).drop("before")
-    return rows.join(F.broadcast(front), [up, down]).select(key, up, down)
+    best = in_ranges(rows.groupBy(down).agg(F.max(up).alias(up)), [down], "pareto")
+    parts = best.groupBy("range_").agg(F.max(up).alias("most"))
+    earlier = parts.select("range_", F.max("most").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))  # one row a range
+    inside = F.max(up).over(Window.partitionBy("range_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1))
+    front = best.withColumn("inside", inside).join(earlier, "range_").withColumn("before", F.greatest("inside", "earlier"))
+    front = front.where(F.col("before").isNull() | (F.col(up) > F.col("before"))).select(up, down)
+    return rows.join(front, [up, down]).select(key, up, down)
 
 
 def review_queue(rows: DataFrame, cell: list[str], key: str, budget: int) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .nullsafe import join_same
+
 
 def ess_gini(rows: DataFrame, key: str, weight: str) -> DataFrame:
     """Effective sample size and Gini coefficient of a weight per key.
@@ -24,7 +28,8 @@ def ess_gini(rows: DataFrame, key: str, weight: str) -> DataFrame:
 
 def target_distribution(app: DataFrame, bench: DataFrame, error: DataFrame, key: str, alpha: float = 1.0, beta: float = 0.3, gamma: float = 0.5) -> DataFrame:
     """app**alpha * bench**beta * exp(gamma * error) over the union of keys, floored at 1e-8 and normalised.  The key domain is small."""
-    joined = app.join(bench, key, "full").join(error, key, "full")
+    parts = [df.select(key, *(F.col(c).cast("double").alias(c) if c == own else F.lit(None).cast("double").alias(c) for c in ("app", "bench", "error"))) for own, df in (("app", app), ("bench", bench), ("error", error))]
+    joined = reduce(DataFrame.unionByName, parts).groupBy(key).agg(*(F.max(c).alias(c) for c in ("app", "bench", "error")))  # null is a key of its own
     floor = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(1e-8))
     raw = F.pow(floor("app"), F.lit(alpha)) * F.pow(floor("bench"), F.lit(beta)) * F.exp(gamma * F.coalesce(F.col("error"), F.lit(0.0)))
     rows = joined.withColumn("raw", raw)
@@ -56,9 +61,10 @@ def repeat_factors(rows: DataFrame, axis: str, target: DataFrame, quality: Colum
     """sqrt(target / frequency) * quality within 0..cap, and 0 for rows that are not valid."""
     n = rows.groupBy(axis).agg(F.count("*").alias("freq"))
     total = n.agg(F.sum("freq").alias("all"))
-    shares = n.join(F.broadcast(total)).select(axis, (F.col("freq") / F.col("all")).alias("share")).join(target, axis, "left")
+    shares = n.join(F.broadcast(total)).select(axis, (F.col("freq") / F.col("all")).alias("share"))
+    shares = join_same(shares, target, [axis], "left")
     factor = F.sqrt(F.coalesce("target", F.lit(0.0)) / F.col("share")) * quality
-    return rows.join(F.broadcast(shares), axis).withColumn("factor", F.when(valid, F.least(F.greatest(factor, F.lit(0.0)), F.lit(cap))).otherwise(0.0))
+    return join_same(rows, F.broadcast(shares), [axis]).withColumn("factor", F.when(valid, F.least(F.greatest(factor, F.lit(0.0)), F.lit(cap))).otherwise(0.0))
 
 
 def _cdf(rows: DataFrame, key: str, side: str, value: str) -> DataFrame:

@@ -25,19 +25,21 @@ def kinematics(obs: DataFrame, max_gap: int = 10, keys: tuple[str, ...] = ("trac
     return out.withColumn("turn", F.atan2(F.sin(turn), F.cos(turn)))
 
 
-def gap_runs(obs: DataFrame, max_gap: int = 10, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
-    """Runs without a gap of more than ``max_gap`` frames: first and last frame, observations, path."""
+def with_runs(obs: DataFrame, max_gap: int = 10, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
+    """Adds run: numbers of the stretches of a track without a gap of more than ``max_gap`` frames, from 1."""
     w = _along(*keys)
     starts = F.coalesce((F.col("frame") - F.lag("frame").over(w) > max_gap).cast("int"), F.lit(1))
-    numbered = obs.withColumn("starts", starts).withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "run").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count("*").alias("n"))
+    return obs.withColumn("starts", starts).withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+
+
+def gap_runs(obs: DataFrame, max_gap: int = 10, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
+    """Runs without a gap of more than ``max_gap`` frames: first and last frame, observations, path."""
+    return with_runs(obs, max_gap, keys).groupBy(*keys, "run").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count("*").alias("n"))
 
 
 def motion_lag(obs: DataFrame, lag: int = 5, max_gap: int = 10) -> DataFrame:
     """As-of backward join: the latest observation of the same run at least ``lag`` frames before."""
-    w = _along("track_id")
-    starts = F.coalesce((F.col("frame") - F.lag("frame").over(w) > max_gap).cast("int"), F.lit(1))
-    numbered = obs.withColumn("starts", starts).withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = with_runs(obs, max_gap)
     before = Window.partitionBy("track_id", "run").orderBy("frame").rangeBetween(Window.unboundedPreceding, -lag)
     past = F.max(F.struct("frame", "event_id", "x", "y")).over(before)
     out = numbered.withColumn("past", past)

@@ -92,11 +92,13 @@ def state_coverage(spark, sf_dir):
     return dets.groupingSets([["origin"], ["class_id"], ["split"]], "origin", "class_id", "split").agg(F.count("*").alias("n"), F.count_distinct("track_id").alias("tracks"))
 
 
-@query("last_emission", f"WITH {DET_SQL} SELECT frame, track_id, det, conf FROM (SELECT *, row_number() OVER (PARTITION BY frame, track_id ORDER BY det DESC) AS r FROM det) WHERE r = 1")
+@query("last_emission", f"WITH {DET_SQL}, e AS (SELECT *, CASE WHEN det % 4 <> 0 THEN track_id END AS tid FROM det) SELECT frame, tid AS track_id, det, conf, tid IS NOT NULL AND r > 1 AS superseded FROM (SELECT *, row_number() OVER (PARTITION BY frame, tid ORDER BY det DESC) AS r FROM e)")
 def last_emission(spark, sf_dir):
-    """Per frame the last emission of each track."""
+    """Per frame the last emission of each track counts, earlier ones are superseded; boxes without a track all pass."""
+    track = F.when(F.col("det") % 4 != 0, F.col("track_id"))
     last = Window.partitionBy("frame", "track_id").orderBy(F.desc("det"))
-    return detections(spark, sf_dir).withColumn("r", F.row_number().over(last)).where("r = 1").select("frame", "track_id", "det", "conf")
+    rows = detections(spark, sf_dir).withColumn("track_id", track).withColumn("r", F.row_number().over(last))
+    return rows.select("frame", "track_id", "det", "conf", (F.col("track_id").isNotNull() & (F.col("r") > 1)).alias("superseded"))
 
 
 @query(
@@ -179,9 +181,13 @@ def hash_subset(spark, sf_dir):
 
 @query("suppress_fills")
 def suppress_fills(spark, sf_dir):
-    """Fills hidden by an overlap of 0.2 of the smaller area and 16 px with a kept box; observed boxes always stay."""
+    """Fills hidden by an overlap of 0.2 of the smaller area and 16 px with a kept box; observed boxes always stay, invalid ones hide none.
+
+    Fills come by gap, observed length (longest first), displacement of their ends and track.
+    """
     dets = detections(spark, sf_dir).where("class_id = 0")
-    return matching.suppress(dets, 0.2, [F.desc("conf"), F.col("track_id"), F.col("det")], "io_min", 16, F.col("origin") == "observed")
+    gap, length, moved = F.col("det") % 4 + 1, F.col("track_id") % 17, (F.col("x1") + F.col("y1")) % 29
+    return matching.suppress(dets, 0.2, [gap, F.desc(length), moved, F.col("track_id"), F.col("det")], "io_min", 16, F.col("origin") == "observed", F.col("det") % 13 != 0)
 
 
 @query("nms")
@@ -211,7 +217,7 @@ def hungarian_match(spark, sf_dir):
 def detection_ap(spark, sf_dir):
     gt, pred = _truth_and_predictions(spark, sf_dir)
     hits = matching.greedy_matches(pred, gt, [0.5 + 0.05 * k for k in range(10)])
-    return rounded(matching.average_precision(hits, gt.count()))
+    return rounded(matching.average_precision(hits, gt))
 
 
 @query(

@@ -57,11 +57,11 @@ def causal_tuple(spark, sf_dir):
     return labels.causal_tuples(track_rows(spark, sf_dir), "track_id", ["frame", "event_id"], "x", 3)
 
 
-@query("smooth_centres", f"""WITH {TRK_SQL}, n AS (SELECT *, coalesce(lag(x, 1) OVER w, x) AS a1, coalesce(lead(x, 1) OVER w, x) AS b1, coalesce(lag(x, 2) OVER w, lag(x, 1) OVER w, x) AS a2, coalesce(lead(x, 2) OVER w, lead(x, 1) OVER w, x) AS b2 FROM trk WINDOW w AS (PARTITION BY track_id ORDER BY frame, event_id)),
+@query("smooth_centres", f"""WITH {TRK_SQL}, g0 AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY track_id ORDER BY frame, event_id) <= 500 THEN 0 ELSE 1 END AS st FROM trk), g AS (SELECT *, sum(st) OVER (PARTITION BY track_id ORDER BY frame, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g0), n AS (SELECT *, coalesce(lag(x, 1) OVER w, x) AS a1, coalesce(lead(x, 1) OVER w, x) AS b1, coalesce(lag(x, 2) OVER w, lag(x, 1) OVER w, x) AS a2, coalesce(lead(x, 2) OVER w, lead(x, 1) OVER w, x) AS b2 FROM g WINDOW w AS (PARTITION BY track_id, run ORDER BY frame, event_id)),
 m AS (SELECT *, (x + 0.6065306597126334e0 * (a1 + b1) + 0.1353352832366127e0 * (a2 + b2)) / (1 + 2 * 0.6065306597126334e0 + 2 * 0.1353352832366127e0) - x AS d FROM n)
 SELECT track_id, frame, event_id, round(CAST(x + least(greatest(d, -2), 2) AS double), 5) AS smoothed FROM m""")
 def smooth_centres(spark, sf_dir):
-    return rounded(labels.smooth(track_rows(spark, sf_dir), "x"), 5)
+    return rounded(labels.smooth(track_rows(spark, sf_dir), "x", max_gap=500), 5)
 
 
 @query("balanced_order", f"""WITH {REC_SQL}, n AS (SELECT domain, sample_id, row_number() OVER (PARTITION BY domain ORDER BY size, sample_id) - 1 AS i, count(*) OVER (PARTITION BY domain) AS s FROM rec), q AS (SELECT max(s) AS q FROM n)
@@ -190,12 +190,15 @@ def champion_gate(spark, sf_dir):
     return m.select("protocol", F.when(F.col("n") < 100, "too_few").when(F.col("candidate") < F.col("champion") * 0.995, "regression").when(F.col("candidate") > F.col("champion"), "improved").otherwise("no_improvement").alias("reason"))
 
 
-@query("fingerprints", f"WITH {DET_SQL}, h AS (SELECT video, frame, sha256(string_agg(concat_ws(',', det, x1, y1, x2, y2), ';' ORDER BY det)) AS h FROM det GROUP BY 1, 2) SELECT video, count(*) AS frames, sha256(string_agg(h, '' ORDER BY frame)) AS digest FROM h GROUP BY video")
+@query("fingerprints", f"""WITH {DET_SQL}, h AS (SELECT video, frame, sha256(string_agg(concat_ws(',', det, x1, y1, x2, y2), ';' ORDER BY det)) AS h FROM det GROUP BY 1, 2),
+b AS (SELECT video, frame // 1000 AS block, count(*) AS n, sha256(string_agg(h, '' ORDER BY frame)) AS h FROM h GROUP BY 1, 2) SELECT video, CAST(sum(n) AS bigint) AS frames, sha256(string_agg(h, '' ORDER BY block)) AS digest FROM b GROUP BY video""")
 def fingerprints(spark, sf_dir):
-    """Content hash of each video from its frames' hashes, which are short: order decides, not storage."""
+    """Content hash of each video: of the hashes of its blocks of 1000 frame numbers, which hash their frames' hashes; no list holds a video's frames."""
     row = F.concat_ws(",", "det", "x1", "y1", "x2", "y2")
-    frames = detections(spark, sf_dir).groupBy("video", "frame").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("det", row.alias("r")))), lambda x: x["r"]), ";"), 256).alias("h"))
-    return frames.groupBy("video").agg(F.count("*").alias("frames"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
+    joined = lambda order, c, by: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("c")))), lambda x: x["c"]), by), 256)
+    frames = detections(spark, sf_dir).withColumn("r", row).groupBy("video", "frame").agg(joined("det", "r", ";").alias("h"))
+    blocks = frames.groupBy("video", F.floor(F.col("frame") / 1000).alias("block")).agg(F.count("*").alias("n"), joined("frame", "h", "").alias("h"))
+    return blocks.groupBy("video").agg(F.sum("n").alias("frames"), joined("block", "h", "").alias("digest"))
 
 
 @query("role_lists", f"WITH {REC_SQL}, g AS (SELECT domain, grp, count(*) AS n, avg(1 - correct) AS e, avg(CAST(risk AS double)) AS r FROM rec GROUP BY 1, 2) SELECT domain, grp, 'scarce' AS role FROM g WHERE n < 6 UNION ALL SELECT domain, grp, 'hard' FROM g WHERE e > 0.5 UNION ALL SELECT domain, grp, 'risky' FROM g WHERE r > 0.1")

@@ -124,8 +124,8 @@ def trend(spark, sf_dir):
     return rounded(colony.trend(_windows(spark, sf_dir), "new_tracks"))
 
 
-@query("density_grid", f"""WITH {TRK_SQL}, p AS (SELECT event_id, state AS scope, x // 10 AS px, y // 10 AS py FROM trk), g AS (SELECT unnest(range(0, 10)) AS g),
-c AS (SELECT p.*, a.g AS gx, b.g AS gy, exp(-(pow(a.g - px, 2) + pow(b.g - py, 2)) / 2.88) AS w FROM p JOIN g a ON abs(a.g - px) <= 4 JOIN g b ON abs(b.g - py) <= 4),
+@query("density_grid", f"""WITH {TRK_SQL}, p AS (SELECT event_id, state AS scope, x / 10.0 AS px, y / 10.0 AS py FROM trk), g AS (SELECT unnest(range(0, 10)) AS g),
+c AS (SELECT p.*, a.g AS gx, b.g AS gy, exp(-(pow(a.g - px, 2) + pow(b.g - py, 2)) / 2.88) AS w FROM p JOIN g a ON abs(a.g - round_even(px, 0)) <= 4 JOIN g b ON abs(b.g - round_even(py, 0)) <= 4),
 n AS (SELECT *, w / sum(w) OVER (PARTITION BY event_id) AS m FROM c) SELECT scope, gx, gy, round(sum(m), 5) AS mass FROM n GROUP BY 1, 2, 3""")
 def density_grid(spark, sf_dir):
     pts = track_rows(spark, sf_dir).select(F.col("state").alias("scope"), "x", "y", F.lit(10).cast("long").alias("nx"), F.lit(10).cast("long").alias("ny"))
@@ -184,5 +184,7 @@ def gate_crossings(spark, sf_dir):
     """Confirmed crossings of a segment by every track; event minutes are the frames."""
     from ..streaming.gate import Gate, gate_crossings
 
-    obs = track_rows(spark, sf_dir).select("track_id", "frame", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(1000.0).alias("body")).dropDuplicates(["track_id", "frame"])
+    # of several events in a minute the first one counts
+    first = track_rows(spark, sf_dir).groupBy("track_id", "frame").agg(F.min_by(F.struct("x", "y"), "event_id").alias("p"))
+    obs = first.select("track_id", "frame", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"), F.lit(1000.0).alias("body"))
     return gate_crossings(obs, Gate(0, 50, 100, 50, fps=1.0, confirm_seconds=1, max_gap_seconds=5000, cooldown_seconds=0))

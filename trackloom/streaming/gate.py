@@ -34,59 +34,54 @@ class Gate:
 
 @dataclass
 class Memory:
+    """What is kept of a track: its last point, the side last confirmed and where, and how long a side has been seen."""
+
     frame: int = -1
     x: float = 0.0
     y: float = 0.0
     side: int = 0
-    candidate: int = 0
+    anchor_x: float = 0.0
+    anchor_y: float = 0.0
+    pending: int = 0
     seen: int = 0
-    on_segment: bool = False
-    last_event: int = -(10**9)
+    last_event: int = -(10**12)
 
 
-def advance(gate: Gate, m: Memory, frame: int, x: float, y: float, body: float) -> tuple[Memory, str | None]:
-    """The memory after one observation, and the direction of a crossing that it confirms.
+def advance(gate: Gate, m: Memory, frame: int, x: float, y: float, body: float) -> tuple[Memory, tuple[str, float, float] | None]:
+    """The memory after one observation, and the crossing (direction, x, y) that it confirms.
 
-    A gap or a jump starts anew.  Inside the dead band the side does not change.  The path must
-    meet the segment itself where the side changes; ``confirm_seconds`` of observations on the
-    new side confirm it, and a cool-down follows.
+    A gap or a jump forgets everything, the cool-down included; bodies count as one pixel long
+    at least.  The dead band ends a side's run.  ``confirm_seconds`` of observations in a row
+    confirm a side; where it differs from the side confirmed before, the straight way from the
+    point of that confirmation must meet the segment itself.
     """
     dx, dy = gate.bx - gate.ax, gate.by - gate.ay
     length = math.hypot(dx, dy)
-    distance = (dx * (y - gate.ay) - dy * (x - gate.ax)) / length
+    off = lambda px, py: (dx * (py - gate.ay) - dy * (px - gate.ax)) / length
+    distance = off(x, y)
     side = 0 if abs(distance) <= gate.deadband else 1 if distance > 0 else -1
     dt = (frame - m.frame) / gate.fps
-    fresh = m.frame < 0 or dt <= 0 or dt > gate.max_gap_seconds or math.hypot(x - m.x, y - m.y) > gate.max_speed * max(body, 1e-9) * dt
-    if fresh:
-        return Memory(frame, x, y, side, last_event=m.last_event), None
-    was = (dx * (m.y - gate.ay) - dy * (m.x - gate.ax)) / length
-    met = m.on_segment
-    if (was > 0) != (distance > 0):
-        t = was / (was - distance) if was != distance else 0.0
-        cx, cy = m.x + t * (x - m.x), m.y + t * (y - m.y)
-        along = ((cx - gate.ax) * dx + (cy - gate.ay) * dy) / (length * length)
-        met = 0 <= along <= 1
-    out = Memory(frame, x, y, m.side, m.candidate, m.seen, met, m.last_event)
-    if side == 0 or side == m.side:
-        if side == m.side:
-            out.candidate, out.seen, out.on_segment = 0, 0, False
-        return out, None
-    if m.side == 0:
-        out.side, out.on_segment = side, False
-        return out, None
-    out.seen = m.seen + 1 if m.candidate == side else 1
-    out.candidate = side
-    if out.seen < max(1, math.ceil(gate.confirm_seconds * gate.fps)):
+    if m.frame < 0 or dt > gate.max_gap_seconds or math.hypot(x - m.x, y - m.y) / max(body, 1.0) > gate.max_speed * dt:
+        m = Memory()
+    seen = 0 if side == 0 else m.seen + 1 if m.pending == side else 1
+    out = Memory(frame, x, y, m.side, m.anchor_x, m.anchor_y, side, seen, m.last_event)
+    if not seen or seen < math.ceil(gate.confirm_seconds * gate.fps):
         return out, None
     event = None
-    if met and frame - m.last_event >= gate.cooldown_seconds * gate.fps:
-        event, out.last_event = ("in" if side == gate.inside else "out"), frame
-    out.side, out.candidate, out.seen, out.on_segment = side, 0, 0, False
+    if m.side and side != m.side:
+        was = off(m.anchor_x, m.anchor_y)
+        t = was / (was - distance)
+        cx, cy = m.anchor_x + t * (x - m.anchor_x), m.anchor_y + t * (y - m.anchor_y)
+        along = ((cx - gate.ax) * dx + (cy - gate.ay) * dy) / (length * length)
+        if 0 <= along <= 1 and (frame - m.last_event) / gate.fps >= gate.cooldown_seconds:
+            event, out.last_event = ("in" if side == gate.inside else "out", cx, cy), frame
+    out.side, out.anchor_x, out.anchor_y = side, x, y
     return out, event
 
 
-EVENTS = "track_id long, frame long, direction string"
-STATE = "frame long, x double, y double, side int, candidate int, seen int, on_segment boolean, last_event long"
+EVENTS = "track_id long, frame long, direction string, cross_x double, cross_y double"
+_NAMES = [c.split()[0] for c in EVENTS.split(", ")]
+STATE = "frame long, x double, y double, side int, anchor_x double, anchor_y double, pending int, seen int, last_event long"
 
 
 def gate_crossings(obs: DataFrame, gate: Gate) -> DataFrame:
@@ -101,8 +96,8 @@ def gate_crossings(obs: DataFrame, gate: Gate) -> DataFrame:
                     track, m = t, Memory()
                 m, event = advance(gate, m, frame, x, y, body)
                 if event:
-                    out.append((t, frame, event))
-            yield pd.DataFrame(out, columns=["track_id", "frame", "direction"])
+                    out.append((t, frame, *event))
+            yield pd.DataFrame(out, columns=_NAMES)
 
     return obs.select("track_id", "frame", "x", "y", "body").repartition("track_id").sortWithinPartitions("track_id", "frame").mapInPandas(run, EVENTS)
 
@@ -118,8 +113,8 @@ def stream_crossings(obs: DataFrame, gate: Gate) -> DataFrame:
             if frame > m.frame:
                 m, event = advance(gate, m, int(frame), x, y, body)
                 if event:
-                    out.append((key[0], frame, event))
+                    out.append((key[0], frame, *event))
         state.update(tuple(asdict(m).values()))
-        yield pd.DataFrame(out, columns=["track_id", "frame", "direction"])
+        yield pd.DataFrame(out, columns=_NAMES)
 
     return obs.select("track_id", "frame", "x", "y", "body").groupBy("track_id").applyInPandasWithState(step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -124,7 +124,7 @@ def votes(text: Column, span: Column) -> list[Column]:
     issued = either([match.startswith(x) for x in ISSUERS]) | either([F.regexp_replace(match, r"\(", "").startswith(x) for x in CODES])
     shown = either([F.lower(match).contains(x) for x in PLACEHOLDERS]) | match.rlike(r"^(?:19|20)[0-9]{2}[ .-]")
     return [
-        vote(match.rlike(r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|(?=.*[a-z])(?=.*[0-9])[0-9a-f]{16,}|(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9]).{16,})\z"), match.rlike(r"^(?:[0-9]{2,4}-[0-9]{2}-[0-9]{2,4}|[A-Za-z]+[0-9]{1,2}|[0-9]{1,4}(?:\.[0-9]{1,4})+)\z") & ~match.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}\z")),
+        vote(match.rlike(r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|(?=.*[a-z])(?=.*[0-9])[0-9a-f]{16,}|(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9]).{16,})\z"), match.rlike(r"^(?:[0-9]{2,4}-[0-9]{2}-[0-9]{2,4}|[A-Za-z]+(?:_[A-Za-z]+)*_?[0-9]{1,3}|[0-9]{1,4}(?:\.[0-9]{1,4})+)\z") & ~match.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}\z")),
         vote(issued, shown),
         vote(word.isin(FOR_WORDS), word.isin(AGAINST_WORDS)),
         vote(lead.rlike(r"[=:\"']\s?\z"), lead.rlike(r"(?:[0-9a-z/_.-]|#\s?)\z")),

@@ -81,7 +81,7 @@ def _write(folder: str, level: int):
         from pyarrow import fs
 
         shard, rows = TaskContext.get().partitionId(), []
-        seen: set[bytes] = set()  # 16 bytes for each different text of this partition
+        seen: set[bytes] = set()  # a digest for each different text of this partition, which the size of partitions bounds
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         name = f"{root}/media-{shard:06d}-{uuid.uuid4().hex}.tar"

@@ -150,7 +150,7 @@ def bands_of(least: np.ndarray, rows: int) -> np.ndarray:
 
 def _sign(bands: int, rows: int, size: int):
     def run(batches):
-        seen: set[bytes] = set()  # 16 bytes for each different text of this partition
+        seen: set[bytes] = set()  # a digest for each different text of this partition, which the size of partitions bounds
         for whole in batches:
             for batch in slices(whole, 256):
                 out = []

@@ -95,3 +95,16 @@ def test_bootstrap_and_guard(spark):
     m = spark.createDataFrame([("v", True, False)], "video string, hit boolean, confirmed boolean")
     with pytest.raises(Exception, match="unconfirmed"):
         reports.evaluation_report(m, ["video"], F.col("confirmed")).collect()
+
+
+def test_frame_and_round_exports(spark, tmp_path):
+    from trackloom.sinks import rows as sink
+
+    frames = spark.createDataFrame([("IR_in", "v", 1, "train"), ("IR_in", "v", 2, "test"), ("RGB_out", "w", 1, "train")], "domain string, video string, frame long, split string")
+    sink.write_frames(frames, str(tmp_path / "f"))
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "f")).select("domain", "video", "frame").collect())) == [("IR_in", "v", 1), ("IR_in", "v", 2), ("RGB_out", "w", 1)]
+    first = {r["split"]: (r["rows"], r["digest"]) for r in sink.export_round(frames, str(tmp_path / "a"), "frame").collect()}
+    again = {r["split"]: (r["rows"], r["digest"]) for r in sink.export_round(frames.repartition(3), str(tmp_path / "b"), "frame").collect()}
+    assert first == again and first["train"][0] == 2 and spark.read.json(str(tmp_path / "a" / "data")).count() == 3
+    with pytest.raises(Exception, match="(?i)exist"):
+        sink.export_round(frames, str(tmp_path / "a"), "frame")

@@ -117,3 +117,49 @@ def readback_audit(source: DataFrame, output: DataFrame, key: list[str], same: l
     speed = F.col("moved") / F.col("gap") * fps
     speeds = steps.agg(one(speed > limit).alias("too_fast"), F.expr(f"percentile_disc(0.95) within group (order by round(moved / gap * {fps}, 6))").alias("p95_speed"))
     return rows.crossJoin(doubled).crossJoin(speeds)  # one row each
+
+
+def endpoint_hits(rows: DataFrame, key: str, limits: tuple[float, ...] = (0.1, 0.2)) -> DataFrame:
+    """Per key the share of true points with a predicted one within each limit, in box diagonals; a missing prediction is a miss.
+
+    Rows have gx, gy (null where there is no true point), px, py and diag.
+    """
+    error = F.hypot(F.col("gx") - F.col("px"), F.col("gy") - F.col("py")) / F.greatest(F.col("diag"), F.lit(1e-6))
+    hit = lambda limit: F.avg(F.when(F.coalesce(error < limit, F.lit(False)), 1.0).otherwise(0.0))
+    return rows.where("gx is not null and gy is not null").groupBy(key).agg(F.count("*").alias("points"), *(hit(x).alias(f"pck_{str(x).replace('.', '_')}") for x in limits))
+
+
+def behaviour_report(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per class tp, fp, fn and f1 over events matched by event_id, with the macro mean and the share of predictions that name their evidence.
+
+    A prediction of another class is a false positive of its own and a miss of the true class;
+    events of one side only count for that side.
+    """
+    p = pred.select("event_id", F.col("label").alias("p"), F.col("evidence").isNotNull().cast("double").alias("e"))
+    both = p.join(truth.select("event_id", F.col("label").alias("t")), "event_id", "full")
+    same = F.coalesce(F.col("p") == F.col("t"), F.lit(False))
+    sides = both.select(F.explode(F.array(F.struct(F.col("p").alias("label"), same.cast("int").alias("tp"), (~same).cast("int").alias("fp"), F.lit(0).alias("fn")), F.struct(F.col("t").alias("label"), F.lit(0).alias("tp"), F.lit(0).alias("fp"), (~same).cast("int").alias("fn")))).alias("s")).select("s.*").where("label is not null")
+    rows = sides.groupBy("label").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    rows = rows.withColumn("f1", 2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1)))
+    whole = rows.agg(F.avg("f1").alias("macro_f1")).crossJoin(p.agg(F.avg("e").alias("completeness")))  # one row
+    return rows.crossJoin(whole)
+
+
+def split_frame_gaps(frames: DataFrame, limit: int = 20) -> DataFrame:
+    """Videos whose frames of different splits come within ``limit`` of each other: video, least_gap.
+
+    Neighbours in frame order decide: the least gap between splits is between two neighbours.
+    """
+    w = Window.partitionBy("video").orderBy("frame", "split")
+    rows = frames.select("video", "frame", "split").distinct()
+    gap = F.when(F.lag("split").over(w) != F.col("split"), F.col("frame") - F.lag("frame").over(w))
+    return rows.withColumn("gap", gap).groupBy("video").agg(F.min("gap").alias("least_gap")).where(F.col("least_gap") <= limit)
+
+
+def near_by_length(ents: DataFrame, factor: float = 1.5) -> DataFrame:
+    """Pairs of a frame whose centres lie within ``factor`` mean body lengths: frame, a, b, distance in mean lengths; entities without a length have none."""
+    side = lambda s: ents.where("length > 0").select("frame", F.col("det").alias(s), F.col("length").alias(f"{s}_l"), ((F.col("x1") + F.col("x2")) / 2).alias(f"{s}_x"), ((F.col("y1") + F.col("y2")) / 2).alias(f"{s}_y"))
+    apart = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y"))
+    mean = (F.col("a_l") + F.col("b_l")) / 2
+    pairs = side("a").join(side("b"), "frame").where((F.col("a") < F.col("b")) & (apart <= factor * mean))
+    return pairs.select("frame", "a", "b", (apart / mean).alias("distance"))

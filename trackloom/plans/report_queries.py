@@ -79,3 +79,38 @@ def readback_audit(spark, sf_dir):
     d = detections(spark, sf_dir).select("frame", "det", "video", "track_id", "x1", "y1", "x2", "y2")
     o = d.where("det % 7 <> 0").withColumns({"track_id": F.col("track_id") + (F.col("frame") % 9 == 0).cast("int"), "x1": F.col("x1") + (F.col("frame") % 50 == 0).cast("int")})
     return rounded(reports.readback_audit(d, o, ["frame", "det"], ["x1", "y1", "x2", "y2"]))
+
+
+@query("endpoint_hits", f"""WITH {ENT_SQL} SELECT domain, count(*) AS points, round(avg(CASE WHEN det % 5 <> 0 AND sqrt(pow(det % 3 * 4, 2)) / sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) < 0.1 THEN 1.0 ELSE 0.0 END), 6) AS pck_0_1,
+  round(avg(CASE WHEN det % 5 <> 0 AND sqrt(pow(det % 3 * 4, 2)) / sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) < 0.2 THEN 1.0 ELSE 0.0 END), 6) AS pck_0_2 FROM ent WHERE head_x IS NOT NULL GROUP BY domain""")
+def endpoint_hits(spark, sf_dir):
+    e = ents(spark, sf_dir)
+    seen = lambda v: F.when(F.col("det") % 5 != 0, v)
+    rows = e.select("domain", F.col("head_x").alias("gx"), F.col("head_y").alias("gy"), seen(F.col("head_x") + F.col("det") % 3 * 4).alias("px"), seen(F.col("head_y")).alias("py"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("diag"))
+    return rounded(reports.endpoint_hits(rows, "domain"))
+
+
+@query("behaviour_report", """WITH p AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'click' ELSE event_type END AS label, event_id % 4 <> 0 AS e FROM events WHERE event_id % 7 <> 0), t AS (SELECT event_id, event_type AS label FROM events WHERE event_id % 5 <> 0),
+b AS (SELECT p.label AS p, t.label AS t, coalesce(p.label = t.label, false) AS s FROM p FULL JOIN t ON p.event_id = t.event_id), l AS (SELECT p AS label, CASE WHEN s THEN 1 ELSE 0 END AS tp, CASE WHEN s THEN 0 ELSE 1 END AS fp, 0 AS fn FROM b WHERE p IS NOT NULL UNION ALL SELECT t, 0, 0, CASE WHEN s THEN 0 ELSE 1 END FROM b WHERE t IS NOT NULL),
+r AS (SELECT label, CAST(sum(tp) AS bigint) AS tp, CAST(sum(fp) AS bigint) AS fp, CAST(sum(fn) AS bigint) AS fn, 2 * sum(tp) / CAST(greatest(2 * sum(tp) + sum(fp) + sum(fn), 1) AS double) AS f1 FROM l GROUP BY label)
+SELECT label, tp, fp, fn, round(f1, 6) AS f1, round((SELECT avg(f1) FROM r), 6) AS macro_f1, round((SELECT avg(CASE WHEN e THEN 1.0 ELSE 0.0 END) FROM p), 6) AS completeness FROM r""")
+def behaviour_report(spark, sf_dir):
+    from .projections import table
+
+    e = table(spark, sf_dir, "events")
+    label = F.when(F.col("event_id") % 9 == 0, "click").otherwise(F.col("event_type"))
+    pred = e.where("event_id % 7 <> 0").select("event_id", label.alias("label"), F.when(F.col("event_id") % 4 != 0, "seen").alias("evidence"))
+    return rounded(reports.behaviour_report(pred, e.where("event_id % 5 <> 0").select("event_id", F.col("event_type").alias("label"))))
+
+
+@query("split_frame_gaps", f"WITH {DET_SQL} SELECT a.video, min(abs(a.frame - b.frame)) AS least_gap FROM (SELECT DISTINCT video, frame, split FROM det) a JOIN (SELECT DISTINCT video, frame, split FROM det) b ON a.video = b.video AND a.split <> b.split GROUP BY 1 HAVING min(abs(a.frame - b.frame)) <= 20")
+def split_frame_gaps(spark, sf_dir):
+    return reports.split_frame_gaps(detections(spark, sf_dir))
+
+
+@query("near_by_length", f"""WITH {ENT_SQL}, l AS (SELECT frame, det, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy, sqrt(pow(head_x - tail_x, 2) + pow(head_y - tail_y, 2)) AS len FROM ent WHERE head_x IS NOT NULL),
+p AS (SELECT a.frame, a.det AS a, b.det AS b, sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) AS d, (a.len + b.len) / 2 AS m FROM l a JOIN l b ON a.frame = b.frame AND a.det < b.det WHERE a.len > 0 AND b.len > 0) SELECT frame, a, b, round(d / m, 6) AS distance FROM p WHERE d <= 1.5 * m""")
+def near_by_length(spark, sf_dir):
+    from ..operators import entities
+
+    return rounded(reports.near_by_length(entities.with_pose(ents(spark, sf_dir))))

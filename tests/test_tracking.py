@@ -13,6 +13,7 @@ ROWS = "seq string, frame long, track_id long, x1 double, y1 double, x2 double,
 
 
 def track(track_id, frames, at=0.0, seq="s"):
+    at = float(at)
     return [(seq, f, track_id, at, at, at + 10, at + 10) for f in frames]
 
 
@@ -65,6 +66,7 @@ POSED = "frame long, det long, x1 double, y1 double, x2 double, y2 double, conf
 
 
 def posed(det, x, w=20.0, conf=0.9, sure=0.9, track_id=None, frame=0):
+    x, w = float(x), float(w)
     return (frame, det, x, 0.0, x + w, 20.0, conf, x + 2, 2.0, sure, x + w - 2, 18.0, sure, "v", track_id if track_id is not None else det, "observed")
 
 

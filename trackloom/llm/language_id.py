@@ -37,11 +37,26 @@ def _runs() -> re.Pattern:
     return re.compile("[A-Za-z" + "".join(f"{chr(p[0])}-{chr(p[-1])}" for p in parts) + "]+")
 
 
+class _Odd(dict):
+    """Whether a character needs the full pattern: marks belong to words, numerals other than digits do not."""
+
+    def __missing__(self, c: str) -> bool:
+        kind = unicodedata.category(c)
+        self[c] = odd = kind[0] == "M" or kind in ("Nl", "No")
+        return odd
+
+
+_ODD = _Odd()
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def words(text: str | None) -> list[str]:
     """The words of a text in lower case: runs of letters and marks with at least one letter.  Numerals such as fractions are no letters."""
     low = (text or "").lower()
     if low.isascii():
         return _ASCII.findall(low)
+    if not any(map(_ODD.__getitem__, set(low))):
+        return _LETTERS.findall(low)
     return [w for w in _runs().findall(low) if w[0].isalpha() or any(map(str.isalpha, w))]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, lm_score, media, near_dedup, packing, pii, token_files, url_filter
+from . import chat, conversation_repair, decontamination, language_id, lm_score, media, near_dedup, packing, pii, source_audit, token_files, toxicity, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -67,9 +67,26 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_repair.damage(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return conversation_repair.repair_digests(turns, F.col("lost"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.train(toxicity.labelled_sample(docs, labels.where(~toxicity.held_out())))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergences(_table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_media_columns, op3_language_id, op4_lm_score, op5_pii, op6_url_filter, op7_decontamination, op8_near_dedup, op9_token_files, op10_chat_format)}
+    return {f.__name__: f for f in (op1_packing, op2_media_columns, op3_language_id, op4_lm_score, op5_pii, op6_url_filter, op7_decontamination, op8_near_dedup, op9_token_files, op10_chat_format, op11_conversation_repair, op12_toxicity, op13_source_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lm_score": lm_score.SCORE_SQL, "op6_url_filter": url_filter.JUDGE_SQL, "op7_decontamination": decontamination.CONTAMINATION_SQL, "op10_chat_format": chat.FORMAT_SQL}
+    return {"op4_lm_score": lm_score.SCORE_SQL, "op6_url_filter": url_filter.JUDGE_SQL, "op7_decontamination": decontamination.CONTAMINATION_SQL, "op10_chat_format": chat.FORMAT_SQL, "op11_conversation_repair": conversation_repair.REPAIR_SQL, "op13_source_audit": source_audit.DIVERGENCE_SQL}

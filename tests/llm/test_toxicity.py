@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trackloom.llm import toxicity as tx
@@ -81,7 +82,9 @@ def test_fit_is_the_minimum():
             out += n * (np.logaddexp(0, z) - y * z if y is not None else 2.0 * (w[a].sum() - w[c].sum()) ** 2)
         return out
 
-    w, b = tx.fit(patterns, 6, 2.0, 0.3)
+    kinds = [("toxic", pa.int32()), ("found", pa.list_(pa.int32())), ("swapped", pa.list_(pa.int32())), ("weight", pa.float64())]
+    table = pa.table([pa.array([p[k] for p in patterns], kind) for k, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
+    w, b = tx.fit(tx.Patterns(table), 6, 2.0, 0.3)
     best = loss(w, b)
     for k in range(7):
         for d in (1e-3, -1e-3):

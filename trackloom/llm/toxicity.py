@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = 40_000) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = 30_000) -> DataFrame:
     """About ``max_docs`` labelled documents at most: text, toxic, weight.
 
     ``labels`` has doc_id and toxic (0 or 1; others do not count; of several labels of a document
@@ -173,36 +174,45 @@ def _pattern_rows(shared, terms):
     return run
 
 
-def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the ones in a sparse matrix."""
-    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([f for x in lists for f in x], np.int64)
+class Patterns:
+    """Sets of features in flat arrays: rows with a label, and pairs of rows with their swapped form."""
 
+    def __init__(self, table: pa.Table):
+        """``table`` has toxic (null for pairs), found, swapped and weight."""
+        table = table.combine_chunks()
+        labelled = pc.is_valid(table["toxic"])
+        plain, pairs = table.filter(labelled), table.filter(pc.invert(labelled))
+        self.toxic = plain["toxic"].to_numpy().astype(float)
+        self.weights, self.pair_weights = plain["weight"].to_numpy(), pairs["weight"].to_numpy()
+        self.found, self.before, self.after = self._flat(plain["found"]), self._flat(pairs["found"]), self._flat(pairs["swapped"])
 
-def fit(patterns: list[tuple], size: int, fairness: float, ridge: float, rounds: int = 1500) -> tuple[np.ndarray, float]:
-    """Weights and bias over ``patterns`` (toxic, features, swapped features, weight), by accelerated gradient steps.
+    @staticmethod
+    def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column numbers of the ones in a sparse matrix."""
+        lists = lists.combine_chunks()
+        return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+
+
+def fit(patterns: Patterns, size: int, fairness: float, ridge: float, rounds: int = 1500) -> tuple[np.ndarray, float]:
+    """Weights and bias of ``size`` features, by accelerated gradient steps.
 
     The loss is the weighted log loss of rows with a label, ``fairness`` times the squared
-    difference of log odds of the others and their swapped form, and ``ridge`` on the weights.
+    difference of log odds of the pairs, and ``ridge`` on the weights.
     """
-    plain = [p for p in patterns if p[0] is not None]
-    pairs = [p for p in patterns if p[0] is None]
-    y, w = np.array([p[0] for p in plain], float), np.array([p[3] for p in plain])
-    v = np.array([p[3] for p in pairs])
-    rows, columns = _flat([p[1] for p in plain])
-    rows_a, columns_a = _flat([p[1] for p in pairs])
-    rows_b, columns_b = _flat([p[2] for p in pairs])
+    y, w, v = patterns.toxic, patterns.weights, patterns.pair_weights
+    (rows, columns), (rows_a, columns_a), (rows_b, columns_b) = patterns.found, patterns.before, patterns.after
     scale = w.sum()
 
     def odds(x):
-        return x[size] + np.bincount(rows, x[columns], len(plain))
+        return x[size] + np.bincount(rows, x[columns], len(y))
 
     def differences(x):
-        return np.bincount(rows_a, x[columns_a], len(pairs)) - np.bincount(rows_b, x[columns_b], len(pairs))
+        return np.bincount(rows_a, x[columns_a], len(v)) - np.bincount(rows_b, x[columns_b], len(v))
 
     def back(each, apart):
         """The transposed map: from rows and pairs to features and the bias."""
         out = np.bincount(columns, each[rows], size + 1)
-        if len(pairs):
+        if len(v):
             out += np.bincount(columns_a, apart[rows_a], size + 1) - np.bincount(columns_b, apart[rows_b], size + 1)
         out[size] += each.sum()
         return out / scale
@@ -235,7 +245,7 @@ def fit(patterns: list[tuple], size: int, fairness: float, ridge: float, rounds:
     return x[:size], float(x[size])
 
 
-def train(sample: DataFrame, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, max_features: int = 20_000, least_docs: int = 3, least_gain: float = 10.0, fairness: float = 1.0, ridge: float = 0.3) -> Model:
+def train(sample: DataFrame, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, max_features: int = 6_000, least_docs: int = 3, least_gain: float = 12.0, fairness: float = 1.0, ridge: float = 0.3) -> Model:
     """Fit on ``sample`` (text, toxic, weight), as `labelled_sample` gives it.
 
     Statistics of features are summed on the cluster, and so are equal sets of features; what
@@ -248,12 +258,12 @@ def train(sample: DataFrame, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS
     shared = sample.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(chosen)})
     rows = sample.mapInArrow(_pattern_rows(shared, terms), "toxic int, found array<int>, swapped array<int>, weight double")
     grouped = rows.groupBy("toxic", "found", "swapped").agg(F.sum("weight").alias("weight"))
-    patterns = sorted(((r["toxic"], r["found"], r["swapped"], r["weight"]) for r in grouped.collect()), key=repr)
-    if not patterns:
+    patterns = Patterns(grouped.orderBy("toxic", "found", "swapped").toArrow())
+    if not len(patterns.toxic):
         return Model({}, np.zeros(0), 0.0)
     weights, bias = fit(patterns, len(chosen), fairness, ridge)
     if not chosen:  # one label alone: its odds have no end
-        mass = [sum(p[3] for p in patterns if p[0] == t) for t in (0, 1)]
+        mass = [patterns.weights[patterns.toxic == t].sum() for t in (0, 1)]
         bias = float(np.log((mass[1] + 0.5) / (mass[0] + 0.5)))
     return Model({f: k for k, f in enumerate(chosen)}, weights, bias)
 

@@ -135,8 +135,12 @@ def _feature_counts(batches):
     yield flushed()
 
 
-def _chosen(sample: DataFrame, least_docs: int, least_gain: float, max_features: int) -> list[str]:
-    """The features of at least ``least_docs`` documents whose log-likelihood ratio is ``least_gain`` or more, at most ``max_features``, the best first."""
+def _chosen(sample: DataFrame, least_docs: int, least_gain: float, least_lift: float, max_features: int) -> list[str]:
+    """The features of at least ``least_docs`` documents that toxic ones have ``least_lift`` times as often, with a log-likelihood ratio of ``least_gain`` or more: at most ``max_features``, the best first.
+
+    Frequent words come a little more often in whatever kind of document is longer, which is no
+    sign of anything; without signs a document has the bias's score.
+    """
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return []
@@ -150,7 +154,7 @@ def _chosen(sample: DataFrame, least_docs: int, least_gain: float, max_features:
             got = F.col(side) if seen else size - F.col(side)
             mean = (F.col("clean") + F.col("toxic") if seen else both - F.col("clean") - F.col("toxic")) * (size / both)
             gain = gain + F.when(got > 0, 2 * got * F.log(got / mean)).otherwise(0.0)
-    best = counts.select("feature", F.round(gain, 6).alias("gain")).where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "feature").limit(max_features)
+    best = counts.withColumn("gain", F.round(gain, 6)).where((F.col("gain") >= least_gain) & (F.col("toxic") * n["clean"] >= least_lift * F.col("clean") * n["toxic"])).orderBy(F.desc("gain"), "feature").limit(max_features)
     return [r["feature"] for r in best.collect()]
 
 
@@ -193,7 +197,7 @@ class Patterns:
         return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), pc.list_flatten(lists).to_numpy(zero_copy_only=False)
 
 
-def fit(patterns: Patterns, size: int, fairness: float, ridge: float, rounds: int = 1500) -> tuple[np.ndarray, float]:
+def fit(patterns: Patterns, size: int, fairness: float, ridge: float, rounds: int = 500) -> tuple[np.ndarray, float]:
     """Weights and bias of ``size`` features, by accelerated gradient steps.
 
     The loss is the weighted log loss of rows with a label, ``fairness`` times the squared
@@ -223,14 +227,17 @@ def fit(patterns: Patterns, size: int, fairness: float, ridge: float, rounds: in
         out[:size] += ridge / scale * x[:size]
         return out
 
-    # the steepest curvature, by powers
+    # each weight in units of its own curvature; then the steepest one, by powers
+    own = np.bincount(columns, w[rows] / 4, size + 1) + 2 * fairness * (np.bincount(columns_a, v[rows_a], size + 1) + np.bincount(columns_b, v[rows_b], size + 1)) + ridge
+    own[size] = w.sum() / 4
+    unit = 1 / np.sqrt(own / scale)
     x = np.ones(size + 1)
     steep = 1.0
     for _ in range(40):
-        x = back(w * odds(x) / 4, 2 * fairness * v * differences(x)) + ridge / scale * x
+        x = unit * (back(w * odds(unit * x) / 4, 2 * fairness * v * differences(unit * x)) + ridge / scale * unit * x)
         steep = float(np.linalg.norm(x)) or 1.0
         x /= steep
-    step = 1 / (1.1 * steep)
+    step = unit**2 / (1.1 * steep)
     x = last = np.zeros(size + 1)
     t = 1.0
     for _ in range(rounds):
@@ -240,12 +247,12 @@ def fit(patterns: Patterns, size: int, fairness: float, ridge: float, rounds: in
         last, x, t = x, at - step * slope, ahead
         if slope @ (x - last) > 0:  # overshot: start the momentum again
             t = 1.0
-        if np.abs(slope).max() < 1e-9:
+        if np.abs(unit * slope).max() < 1e-8:
             break
     return x[:size], float(x[size])
 
 
-def train(sample: DataFrame, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, max_features: int = 6_000, least_docs: int = 3, least_gain: float = 12.0, fairness: float = 1.0, ridge: float = 0.3) -> Model:
+def train(sample: DataFrame, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, max_features: int = 6_000, least_docs: int = 3, least_gain: float = 12.0, least_lift: float = 2.0, fairness: float = 1.0, ridge: float = 0.3) -> Model:
     """Fit on ``sample`` (text, toxic, weight), as `labelled_sample` gives it.
 
     Statistics of features are summed on the cluster, and so are equal sets of features; what
@@ -254,7 +261,7 @@ def train(sample: DataFrame, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS
     (one half without any).
     """
     sample = settle(sample, "labelled")
-    chosen = _chosen(sample, least_docs, least_gain, max_features)
+    chosen = _chosen(sample, least_docs, least_gain, least_lift, max_features)
     shared = sample.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(chosen)})
     rows = sample.mapInArrow(_pattern_rows(shared, terms), "toxic int, found array<int>, swapped array<int>, weight double")
     grouped = rows.groupBy("toxic", "found", "swapped").agg(F.sum("weight").alias("weight"))

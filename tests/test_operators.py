@@ -48,7 +48,7 @@ def test_assignment_is_optimal(n, m, seed):
 
 def test_perfect_predictions(spark):
     gt = boxes(spark, [(f, d, (30 * d, 0, 30 * d + 20, 20), 0.9 - d / 10, "observed", 0, d) for f in range(4) for d in range(3)])
-    ap = matching.average_precision(matching.greedy_matches(gt, gt, [0.5, 0.75]), gt).collect()
+    ap = matching.average_precision(matching.greedy_matches(gt, gt, [0.5, 0.75]), gt, [0.5, 0.75]).collect()
     assert all(r["ap"] == pytest.approx(1) and r["recall"] == 1 and r["false_positives"] == 0 for r in ap) and len(ap) == 2
     assert matching.hungarian(gt, gt).where("pred_det = gt_det and iou > 0.999").count() == 12
     assert matching.hungarian(gt, gt.limit(0)).count() == 0

@@ -84,8 +84,8 @@ def test_points_in_boxes(spark):
 
 
 def test_stitches_save_most(spark):
-    pairs = spark.createDataFrame([("v", "a", "b", 1, 0.1), ("v", "a", "c", 1, 0.2), ("v", "d", "b", 1, 0.2), ("v", "d", "c", 1, 1.7)], "video string, left string, right string, gap long, cost double")
-    assert {(r["left"], r["right"]) for r in stitching.stitches(pairs, "video").collect()} == {("a", "c"), ("d", "b")}
+    pairs = spark.createDataFrame([("v", "a", "b", 1, 0.1), ("v", "a", "c", 1, 0.2), ("v", "d", "b", 1, 0.2), ("v", "d", "c", 1, 1.7)], "video string, left_piece string, right_piece string, gap long, cost double")
+    assert {(r["left_piece"], r["right_piece"]) for r in stitching.stitches(pairs, "video").collect()} == {("a", "c"), ("d", "b")}
 
 
 def test_bootstrap_and_guard(spark):

@@ -139,7 +139,7 @@ def test_exact_curves(spark):
     assert [(r["upper"], r["value"]) for r in steps.orderBy("upper").collect()] == [(0.90002, 0.5), (0.90003, 1.0)]
     asked = spark.createDataFrame([("k", 0.1), ("k", 0.90003), ("k", 0.99), ("other", 0.5), ("k", None)], "k string, score double")
     assert [r["calibrated"] for r in matching.calibrated(asked, steps, ["k"]).orderBy("k", "score").collect()] == [None, 0.5, 1.0, 1.0, None]
-    hits = spark.createDataFrame([(0, d, c, 0.5, h) for d, (c, h) in enumerate([(0.90003, True), (0.90002, False), (0.90001, True)])] + [(7, 9, 0.99, 0.5, False)], "frame long, det long, conf double, threshold double, hit boolean")
+    hits = spark.createDataFrame([(0, d, c, int(h)) for d, (c, h) in enumerate([(0.90003, True), (0.90002, False), (0.90001, True)])] + [(7, 9, 0.99, 0)], "frame long, det long, conf double, bits long")
     truth = spark.createDataFrame([(0,), (0,)], "frame long")
-    r = matching.average_precision(hits, truth).first()
+    r = matching.average_precision(hits, truth, [0.5]).first()
     assert r["ap"] == pytest.approx((51 * 1 + 50 * 2 / 3) / 101) and (r["recall"], r["false_positives"]) == (1, 1)

@@ -1,17 +1,21 @@
 """Removal of double boxes: pair relations found by joins inside a frame, then greedy choices in a fixed order.
 
-``dets`` has frame, det, x1..y2, conf, and where poses are used head_x, head_y, head_c,
-tail_x, tail_y, tail_c.  A frame's boxes fit into a worker; nothing larger is gathered.
+``dets`` has det, x1..y2, conf, and where poses are used head_x, head_y, head_c,
+tail_x, tail_y, tail_c, and the columns ``keys`` that tell frames apart: frame, where its numbers
+are those of the whole table, else for example domain, video and frame.  A frame's boxes fit into a worker; nothing larger is gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import settle
-from .grouped import per_group
+from .grouped import FRAME, per_group, typed
+from .nullsafe import join_same
 
 POSE = ["head_x", "head_y", "head_c", "tail_x", "tail_y", "tail_c"]
 SIDES = ("x1", "y1", "x2", "y2")
@@ -39,13 +43,13 @@ def pose_valid(least: float = 0.15, mean: float = 0.25, apart: float = 0.15, mar
     return F.coalesce(ok, F.lit(False))
 
 
-def pairs(dets: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Overlapping pairs of a frame, det a before det b: frame, a, b, common, iou, io_min, both boxes' columns as a_* and b_*."""
+def pairs(dets: DataFrame, columns: list[str] | None = None, keys: Sequence[str] = FRAME) -> DataFrame:
+    """Overlapping pairs of a frame, det a before det b: keys, a, b, common, iou, io_min, both boxes' columns as a_* and b_*."""
     kept = ["det", *SIDES, *(columns or [])]
-    side = lambda s: dets.select("frame", *(F.col(c).alias(f"{s}_{c}") for c in kept))
+    side = lambda s: dets.select(*keys, *(F.col(c).alias(f"{s}_{c}") for c in kept))
     wide = F.least("a_x2", "b_x2") - F.greatest("a_x1", "b_x1")
     high = F.least("a_y2", "b_y2") - F.greatest("a_y1", "b_y1")
-    both = side("a").join(side("b"), "frame").where((F.col("a_det") < F.col("b_det")) & (wide > 0) & (high > 0)).withColumn("common", wide * high)
+    both = join_same(side("a"), side("b"), keys).where((F.col("a_det") < F.col("b_det")) & (wide > 0) & (high > 0)).withColumn("common", wide * high)
     sa, sb = area("a_"), area("b_")
     return both.withColumns({"a": F.col("a_det"), "b": F.col("b_det"), "iou": F.col("common") / (sa + sb - F.col("common")), "io_min": F.col("common") / F.least(sa, sb)})
 
@@ -57,17 +61,17 @@ def ends_within(ratio: float) -> Column:
     return (gap("head") <= limit) & (gap("tail") <= limit)
 
 
-def keep_first(dets: DataFrame, doubles: DataFrame, order: list[Column], protected: DataFrame | None = None) -> DataFrame:
-    """Boxes in ``order``: one that is kept removes its direct partners in ``doubles`` (frame, a, b) that come later.
+def keep_first(dets: DataFrame, doubles: DataFrame, order: list[Column], protected: DataFrame | None = None, keys: Sequence[str] = FRAME) -> DataFrame:
+    """Boxes in ``order``: one that is kept removes its direct partners in ``doubles`` (keys, a, b) that come later.
 
-    ``protected`` (frame, det) are never removed.  No chains: only a kept box removes.  Returns
-    frame, det, kept, by (the box that removed it).
+    ``protected`` (keys, det) are never removed.  No chains: only a kept box removes.  Returns
+    keys, det, kept, by (the box that removed it).
     """
-    both = doubles.select("frame", F.col("a").alias("det"), F.col("b").alias("other")).unionByName(doubles.select("frame", F.col("b").alias("det"), F.col("a").alias("other")))
-    lists = both.groupBy("frame", "det").agg(F.sort_array(F.collect_set("other")).alias("others"))  # at most a frame's boxes
-    ranked = dets.withColumn("rank_", F.row_number().over(Window.partitionBy("frame").orderBy(*order))).select("frame", "det", "rank_")
-    safe = protected.select("frame", "det").distinct().withColumn("safe", F.lit(True)) if protected is not None else dets.select("frame", "det").limit(0).withColumn("safe", F.lit(True))
-    linked = ranked.join(lists, ["frame", "det"]).join(safe, ["frame", "det"], "left").withColumn("safe", F.coalesce("safe", F.lit(False)))
+    both = doubles.select(*keys, F.col("a").alias("det"), F.col("b").alias("other")).unionByName(doubles.select(*keys, F.col("b").alias("det"), F.col("a").alias("other")))
+    lists = both.groupBy(*keys, "det").agg(F.sort_array(F.collect_set("other")).alias("others"))  # at most a frame's boxes
+    ranked = dets.withColumn("rank_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).select(*keys, "det", "rank_")
+    safe = protected.select(*keys, "det").distinct().withColumn("safe", F.lit(True)) if protected is not None else dets.select(*keys, "det").limit(0).withColumn("safe", F.lit(True))
+    linked = join_same(join_same(ranked, lists, [*keys, "det"]), safe, [*keys, "det"], "left").withColumn("safe", F.coalesce("safe", F.lit(False)))
 
     def fold(g):
         by: dict[int, int] = {}
@@ -79,62 +83,62 @@ def keep_first(dets: DataFrame, doubles: DataFrame, order: list[Column], protect
                 for o in others.tolist():
                     if o not in done and o not in safe:
                         by.setdefault(o, det)
-        return {"frame": g["frame"], "det": g["det"], "by": np.array([by.get(d, -1) for d in g["det"].tolist()])}
+        return {**{k: g[k] for k in keys}, "det": g["det"], "by": np.array([by.get(d, -1) for d in g["det"].tolist()])}
 
-    judged = per_group(linked, ["frame"], ["rank_"], fold, "frame long, det long, by long")
-    found = dets.select("frame", "det").join(judged, ["frame", "det"], "left")
+    judged = per_group(linked, keys, ["rank_"], fold, f"{typed(dets, keys)}, det long, by long")
+    found = join_same(dets.select(*keys, "det"), judged, [*keys, "det"], "left")
     gone = F.coalesce(F.col("by") >= 0, F.lit(False))
-    return found.select("frame", "det", (~gone).alias("kept"), F.when(gone, F.col("by")).alias("by"))
+    return found.select(*keys, "det", (~gone).alias("kept"), F.when(gone, F.col("by")).alias("by"))
 
 
-def drop_direct_doubles(dets: DataFrame, ratio: float = 0.15, contained: float = 0.75) -> DataFrame:
+def drop_direct_doubles(dets: DataFrame, ratio: float = 0.15, contained: float = 0.75, keys: Sequence[str] = FRAME) -> DataFrame:
     """Pose doubles without chaining: larger boxes first; both ends close and the smaller box mostly inside."""
     posed = dets.where(pose_valid())
-    doubles = pairs(posed, POSE).where((F.col("io_min") >= contained) & ends_within(ratio))
-    return keep_first(dets, doubles, [F.desc(area()), F.desc("conf"), F.col("det")])
+    doubles = pairs(posed, POSE, keys).where((F.col("io_min") >= contained) & ends_within(ratio))
+    return keep_first(dets, doubles, [F.desc(area()), F.desc("conf"), F.col("det")], keys=keys)
 
 
 def track_support(dets: DataFrame) -> DataFrame:
     """``dets`` with support: how many observed boxes the track has in its video."""
     n = dets.where("origin = 'observed'").groupBy("video", "track_id").agg(F.count("*").alias("support"))
-    ranked = dets.join(n, ["video", "track_id"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
+    ranked = join_same(dets, n, ["video", "track_id"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
     return settle(ranked, "support")  # what follows reads it several times
 
 
-def drop_by_track(dets: DataFrame, by_pose: bool = False, iou: float = 0.7) -> DataFrame:
+def drop_by_track(dets: DataFrame, by_pose: bool = False, iou: float = 0.7, keys: Sequence[str] = FRAME) -> DataFrame:
     """Doubles by a fixed priority of tracks, most observed first: overlap of ``iou``, or (``by_pose``) ends within 0.12 and half the smaller box."""
     ranked = track_support(dets)
     if by_pose:
-        doubles = pairs(ranked.where(pose_valid(margin=True)), POSE).where((F.col("io_min") >= 0.5) & ends_within(0.12))
+        doubles = pairs(ranked.where(pose_valid(margin=True)), POSE, keys).where((F.col("io_min") >= 0.5) & ends_within(0.12))
     else:
-        doubles = pairs(ranked).where(F.col("iou") >= iou)
-    return keep_first(ranked, doubles, [F.desc("support"), F.col("track_id"), F.col("det")])
+        doubles = pairs(ranked, keys=keys).where(F.col("iou") >= iou)
+    return keep_first(ranked, doubles, [F.desc("support"), F.col("track_id"), F.col("det")], keys=keys)
 
 
-def drop_contained_first(dets: DataFrame, contained: float = 0.8) -> DataFrame:
+def drop_contained_first(dets: DataFrame, contained: float = 0.8, keys: Sequence[str] = FRAME) -> DataFrame:
     """Two stages: small boxes inside larger ones go; then pose doubles of what is left, where boxes that removed another are safe."""
     ranked = track_support(dets)
     order = [F.desc(area()), F.desc("support"), F.col("track_id"), F.col("det")]
-    first = settle(keep_first(ranked, pairs(ranked).where(F.col("io_min") >= contained), order), "contained")
-    left = ranked.join(first.where("kept").select("frame", "det"), ["frame", "det"], "left_semi")
-    winners = first.where("by is not null").select("frame", F.col("by").alias("det"))
-    doubles = pairs(left.where(pose_valid(margin=True)), POSE).where((F.col("io_min") >= 0.5) & ends_within(0.12))
-    second = keep_first(left, doubles, order, winners)
-    stage = lambda df, name: df.where("not kept").select("frame", "det", "by", F.lit(name).alias("stage"))
+    first = settle(keep_first(ranked, pairs(ranked, keys=keys).where(F.col("io_min") >= contained), order, keys=keys), "contained")
+    left = join_same(ranked, first.where("kept").select(*keys, "det"), [*keys, "det"], "left_semi")
+    winners = first.where("by is not null").select(*keys, F.col("by").alias("det"))
+    doubles = pairs(left.where(pose_valid(margin=True)), POSE, keys).where((F.col("io_min") >= 0.5) & ends_within(0.12))
+    second = keep_first(left, doubles, order, winners, keys)
+    stage = lambda df, name: df.where("not kept").select(*keys, "det", "by", F.lit(name).alias("stage"))
     gone = stage(first, "containment").unionByName(stage(second, "keypoints"))
-    return dets.select("frame", "det").join(gone, ["frame", "det"], "left").select("frame", "det", F.col("by").isNull().alias("kept"), "by", "stage")
+    return join_same(dets.select(*keys, "det"), gone, [*keys, "det"], "left").select(*keys, "det", F.col("by").isNull().alias("kept"), "by", "stage")
 
 
-def merge_pose_groups(dets: DataFrame, ratio: float = 0.15, contained: float = 0.75) -> DataFrame:
-    """Chains of pose doubles in a frame keep one box: frame, det, group_id (the least det), winner.
+def merge_pose_groups(dets: DataFrame, ratio: float = 0.15, contained: float = 0.75, keys: Sequence[str] = FRAME) -> DataFrame:
+    """Chains of pose doubles in a frame keep one box: keys, det, group_id (the least det), winner.
 
     The winner is the largest box where any pair of the group is contained, else the one with
     the surest weaker end, then confidence, then the first.
     """
-    close = pairs(dets, POSE).select("frame", "a", "b", (ends_within(ratio)).alias("close"), (F.col("io_min") >= contained).alias("inside")).where("close")
-    lists = close.groupBy("frame").agg(F.collect_list(F.struct("a", "b", "inside")).alias("links"))  # pairs of one frame
-    rows = dets.select("frame", "det", area().cast("double").alias("size"), F.least("head_c", "tail_c").cast("double").alias("sure"), F.col("conf").cast("double").alias("conf"))
-    rows = rows.join(lists, "frame")
+    close = pairs(dets, POSE, keys).select(*keys, "a", "b", (ends_within(ratio)).alias("close"), (F.col("io_min") >= contained).alias("inside")).where("close")
+    lists = close.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "inside")).alias("links"))  # pairs of one frame
+    rows = dets.select(*keys, "det", area().cast("double").alias("size"), F.least("head_c", "tail_c").cast("double").alias("sure"), F.col("conf").cast("double").alias("conf"))
+    rows = join_same(rows, lists, keys)
 
     def fold(g):
         dets_, at = g["det"].tolist(), {d: k for k, d in enumerate(g["det"].tolist())}
@@ -155,15 +159,15 @@ def merge_pose_groups(dets: DataFrame, ratio: float = 0.15, contained: float = 0
             groups.setdefault(root(k), []).append(k)
         best = {r: max(own, key=lambda k: (g["size"][k],) if r in inside else (g["sure"][k], g["conf"][k])) for r, own in groups.items()}  # noqa: B023
         roots = [root(k) for k in range(len(dets_))]
-        return {"frame": g["frame"], "det": g["det"], "group_id": [dets_[r] for r in roots], "winner": [best[r] == k for k, r in enumerate(roots)]}
+        return {**{k: g[k] for k in keys}, "det": g["det"], "group_id": [dets_[r] for r in roots], "winner": [best[r] == k for k, r in enumerate(roots)]}
 
-    judged = per_group(rows, ["frame"], ["det"], fold, "frame long, det long, group_id long, winner boolean")
-    return dets.select("frame", "det").join(judged, ["frame", "det"], "left").select("frame", "det", F.coalesce("group_id", "det").alias("group_id"), F.coalesce("winner", F.lit(True)).alias("winner"))
+    judged = per_group(rows, keys, ["det"], fold, f"{typed(dets, keys)}, det long, group_id long, winner boolean")
+    return join_same(dets.select(*keys, "det"), judged, [*keys, "det"], "left").select(*keys, "det", F.coalesce("group_id", "det").alias("group_id"), F.coalesce("winner", F.lit(True)).alias("winner"))
 
 
-def cluster_evidence(candidates: DataFrame, least_iou: float = 0.5) -> DataFrame:
-    """Candidates in order of det join the cluster whose first box they overlap most, from ``least_iou`` on; else they open one: frame, det, cluster (its first det)."""
-    rows = candidates.select("frame", "det", *(F.col(c).cast("double").alias(c) for c in SIDES))
+def cluster_evidence(candidates: DataFrame, least_iou: float = 0.5, keys: Sequence[str] = FRAME) -> DataFrame:
+    """Candidates in order of det join the cluster whose first box they overlap most, from ``least_iou`` on; else they open one: keys, det, cluster (its first det)."""
+    rows = candidates.select(*keys, "det", *(F.col(c).cast("double").alias(c) for c in SIDES))
 
     def fold(g):
         from .matching import _boxes, overlaps
@@ -179,6 +183,6 @@ def cluster_evidence(candidates: DataFrame, least_iou: float = 0.5) -> DataFrame
             else:
                 firsts.append(k)
                 out.append(k)
-        return {"frame": g["frame"], "det": g["det"], "cluster": g["det"][out]}
+        return {**{k: g[k] for k in keys}, "det": g["det"], "cluster": g["det"][out]}
 
-    return per_group(rows, ["frame"], ["det"], fold, "frame long, det long, cluster long")
+    return per_group(rows, keys, ["det"], fold, f"{typed(candidates, keys)}, det long, cluster long")

@@ -7,9 +7,14 @@ which are null where a point is missing.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import FRAME
+from .nullsafe import join_same
+
 SUPERVISED = ["human", "human_confirmed", "soft_positive", "ignore"]
 CONFIRMED = ["human", "human_confirmed"]
 
@@ -139,16 +144,16 @@ def checked_xywh(ents: DataFrame, width: int, height: int, tolerance: float = 2.
     return ents.select("frame", "det", x.alias("bx"), y.alias("by_"), (cut("x2", width) - x).alias("bw"), (cut("y2", height) - y).alias("bh"), over.alias("overflow"), (over > tolerance).alias("broken"))
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Loose points (frame, point, x, y) to boxes (frame, det, x1..y2) that hold them, one to one, nearest to the centre relative to the diagonal first.
+def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
+    """Loose points (keys, point, x, y) to boxes (keys, det, x1..y2) that hold them, one to one, nearest to the centre relative to the diagonal first.
 
-    Ties go to the smaller box, then box and point order.  Returns frame, point, det.
+    Ties go to the smaller box, then box and point order.  Returns keys, point, det.
     """
-    from .grouped import per_group
+    from .grouped import per_group, typed
 
     mid = F.hypot(F.col("x") - (F.col("x1") + F.col("x2")) / 2, F.col("y") - (F.col("y1") + F.col("y2")) / 2) / F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    pairs = points.join(boxes.select("frame", "det", "x1", "y1", "x2", "y2"), "frame").where(F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2")))
-    pairs = pairs.select("frame", "point", "det", F.round(mid, 9).alias("gap"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).cast("double").alias("size"))
+    pairs = join_same(points, boxes.select(*keys, "det", "x1", "y1", "x2", "y2"), keys).where(F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2")))
+    pairs = pairs.select(*keys, "point", "det", F.round(mid, 9).alias("gap"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).cast("double").alias("size"))
 
     def take(g):
         used: set = set()
@@ -157,9 +162,9 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
             if ("p", p) not in used and ("d", d) not in used:
                 used |= {("p", p), ("d", d)}
                 keep.append(k)
-        return {c: g[c][keep] for c in ("frame", "point", "det")}
+        return {c: g[c][keep] for c in (*keys, "point", "det")}
 
-    return per_group(pairs, ["frame"], ["gap", "size", "det", "point"], take, "frame long, point long, det long")
+    return per_group(pairs, keys, ["gap", "size", "det", "point"], take, f"{typed(pairs, keys)}, point long, det long")
 
 
 def dense_identities(ents: DataFrame, sequence: list[str]) -> DataFrame:

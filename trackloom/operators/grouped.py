@@ -6,19 +6,34 @@ of an Arrow batch as slices of arrays, without a frame object or a round trip fo
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 
+#: What tells frames apart where ``frame`` is a number of the whole table; else name the columns of the video as well.
+FRAME = ("frame",)
 
-def per_group(df: DataFrame, keys: list[str], order: list[str | Column], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
+
+def typed(df: DataFrame, columns) -> str:
+    """The part of a schema for columns of ``df``."""
+    kinds = dict(df.dtypes)
+    return ", ".join(f"{c} {kinds[c]}" for c in columns)
+
+
+def _differs(a: np.ndarray, b) -> np.ndarray:
+    """Where keys differ; nulls are like one another."""
+    return (a != b) & ~(pd.isna(a) & pd.isna(b))
+
+
+def per_group(df: DataFrame, keys: Sequence[str], order: list[str | Column], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """``fn`` over the rows of each group of ``keys``, in ``order``; it maps columns to columns.
 
-    A group must fit into a worker: frames of some hundred boxes, single tracks.
+    Null keys are keys like any other.  A group must fit into a worker: frames of some hundred
+    boxes, single tracks.
     """
-    names = [x.split()[0] for x in schema.split(", ")]
+    keys, names = list(keys), [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         held: list[pd.DataFrame] = []
@@ -27,7 +42,7 @@ def per_group(df: DataFrame, keys: list[str], order: list[str | Column], fn: Cal
             columns = {c: rows[c].to_numpy() for c in rows.columns}
             change = np.zeros(len(rows), bool)
             for k in keys:
-                change[1:] |= columns[k][1:] != columns[k][:-1]
+                change[1:] |= _differs(columns[k][1:], columns[k][:-1])
             edges = [0, *np.flatnonzero(change).tolist(), len(rows)]
             out = [fn({c: x[a:b] for c, x in columns.items()}) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             return pd.DataFrame({n: np.concatenate([np.asarray(o[n]) for o in out]) for n in names})
@@ -37,9 +52,9 @@ def per_group(df: DataFrame, keys: list[str], order: list[str | Column], fn: Cal
                 continue
             last = np.ones(len(batch), bool)
             for k in keys:
-                last &= (batch[k] == batch[k].iloc[-1]).to_numpy()
+                last &= ~_differs(batch[k].to_numpy(), batch[k].iloc[-1])
             at = len(batch) - int(last[::-1].argmin()) if not last.all() else 0
-            same = bool(held) and all(held[-1][k].iloc[-1] == batch[k].iloc[0] for k in keys)
+            same = bool(held) and not any(_differs(held[-1][k].iloc[-1:].to_numpy(), batch[k].iloc[0])[0] for k in keys)
             if held and not same:
                 yield emit(pd.concat(held, ignore_index=True))
                 held = []

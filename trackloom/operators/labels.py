@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import FRAME
+from .nullsafe import join_same
 from ..functions.geometry import iou
 from .tracks import with_runs
 
@@ -39,34 +43,34 @@ def affine(dets: DataFrame, m: tuple[float, float, float, float, float, float],
     return out.where("x2 > x1 and y2 > y1")
 
 
-def snap(boxes: DataFrame, dets: DataFrame, least_iou: float = 0.2, radius: float = 45.0) -> DataFrame:
-    """Each box takes the best overlapping detection of its frame, else the nearest centre within ``radius``: frame, det, to, how."""
+def snap(boxes: DataFrame, dets: DataFrame, least_iou: float = 0.2, radius: float = 45.0, keys: Sequence[str] = FRAME) -> DataFrame:
+    """Each box takes the best overlapping detection of its frame, else the nearest centre within ``radius``: keys, det, to, how."""
     cols = ["det", "x1", "y1", "x2", "y2"]
-    a = boxes.select("frame", *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = dets.select("frame", *(F.col(c).alias(f"b_{c}") for c in cols))
+    a = boxes.select(*keys, *(F.col(c).alias(f"a_{c}") for c in cols))
+    b = dets.select(*keys, *(F.col(c).alias(f"b_{c}") for c in cols))
     mid = lambda p, x, y: (F.col(f"{p}_{x}") + F.col(f"{p}_{y}")) / 2
     dist = F.sqrt((mid("a", "x1", "x2") - mid("b", "x1", "x2")) ** 2 + (mid("a", "y1", "y2") - mid("b", "y1", "y2")) ** 2)
-    pairs = a.join(b, "frame", "left").withColumns({"iou": F.when(F.col("b_det").isNotNull(), F.round(iou("a_", "b_"), 9)), "dist": F.round(dist, 9)})
-    best = pairs.groupBy("frame", "a_det").agg(
+    pairs = join_same(a, b, keys, "left").withColumns({"iou": F.when(F.col("b_det").isNotNull(), F.round(iou("a_", "b_"), 9)), "dist": F.round(dist, 9)})
+    best = pairs.groupBy(*keys, "a_det").agg(
         F.min(F.when(F.col("iou") >= least_iou, F.struct((-F.col("iou")).alias("k"), F.col("b_det").alias("to")))).alias("o"),
         F.min(F.when(F.col("dist") <= radius, F.struct(F.col("dist").alias("k"), F.col("b_det").alias("to")))).alias("n"),
     )
     how = F.when(F.col("o").isNotNull(), "overlap").when(F.col("n").isNotNull(), "nearest").otherwise("kept")
-    return best.select("frame", F.col("a_det").alias("det"), F.coalesce("o.to", "n.to").alias("to"), how.alias("how"))
+    return best.select(*keys, F.col("a_det").alias("det"), F.coalesce("o.to", "n.to").alias("to"), how.alias("how"))
 
 
-def confirmed_pairs(near: DataFrame, reach: int = 2, least: int = 3) -> DataFrame:
+def confirmed_pairs(near: DataFrame, reach: int = 2, least: int = 3, scope: Sequence[str] = ()) -> DataFrame:
     """Frames of a pair whose evidence holds in at least ``least`` of the frames f - reach .. f + reach."""
-    w = Window.partitionBy("a", "b").orderBy("frame").rangeBetween(-reach, reach)
-    return near.select("a", "b", "frame").distinct().withColumn("support", F.count("*").over(w)).where(F.col("support") >= least)
+    w = Window.partitionBy(*scope, "a", "b").orderBy("frame").rangeBetween(-reach, reach)
+    return near.select(*scope, "a", "b", "frame").distinct().withColumn("support", F.count("*").over(w)).where(F.col("support") >= least)
 
 
-def mutual_nearest(near: DataFrame) -> DataFrame:
-    """Pairs (frame, a, b, distance) that are each other's nearest, ties by id."""
-    ends = near.select("frame", F.col("a").alias("i"), F.col("b").alias("j"), "distance").unionByName(near.select("frame", F.col("b").alias("i"), F.col("a").alias("j"), "distance"))
-    first = ends.groupBy("frame", "i").agg(F.min(F.struct(F.round("distance", 9).alias("d"), "j")).alias("n")).select("frame", "i", F.col("n.j").alias("j"))
-    back = first.select("frame", F.col("i").alias("j"), F.col("j").alias("i"))
-    return first.join(back, ["frame", "i", "j"]).where("i < j").select("frame", F.col("i").alias("a"), F.col("j").alias("b"))
+def mutual_nearest(near: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
+    """Pairs (keys, a, b, distance) that are each other's nearest, ties by id."""
+    ends = near.select(*keys, F.col("a").alias("i"), F.col("b").alias("j"), "distance").unionByName(near.select(*keys, F.col("b").alias("i"), F.col("a").alias("j"), "distance"))
+    first = ends.groupBy(*keys, "i").agg(F.min(F.struct(F.round("distance", 9).alias("d"), "j")).alias("n")).select(*keys, "i", F.col("n.j").alias("j"))
+    back = first.select(*keys, F.col("i").alias("j"), F.col("j").alias("i"))
+    return join_same(first, back, [*keys, "i", "j"]).where("i < j").select(*keys, F.col("i").alias("a"), F.col("j").alias("b"))
 
 
 def causal_tuples(obs: DataFrame, key: str, order: list[str], value: str, n: int = 3) -> DataFrame:

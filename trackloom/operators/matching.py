@@ -5,12 +5,15 @@ Each works on one frame or one track at a time; frames hold some hundred boxes a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grouped import per_group
+from .grouped import FRAME, per_group, typed
+from .nullsafe import join_same
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -63,16 +66,16 @@ def _boxes(g: dict[str, np.ndarray], rows) -> np.ndarray:
     return np.stack([g[c][rows] for c in BOX], axis=1).astype(float)
 
 
-def _both_sides(pred: DataFrame, gt: DataFrame) -> DataFrame:
+def _both_sides(pred: DataFrame, gt: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
     """Predictions (side 0, with conf) and truth (side 1) in one table."""
-    p = pred.select("frame", F.lit(0).alias("side"), "det", F.col("conf").cast("double").alias("conf"), *(F.col(c).cast("double").alias(c) for c in BOX))
-    return p.unionByName(gt.select("frame", F.lit(1).alias("side"), "det", F.lit(0.0).alias("conf"), *(F.col(c).cast("double").alias(c) for c in BOX)))
+    p = pred.select(*keys, F.lit(0).alias("side"), "det", F.col("conf").cast("double").alias("conf"), *(F.col(c).cast("double").alias(c) for c in BOX))
+    return p.unionByName(gt.select(*keys, F.lit(1).alias("side"), "det", F.lit(0.0).alias("conf"), *(F.col(c).cast("double").alias(c) for c in BOX)))
 
 
-def hungarian(pred: DataFrame, gt: DataFrame, least_iou: float = 0.5) -> DataFrame:
+def hungarian(pred: DataFrame, gt: DataFrame, least_iou: float = 0.5, keys: Sequence[str] = FRAME) -> DataFrame:
     """One-to-one matches per frame with the least summed 1 - IoU; pairs below ``least_iou`` do not match.
 
-    Returns frame, pred_det, gt_det, iou.
+    Returns keys (frame, or for example domain, video and frame), pred_det, gt_det, iou.
     """
 
     def match(g):
@@ -82,13 +85,13 @@ def hungarian(pred: DataFrame, gt: DataFrame, least_iou: float = 0.5) -> DataFra
             iou = overlaps(_boxes(g, p), _boxes(g, t))[2]
             out = [(i, j) for i, j in assign(np.where(iou >= least_iou, 1 - iou, 1e6)) if iou[i, j] >= least_iou]
         i, j = (np.array([x[k] for x in out], int) for k in (0, 1))
-        return {"frame": np.repeat(g["frame"][:1], len(out)), "pred_det": g["det"][p[i]] if len(out) else i, "gt_det": g["det"][t[j]] if len(out) else j, "iou": iou[i, j] if len(out) else np.zeros(0)}
+        return {**{k: np.repeat(g[k][:1], len(out)) for k in keys}, "pred_det": g["det"][p[i]] if len(out) else i, "gt_det": g["det"][t[j]] if len(out) else j, "iou": iou[i, j] if len(out) else np.zeros(0)}
 
-    return per_group(_both_sides(pred.withColumn("conf", F.lit(0.0)), gt), ["frame"], ["side", "det"], match, "frame long, pred_det long, gt_det long, iou double")
+    return per_group(_both_sides(pred.withColumn("conf", F.lit(0.0)), gt, keys), keys, ["side", "det"], match, f"{typed(pred, keys)}, pred_det long, gt_det long, iou double")
 
 
-def greedy_matches(pred: DataFrame, gt: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Predictions by falling confidence take the best free truth of their frame: frame, det, conf, threshold, hit."""
+def greedy_matches(pred: DataFrame, gt: DataFrame, thresholds: list[float], keys: Sequence[str] = FRAME) -> DataFrame:
+    """Predictions by falling confidence take the best free truth of their frame: keys, det, conf, and bits, of which bit k is set where the prediction hits at threshold k."""
 
     def match(g):
         p, t = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
@@ -101,24 +104,27 @@ def greedy_matches(pred: DataFrame, gt: DataFrame, thresholds: list[float]) -> D
                 j = int(open_.argmax())
                 if open_[j] >= least:
                     free[j], hits[k, i] = False, True
-        m = len(thresholds)
-        return {"frame": np.tile(g["frame"][p], m), "det": np.tile(g["det"][p], m), "conf": np.tile(g["conf"][p], m), "threshold": np.repeat(thresholds, len(p)), "hit": hits.ravel()}
+        bits = (hits.astype(np.int64) << np.arange(len(thresholds))[:, None]).sum(axis=0)
+        return {**{k: g[k][p] for k in keys}, "det": g["det"][p], "conf": g["conf"][p], "bits": bits}
 
-    return per_group(_both_sides(pred, gt), ["frame"], ["side", F.desc("conf"), "det"], match, "frame long, det long, conf double, threshold double, hit boolean")
+    return per_group(_both_sides(pred, gt, keys), keys, ["side", F.desc("conf"), "det"], match, f"{typed(pred, keys)}, det long, conf double, bits long")
 
 
-def average_precision(hits: DataFrame, truth: DataFrame) -> DataFrame:
+def average_precision(hits: DataFrame, truth: DataFrame, thresholds: list[float], keys: Sequence[str] = FRAME) -> DataFrame:
     """101-point interpolated AP per threshold from greedy matches, with recall and false positives.
 
-    ``truth`` (frame) has a row for each true box; predictions of frames without one do not
-    count.  Equal confidences are one point of the curve, the confidences themselves stay exact.
+    ``truth`` (keys) has a row for each true box; predictions of frames without one do not
+    count.  Confidences are summed first, one row for all thresholds.  Equal confidences are one point of the curve, the confidences themselves stay exact.
     The running sums are taken inside ranges of confidence and joined with the totals of the
     ranges above, so that no task holds the whole curve.
     """
-    frames = truth.groupBy("frame").agg(F.count("*").alias("boxes"))
+    frames = truth.groupBy(*keys).agg(F.count("*").alias("boxes"))
     # a cell per leading bits of the confidence: order holds from cell to cell
     cell = F.floor(F.col("conf") * 512).cast("long")
-    levels = hits.join(frames.select("frame"), "frame", "left_semi").groupBy("threshold", cell.alias("cell"), "conf").agg(F.sum(F.col("hit").cast("int")).alias("tp"), F.count("*").alias("n"))
+    judged = join_same(hits, frames.select(*keys), keys, "left_semi")
+    summed = judged.groupBy(cell.alias("cell"), "conf").agg(F.count("*").alias("n"), *(F.sum(F.getbit("bits", F.lit(k)).cast("long")).alias(f"tp{k}") for k in range(len(thresholds))))
+    each = F.explode(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tp{k}").alias("tp")) for k, t in enumerate(thresholds)))).alias("e")
+    levels = summed.select("cell", "conf", "n", each).select("e.threshold", "cell", "conf", "e.tp", "n")
     cells = levels.groupBy("threshold", "cell").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
     above = Window.partitionBy("threshold").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
     base = cells.select("threshold", "cell", F.coalesce(F.sum("tp").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"))
@@ -135,7 +141,7 @@ def average_precision(hits: DataFrame, truth: DataFrame) -> DataFrame:
     return points.groupBy("threshold").agg((F.sum("p") / 101).alias("ap")).join(ends, "threshold")
 
 
-def suppress(dets: DataFrame, least: float, order: list[Column], measure: str = "iou", min_common: float = 0.0, protected: Column | None = None, blocks: Column | None = None) -> DataFrame:
+def suppress(dets: DataFrame, least: float, order: list[Column], measure: str = "iou", min_common: float = 0.0, protected: Column | None = None, blocks: Column | None = None, keys: Sequence[str] = FRAME) -> DataFrame:
     """Greedy suppression per frame in a total order: a box goes if it overlaps a kept one by ``least`` or more.
 
     ``measure`` is ``iou`` or ``io_min``; ``protected`` rows are kept from the start, and block
@@ -143,7 +149,7 @@ def suppress(dets: DataFrame, least: float, order: list[Column], measure: str =
     (the worst kept box).  Nulls in the order come first.
     """
     ranked = dets.withColumns({
-        "rank_": F.row_number().over(Window.partitionBy("frame").orderBy(*order)),
+        "rank_": F.row_number().over(Window.partitionBy(*keys).orderBy(*order)),
         "sure_": F.coalesce(protected, F.lit(False)) if protected is not None else F.lit(False),
         "blocks_": F.coalesce(blocks, F.lit(False)) if blocks is not None else F.lit(True),
     })
@@ -158,36 +164,36 @@ def suppress(dets: DataFrame, least: float, order: list[Column], measure: str =
         kept, blocker = g["sure_"].astype(bool).copy(), np.full(n, -1)
         # sure boxes come first; a box without any clash is kept without looking at the others
         kept |= ~clash.any(axis=1)
-        for k in np.flatnonzero(~kept):
-            hit = np.flatnonzero(kept[:k] & clash[k, :k]) if k else []
-            kept[k] = not len(hit)
+        for i in np.flatnonzero(~kept):
+            hit = np.flatnonzero(kept[:i] & clash[i, :i]) if i else []
+            kept[i] = not len(hit)
             if len(hit):
-                blocker[k] = g["det"][hit[score[k][hit].argmax()]]
-        return {"frame": g["frame"], "det": g["det"], "kept": kept, "blocker": blocker}
+                blocker[i] = g["det"][hit[score[i][hit].argmax()]]
+        return {**{k: g[k] for k in keys}, "det": g["det"], "kept": kept, "blocker": blocker}
 
-    rows = ranked.select("frame", "det", "rank_", "sure_", "blocks_", *(F.col(c).cast("double").alias(c) for c in BOX))
-    return per_group(rows, ["frame"], [F.desc("sure_"), "rank_"], fold, "frame long, det long, kept boolean, blocker long")
+    rows = ranked.select(*keys, "det", "rank_", "sure_", "blocks_", *(F.col(c).cast("double").alias(c) for c in BOX))
+    return per_group(rows, keys, [F.desc("sure_"), "rank_"], fold, f"{typed(dets, keys)}, det long, kept boolean, blocker long")
 
 
-def soft_nms(dets: DataFrame, sigma: float = 0.5, least: float = 1e-4) -> DataFrame:
-    """Gaussian decay of scores by overlap with better boxes; drops boxes below ``least``: frame, det, score."""
+def soft_nms(dets: DataFrame, sigma: float = 0.5, least: float = 1e-4, keys: Sequence[str] = FRAME) -> DataFrame:
+    """Gaussian decay of scores by overlap with better boxes; drops boxes below ``least``: keys, det, score."""
 
     def fold(g):
         boxes = _boxes(g, slice(None))
         iou = overlaps(boxes, boxes)[2]
         score, open_, out = g["conf"].astype(float).copy(), np.ones(len(boxes), bool), []
         while open_.any():
-            k = int(np.where(open_, score, -1).argmax())
-            if score[k] <= least:
+            i = int(np.where(open_, score, -1).argmax())
+            if score[i] <= least:
                 break
-            open_[k] = False
-            out.append(k)
-            near = open_ & (iou[k] > 0)
-            score[near] *= np.exp(-(iou[k][near] ** 2) / sigma)
-        return {"frame": g["frame"][out], "det": g["det"][out], "score": score[out]}
-
-    rows = dets.select("frame", "det", F.col("conf").cast("double").alias("conf"), *(F.col(c).cast("double").alias(c) for c in BOX))
-    return per_group(rows, ["frame"], [F.desc("conf"), "det"], fold, "frame long, det long, score double")
+            open_[i] = False
+            out.append(i)
+            near = open_ & (iou[i] > 0)
+            score[near] *= np.exp(-(iou[i][near] ** 2) / sigma)
+        return {**{k: g[k][out] for k in keys}, "det": g["det"][out], "score": score[out]}
+
+    rows = dets.select(*keys, "det", F.col("conf").cast("double").alias("conf"), *(F.col(c).cast("double").alias(c) for c in BOX))
+    return per_group(rows, keys, [F.desc("conf"), "det"], fold, f"{typed(dets, keys)}, det long, score double")
 
 
 def motion_states(moves: DataFrame, stationary: float, fast: float, hysteresis: float = 1.2, hold: int = 2) -> DataFrame:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import FRAME
+from .nullsafe import join_same
+
 
 def dataset_summary(ents: DataFrame) -> DataFrame:
     """Per split and domain: frames, videos, instances, posed instances, tracks; null tracks and points do not count."""
@@ -156,10 +161,10 @@ def split_frame_gaps(frames: DataFrame, limit: int = 20) -> DataFrame:
     return rows.withColumn("gap", gap).groupBy("video").agg(F.min("gap").alias("least_gap")).where(F.col("least_gap") <= limit)
 
 
-def near_by_length(ents: DataFrame, factor: float = 1.5) -> DataFrame:
-    """Pairs of a frame whose centres lie within ``factor`` mean body lengths: frame, a, b, distance in mean lengths; entities without a length have none."""
-    side = lambda s: ents.where("length > 0").select("frame", F.col("det").alias(s), F.col("length").alias(f"{s}_l"), ((F.col("x1") + F.col("x2")) / 2).alias(f"{s}_x"), ((F.col("y1") + F.col("y2")) / 2).alias(f"{s}_y"))
+def near_by_length(ents: DataFrame, factor: float = 1.5, keys: Sequence[str] = FRAME) -> DataFrame:
+    """Pairs of a frame whose centres lie within ``factor`` mean body lengths: keys, a, b, distance in mean lengths; entities without a length have none."""
+    side = lambda s: ents.where("length > 0").select(*keys, F.col("det").alias(s), F.col("length").alias(f"{s}_l"), ((F.col("x1") + F.col("x2")) / 2).alias(f"{s}_x"), ((F.col("y1") + F.col("y2")) / 2).alias(f"{s}_y"))
     apart = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y"))
     mean = (F.col("a_l") + F.col("b_l")) / 2
-    pairs = side("a").join(side("b"), "frame").where((F.col("a") < F.col("b")) & (apart <= factor * mean))
-    return pairs.select("frame", "a", "b", (apart / mean).alias("distance"))
+    pairs = join_same(side("a"), side("b"), keys).where((F.col("a") < F.col("b")) & (apart <= factor * mean))
+    return pairs.select(*keys, "a", "b", (apart / mean).alias("distance"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import FRAME
+from .nullsafe import join_same
+
 VALUE = ["uncertainty", "disagreement", "rarity", "knowledge_gain", "cross_layer_value", "behavior_value"]
 
 
@@ -99,23 +104,23 @@ def prefer(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return first.join(second.select(key).distinct(), key, "left_anti").select(*second.columns).unionByName(second)
 
 
-def set_consistency(boxes: DataFrame, flipped: DataFrame, least_iou: float = 0.5, ends: float = 0.2) -> DataFrame:
+def set_consistency(boxes: DataFrame, flipped: DataFrame, least_iou: float = 0.5, ends: float = 0.2, keys: Sequence[str] = FRAME) -> DataFrame:
     """Per box its best overlap with a box of the mirrored view, 0 where that is too small or the points lie too far apart on average (in diagonals).
 
-    Both tables have frame, det, x1..y2, head_x, head_y, tail_x, tail_y; boxes without a partner score 0.
+    Both tables have keys, det, x1..y2, head_x, head_y, tail_x, tail_y; boxes without a partner score 0.
     """
     cols = ["det", "x1", "y1", "x2", "y2", "head_x", "head_y", "tail_x", "tail_y"]
-    side = lambda df, p: df.select("frame", *(F.col(c).alias(f"{p}_{c}") for c in cols))
+    side = lambda df, p: df.select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in cols))
     wide = F.least("a_x2", "b_x2") - F.greatest("a_x1", "b_x1")
     high = F.least("a_y2", "b_y2") - F.greatest("a_y1", "b_y1")
     size = lambda p: (F.col(f"{p}_x2") - F.col(f"{p}_x1")) * (F.col(f"{p}_y2") - F.col(f"{p}_y1"))
     gap = lambda e: F.hypot(F.col(f"a_{e}_x") - F.col(f"b_{e}_x"), F.col(f"a_{e}_y") - F.col(f"b_{e}_y"))
-    pairs = side(boxes, "a").join(side(flipped, "b"), "frame").where((wide > 0) & (high > 0))
+    pairs = join_same(side(boxes, "a"), side(flipped, "b"), keys).where((wide > 0) & (high > 0))
     off = (gap("head") + gap("tail")) / 2 / F.greatest(F.hypot(F.col("a_x2") - F.col("a_x1"), F.col("a_y2") - F.col("a_y1")), F.lit(1e-4))
-    pairs = pairs.select("frame", F.col("a_det").alias("det"), (wide * high / (size("a") + size("b") - wide * high)).alias("iou"), off.alias("off"), "b_det")
-    best = pairs.groupBy("frame", "det").agg(F.max(F.struct(F.round("iou", 9).alias("iou"), (-F.col("b_det")).alias("k"), "off")).alias("m"))
+    pairs = pairs.select(*keys, F.col("a_det").alias("det"), (wide * high / (size("a") + size("b") - wide * high)).alias("iou"), off.alias("off"), "b_det")
+    best = pairs.groupBy(*keys, "det").agg(F.max(F.struct(F.round("iou", 9).alias("iou"), (-F.col("b_det")).alias("k"), "off")).alias("m"))
     ok = (F.col("m.iou") >= least_iou) & F.coalesce(F.col("m.off") <= ends, F.lit(True))
-    return boxes.select("frame", "det").join(best, ["frame", "det"], "left").select("frame", "det", F.when(F.coalesce(ok, F.lit(False)), F.col("m.iou")).otherwise(0.0).alias("consistency"))
+    return join_same(boxes.select(*keys, "det"), best, [*keys, "det"], "left").select(*keys, "det", F.when(F.coalesce(ok, F.lit(False)), F.col("m.iou")).otherwise(0.0).alias("consistency"))
 
 
 def trajectory_consistency(frames: list[DataFrame], least_iou: float = 0.5) -> DataFrame:
@@ -167,11 +172,11 @@ def merge_targets(human: DataFrame, pseudo: DataFrame, key: list[str]) -> DataFr
     return human.withColumn("is_pseudo", F.lit(False)).unionByName(extra.select(*human.columns).withColumn("is_pseudo", F.lit(True)))
 
 
-def match_classes(pred: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
-    """Predictions by falling confidence: tp (takes the best free truth), duplicate (only taken ones are near enough) or fp: frame, det, status."""
+def match_classes(pred: DataFrame, truth: DataFrame, least: float = 0.5, keys: Sequence[str] = FRAME) -> DataFrame:
+    """Predictions by falling confidence: tp (takes the best free truth), duplicate (only taken ones are near enough) or fp: keys, det, status."""
     import numpy as np
 
-    from .grouped import per_group
+    from .grouped import per_group, typed
     from .matching import _both_sides, _boxes, overlaps
 
     def judge(g):
@@ -184,9 +189,9 @@ def match_classes(pred: DataFrame, truth: DataFrame, least: float = 0.5) -> Data
             if len(open_):
                 free[open_[row[open_].argmax()]] = False
             out.append("tp" if len(open_) else "duplicate" if len(near) else "fp")
-        return {"frame": g["frame"][p], "det": g["det"][p], "status": out}
+        return {**{k: g[k][p] for k in keys}, "det": g["det"][p], "status": out}
 
-    return per_group(_both_sides(pred, truth), ["frame"], ["side", F.desc("conf"), "det"], judge, "frame long, det long, status string")
+    return per_group(_both_sides(pred, truth, keys), keys, ["side", F.desc("conf"), "det"], judge, f"{typed(pred, keys)}, det long, status string")
 
 
 def truth_at_risk(supports: DataFrame, kept: DataFrame) -> DataFrame:

@@ -216,8 +216,8 @@ def hungarian_match(spark, sf_dir):
 @query("detection_ap")
 def detection_ap(spark, sf_dir):
     gt, pred = _truth_and_predictions(spark, sf_dir)
-    hits = matching.greedy_matches(pred, gt, [0.5 + 0.05 * k for k in range(10)])
-    return rounded(matching.average_precision(hits, gt))
+    levels = [0.5 + 0.05 * k for k in range(10)]
+    return rounded(matching.average_precision(matching.greedy_matches(pred, gt, levels), gt, levels))
 
 
 @query(

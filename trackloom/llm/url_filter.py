@@ -16,8 +16,6 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed values of the production rule set.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Different lengths of rule paths; a path's prefixes of these lengths are looked up.
-MAX_LENGTHS = 1_000
 
 
 def host_of(url: Column) -> Column:
@@ -63,13 +61,30 @@ def resolved(target: Column, url: Column) -> Column:
     return F.when(own & target.contains("://"), target).when(~own & (target != "") & url.contains("://"), relative)
 
 
+def _attribute(name: str) -> str:
+    """A pattern whose first group is the value of an attribute, in its quotes where it has any."""
+    return rf"""(?i)[ \t\r\n\f"'/]{name}[ \t\r\n\f]*=[ \t\r\n\f]*("[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+)"""
+
+
+#: A tag that may state an edge, and the target in a refresh's content.
+TAG = r"(?i)<(?:link|meta)[ \t\r\n\f/][^>]*>"
+TARGET = r"""(?i)(?:^|[;, \t\r\n\f])url[ \t\r\n\f]*=[ \t\r\n\f]*["']?([^"' \t\r\n\f]+)"""
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """Edges (src, dst) that pages state: canonical links and meta refreshes in their html, relative ones taken against the page's url."""
-    html, url = F.col("html").cast("string"), F.col("url").cast("string")
-    canonical = F.regexp_extract(F.regexp_extract(html, r"(?i)<link\b[^>]*\brel=[\"']?canonical\b[^>]*>", 0), r"(?i)\bhref=[\"']?([^\"' >]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv=[\"']?refresh\b[^>]*>", 0), r"(?i)\burl=[\"']?([^\"' >]+)", 1)
-    lower = F.lower(html)
-    found = pages.where(lower.contains("canonical") | lower.contains("refresh")).select(url.alias("url"), F.explode(F.array(canonical, refresh)).alias("to"))
+    """Edges (src, dst) that pages state: all canonical links and meta refreshes in their html, relative ones taken against the page's url.
+
+    ``rel`` is a list of words in any case, of which one is canonical.
+    """
+    lower = F.lower(F.col("html").cast("string"))
+    stated = pages.where(lower.contains("canonical") | lower.contains("refresh")).select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    tags = stated.select("url", F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0))).alias("tag"))
+    of = lambda name: F.trim(F.regexp_extract("tag", _attribute(name), 1), F.lit("\"'"))
+    link = F.lower(F.substring("tag", 1, 5)) == "<link"
+    canonical = F.array_contains(F.split(F.lower(of("rel")), r"[ \t\r\n\f]+"), "canonical")
+    refresh = F.lower(F.trim(of("http-equiv"))) == "refresh"
+    to = F.when(link & canonical, F.trim(of("href"))).when(~link & refresh, F.regexp_extract(of("content"), TARGET, 1))
+    found = tags.select("url", to.alias("to")).where("to is not null")
     edges = found.select(node_of(F.col("url")).alias("src"), node_of(resolved(F.col("to"), F.col("url"))).alias("dst"))
     return edges.where("src is not null and dst is not null and src <> dst").distinct()
 
@@ -79,19 +94,18 @@ def rule_matches(places: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``rules`` has verdict, host and path.  A rule fits its host and all subdomains where the
     path starts with the rule's; the longest rule (host and path as text) wins, then the first
-    in text order.  A host's parent domains and its path's prefixes of the lengths that occur
-    among the rules are joined by equality, so that the rule set may be of any size.
+    in text order.  A host's parent domains with at most as many labels as a rule's host has,
+    and of a path the prefixes of the lengths that occur among the rules of such a domain, are
+    joined by equality, so that the rule set may be of any size.
     """
     rules = rules.where("host is not null and path is not null").select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict"), F.concat("host", "path").alias("rule"), F.length("path").alias("n"))
-    lengths = sorted(r[0] for r in rules.select("n").distinct().limit(MAX_LENGTHS + 1).collect())
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"rule paths have more than {MAX_LENGTHS} different lengths")
-    places = places.select("host", "path").distinct()
+    labels = rules.agg(F.max(F.size(F.split("r_host", r"\."))).alias("n")).first()["n"] or 1
     parts = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    wide = places.select("host", "path", F.explode(parents).alias("r_host"))
-    known = F.array(*map(F.lit, lengths)).cast("array<int>")
-    wide = wide.select("host", "path", "r_host", F.explode(F.filter(known, lambda n: n <= F.length("path"))).alias("n"))
+    ends = F.filter(F.sequence(F.lit(1), F.lit(labels)), lambda k: k <= F.size(parts))
+    parents = F.transform(ends, lambda k: F.array_join(F.slice(parts, -k, k), "."))
+    wide = places.select("host", "path").distinct().select("host", "path", F.explode(parents).alias("r_host"))
+    lengths = rules.groupBy("r_host").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
+    wide = wide.join(lengths, "r_host").select("host", "path", "r_host", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
     fits = wide.withColumn("r_path", F.col("path").substr(F.lit(1), F.col("n"))).join(rules.drop("n"), ["r_host", "r_path"])
     order = F.struct((-F.length("rule")).alias("k"), "rule", "verdict")
     return fits.groupBy("host", "path").agg(F.min(order).alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
@@ -126,19 +140,42 @@ def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = Non
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", "alias", F.lit("allow")).alias("verdict"), via.alias("via"))
 
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_attribute(name: str) -> str:
+    """An attribute of ``tag`` in DuckDB."""
+    return f"trim(regexp_extract(tag, {_sql_text(_attribute(name))}, 1), {_sql_text(chr(34) + chr(39))})"
+
+
+def _sql_without_dots(path: str) -> str:
+    """A path without its dot segments: a fold over its parts."""
+    parts = f"string_split(substr({path}, 2), '/')"
+    kept = f"list_reduce(list_prepend(CAST([] AS varchar[]), list_transform({parts}, lambda x: [x])), lambda o, x: CASE WHEN x[1] = '.' THEN o WHEN x[1] = '..' THEN o[1:len(o) - 1] ELSE list_concat(o, x) END)"
+    return f"('/' || array_to_string({kept}, '/') || CASE WHEN {parts}[-1] IN ('.', '..') AND len({kept}) > 0 THEN '/' ELSE '' END)"
+
+
 def _judge_sql() -> str:
     values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = lower.format(r"coalesce(regexp_extract({u}, '^(?s:.*?)://([^/?#]*)', 1), '')")
     node = "CASE WHEN contains({u}, '://') THEN " + host + r" || regexp_extract({u}, '^(?s:.*?)://[^/?#]*([^#]*)', 1) END"
-    canonical = r"regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel=[\"'']?canonical\b[^>]*>'), '(?i)\bhref=[\"'']?([^\"'' >]+)', 1)"
-    refresh = r"regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv=[\"'']?refresh\b[^>]*>'), '(?i)\burl=[\"'']?([^\"'' >]+)', 1)"
+    refresh = f"regexp_extract({_sql_attribute('content')}, {_sql_text(TARGET)}, 1)"
     at_node = r"regexp_extract(node, '^[^/?#]*') AS host, regexp_extract(node, '^[^/?#]*([^?#]*)', 1) AS path"
-    return f"""
+    return rf"""
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES {values}),
-page AS (SELECT row_number() OVER () AS r, page_id, {host.format(u="url")} AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, {node.format(u="url")} AS node, html FROM pages),
-stated AS (SELECT node AS src, unnest([{canonical}, {refresh}]) AS target FROM page WHERE html IS NOT NULL),
-edge AS (SELECT DISTINCT src, dst FROM (SELECT src, {node.format(u="target")} AS dst FROM stated) WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst),
+page AS (SELECT row_number() OVER () AS r, page_id, {host.format(u="url")} AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, {node.format(u="url")} AS node, url, html FROM pages),
+tag AS (SELECT node AS src, path, url, unnest(regexp_extract_all(html, {_sql_text(TAG)})) AS tag FROM page WHERE html IS NOT NULL),
+attr AS (SELECT src, path, url, CASE WHEN lower(substr(tag, 1, 5)) = '<link' AND list_contains(regexp_split_to_array(lower({_sql_attribute("rel")}), '[ \t\r\n\f]+'), 'canonical') THEN trim({_sql_attribute("href")})
+  WHEN lower(substr(tag, 1, 5)) <> '<link' AND lower(trim({_sql_attribute("http-equiv")})) = 'refresh' THEN {refresh} END AS raw FROM tag),
+stated AS (SELECT *, replace(raw, '&amp;', '&') AS t FROM attr WHERE raw IS NOT NULL),
+cut AS (SELECT *, regexp_extract(t, '^([^?#]*)', 1) AS name, regexp_extract(t, '^[^?#]*((?s:.*))', 1) AS rest, regexp_extract(path, '^((?s:.*)/)', 1) AS folder FROM stated),
+goal AS (SELECT src, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN contains(t, '://') THEN t END
+  WHEN t <> '' AND contains(url, '://') THEN CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '^((?s:.*?)://)', 1) || substr(t, 3)
+    ELSE regexp_extract(url, '^((?s:.*?)://[^/?#]*)', 1) || CASE WHEN name = '' THEN path || rest WHEN starts_with(name, '/') THEN {_sql_without_dots("name")} || rest
+      ELSE {_sql_without_dots("(CASE WHEN folder = '' THEN '/' ELSE folder END || name)")} || rest END END END AS target FROM cut),
+edge AS (SELECT DISTINCT src, dst FROM (SELECT src, {node.format(u="target")} AS dst FROM goal) WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst),
 both_ways AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge),
 reach AS (SELECT src AS node, src AS mate FROM both_ways UNION SELECT src, dst FROM both_ways UNION SELECT reach.node, b.dst FROM reach JOIN both_ways b ON b.src = reach.mate),
 place AS (SELECT host, path FROM page UNION SELECT {at_node} FROM (SELECT DISTINCT node FROM reach)),

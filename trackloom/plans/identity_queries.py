@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import table_functions
-from ..operators import grids, identities, linking, transport
+from ..operators import global_tracker, grids, identities, linking, transport
 from ..streaming import curriculum
 from .projections import DET_SQL, REC_SQL, detections, observed, records, table
 from .registry import query, rounded
@@ -112,6 +112,12 @@ def linked_tracks(spark, sf_dir):
     return linking.link_tracks(_frames(spark, sf_dir), ["video"])
 
 
+@query("global_tracks")
+def global_tracks(spark, sf_dir):
+    """Tracks with momentum and a gated radius."""
+    return global_tracker.global_tracks(_frames(spark, sf_dir), global_tracker.Limits(400, 300))
+
+
 #: Grids of 16 x 12 cells: expected mass by part and seen boxes, a frame for each video and 512 frames.
 GRID_SQL = f"""{FRAMES_SQL}, de AS (SELECT video, frame // 512 AS frame, (x1 + x2) // 2 * 16 // 400 AS gx, (y1 + y2) // 2 * 12 // 300 AS gy, 1.0 + track_id % 3 AS value, track_id % 5 <> 0 AS seen FROM one)"""
 

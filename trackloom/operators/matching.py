@@ -222,32 +222,36 @@ def motion_states(moves: DataFrame, stationary: float, fast: float, hysteresis:
     return moves.select("track_id", "frame", "event_id", "speed").groupBy("track_id").applyInPandas(fold, "track_id long, frame long, event_id long, state string")
 
 
-def isotonic(rows: DataFrame, keys: list[str], levels: int = 1_000_000) -> DataFrame:
+def isotonic(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Pool-adjacent-violators fit per key: steps (upper score, calibrated value, weight).
 
-    Equal scores are summed on the cluster first; scores stay exact.  A key with more than
-    ``levels`` different scores raises, as its levels are walked through in one task.  Rows
-    without a score or outcome do not count.
+    Equal scores are summed on the cluster first; scores stay exact.  Ranges of scores are
+    pooled each for itself, and then the blocks that are left of a key: pooling parts first
+    changes nothing.  Rows without a score or outcome do not count.
     """
+    from .ranks import in_ranges
+
     known = rows.where(F.col("score").isNotNull() & F.col("correct").isNotNull())
-    summed = known.groupBy(*keys, F.col("score").cast("double").alias("score")).agg(F.sum("correct").cast("double").alias("hits"), F.count("*").cast("double").alias("n"))
-    size = F.count("*").over(Window.partitionBy(*keys))
-    checked = summed.withColumn("n", F.when(size > levels, F.raise_error(F.lit("too many different scores of one key"))).otherwise(F.col("n")))
-    kinds = dict(rows.dtypes)
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        blocks: list[list[float]] = []
-        for s, h, n in g.sort_values("score")[["score", "hits", "n"]].itertuples(index=False):
-            blocks.append([s, h, n])
-            while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-                s, h, n = blocks.pop()
-                blocks[-1] = [s, blocks[-1][1] + h, blocks[-1][2] + n]
-        out = pd.DataFrame([(s, h / n, n) for s, h, n in blocks], columns=["upper", "value", "weight"])
-        for k in reversed(keys):
-            out.insert(0, k, g[k].iloc[0])
-        return out
-
-    return checked.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", upper double, value double, weight double")
+    summed = known.groupBy(*keys, F.col("score").cast("double").alias("upper")).agg(F.sum("correct").cast("double").alias("hits"), F.count("*").cast("double").alias("n"))
+    ranged = in_ranges(summed, [*keys, "upper"], "levels")
+
+    def pool(by):
+        def fold(g):
+            blocks: list[list[float]] = []
+            for s, h, n in zip(g["upper"].tolist(), g["hits"].tolist(), g["n"].tolist(), strict=True):
+                blocks.append([s, h, n])
+                while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
+                    s, h, n = blocks.pop()
+                    blocks[-1] = [s, blocks[-1][1] + h, blocks[-1][2] + n]
+            columns = dict(zip(("upper", "hits", "n"), map(np.array, zip(*blocks, strict=True)), strict=True))
+            return {**{k: np.repeat(g[k][:1], len(blocks)) for k in by}, **columns}
+
+        return fold
+
+    schema = ", upper double, hits double, n double"
+    parts = per_group(ranged, [*keys, "range_"], ["upper"], pool([*keys, "range_"]), typed(ranged, [*keys, "range_"]) + schema)
+    steps = per_group(parts, keys, ["upper"], pool(keys), typed(parts, keys) + schema)
+    return steps.select(*keys, "upper", (F.col("hits") / F.col("n")).alias("value"), F.col("n").alias("weight"))
 
 
 def calibrated(scores: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settle
 from .nullsafe import join_same
 
 
@@ -101,16 +102,47 @@ def theil_sen(series: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return a.join(b, key).where("xa < xb").groupBy(key).agg(F.median((F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa"))).alias("slope"), F.count("*").alias("pairs"))
 
 
-def raking_weights(rows: DataFrame, axes: list[str], targets: dict[str, dict[str | None, float]], cap: float = 4.0, rounds: int = 100) -> DataFrame:
+def _rake_on_cluster(cells: DataFrame, axes: list[str], targets: dict[str, dict[str | None, float]], cap: float, rounds: int) -> DataFrame:
+    """The weights of a table of cells (axes, n) of any size: the passes of `raking_weights` as aggregates, written out pass by pass."""
+    spark = cells.sparkSession
+    kinds = dict(cells.dtypes)
+    goal = {}
+    for axis in axes:
+        goal[axis] = spark.createDataFrame([(v, float(m)) for v, m in targets[axis].items()], f"{axis} {kinds[axis]}, goal double")
+        for r in join_same(goal[axis].where("goal > 0"), cells.select(axis).distinct(), [axis], "left_anti").limit(1).collect():
+            raise ValueError(f"{axis}={r[axis]} has a target but no rows")
+    w = settle(cells.withColumn("w", F.lit(1.0)), "cells")
+    total = F.col("w") * F.col("n")
+    for _ in range(rounds):
+        for axis in axes:
+            mass = w.groupBy(axis).agg(F.sum(total).alias("got"))
+            all_ = w.agg(F.sum(total)).first()[0]
+            factor = join_same(mass, goal[axis], [axis], "left").select(axis, F.when(F.col("goal").isNotNull() & (F.col("got") > 0), F.col("goal") / (F.col("got") / max(all_ or 0.0, 1e-300))).otherwise(1.0).alias("f"))
+            w = settle(join_same(w, factor, [axis]).select(*axes, "n", (F.col("w") * F.col("f")).alias("w")), "cells")
+        w = w.withColumn("w", F.least("w", F.lit(cap)))
+        sums = w.agg(F.sum("n").alias("n"), F.sum(total).alias("wn")).first()
+        w = settle(w.withColumn("w", F.col("w") * ((sums["n"] or 0) / max(sums["wn"] or 0.0, 1e-12))), "cells")
+    for _ in range(200):
+        sums = w.agg(F.sum("n").alias("n"), F.sum(total).alias("wn"), F.sum(F.col("w") * total).alias("wwn"), F.max("w").alias("most")).first()
+        if (sums["wn"] or 0.0) ** 2 / max(sums["wwn"] or 0.0, 1e-12) >= 0.5 * (sums["n"] or 0) and (sums["most"] or 0.0) <= cap:
+            break
+        w = settle(w.withColumn("w", 0.95 * F.col("w") + 0.05), "cells")
+    return w.select(*axes, F.col("w").alias("weight"))
+
+
+def raking_weights(rows: DataFrame, axes: list[str], targets: dict[str, dict[str | None, float]], cap: float = 4.0, rounds: int = 100, most_cells: int = 100_000) -> DataFrame:
     """Iterative proportional fitting to marginal targets, with cap, mean 1 and effective size at least half.
 
     Rows of one cell have one weight, so the iteration runs on the table of cells (distinct
-    axis values), which is small and checked; the weights are joined back.  Null is a value
-    like any other, and ``None`` among the targets is its target.
+    axis values): as arrays up to ``most_cells`` of them, beyond that as aggregates on the
+    cluster, with the same weights but for rounding.  The weights are joined back.  Null is a
+    value like any other, and ``None`` among the targets is its target.
     """
-    cells = rows.groupBy(*axes).count().limit(100_001).collect()
-    if len(cells) > 100_000:
-        raise ValueError("more than 100000 cells")
+    table = settle(rows.groupBy(*axes).agg(F.count("*").alias("count")), "cells")
+    if table.count() > most_cells:
+        found = _rake_on_cluster(table.withColumnRenamed("count", "n"), axes, targets, cap, rounds)
+        return join_same(rows, found, axes, "left")
+    cells = table.collect()
     cells = sorted(cells, key=lambda r: [(r[x] is not None, "" if r[x] is None else r[x]) for x in axes])
     n = np.array([r["count"] for r in cells], float)
     w = np.ones(len(cells))

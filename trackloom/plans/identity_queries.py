@@ -69,6 +69,16 @@ def head_tail_states(spark, sf_dir):
     return identities.head_tail(d, ["video", "track_id"], max_gap=400)
 
 
+@query("tail_exchanges")
+def tail_exchanges(spark, sf_dir):
+    """Places where two tracks that share boxes for some frames should change their ids."""
+    from ..operators import duplicates
+
+    rows = _frames(spark, sf_dir)
+    met = duplicates.pairs(rows, keys=["video", "frame"]).where("io_min >= 0.2").select("video", "a", "b", "frame")
+    return rounded(identities.tail_exchanges(rows, met, ["video"]))
+
+
 #: Short tracks: a track breaks after twenty frames.
 PART_SQL = f"{FRAMES_SQL}, pt AS (SELECT video, frame, track_id * 1000000 + frame // 20 AS track_id, x1, y1, x2, y2 FROM one)"
 

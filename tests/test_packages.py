@@ -108,3 +108,15 @@ def test_frame_and_round_exports(spark, tmp_path):
     assert first == again and first["train"][0] == 2 and spark.read.json(str(tmp_path / "a" / "data")).count() == 3
     with pytest.raises(Exception, match="(?i)exist"):
         sink.export_round(frames, str(tmp_path / "a"), "frame")
+
+
+def test_near_starts(spark):
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["v", "w", None]), k, f := rng.randint(0, 400), f + rng.randint(0, 60), *(rng.uniform(-100, 100) for _ in range(4))) for k in range(120)]
+    table = spark.createDataFrame(rows, "video string, piece long, first_frame long, last_frame long, start_x double, start_y double, end_x double, end_y double")
+    got = {(r["left_piece"], r["right_piece"]) for r in stitching.near_starts(table, "video", "piece", 90, 45.0).collect()}
+    near = lambda a, b: a[0] == b[0] and 1 <= b[2] - a[3] <= 90 and abs(b[4] - a[6]) <= 45 and abs(b[5] - a[7]) <= 45
+    assert got == {(a[1], b[1]) for a, b in itertools.permutations(rows, 2) if near(a, b)} and got

@@ -172,3 +172,17 @@ def test_items_in_blocks_give_the_same(spark):
     clean = decontamination.decontaminate(frame, bench, one_in=2, block_bytes=500)
     assert clean.columns == frame.columns
     assert sorted(clean.collect(), key=str) == sorted(decontamination.decontaminate(frame, bench, one_in=2).collect(), key=str)
+
+
+def test_scan_of_repetitive_texts():
+    """Words from a tiny vocabulary give the longest chains of suffix links: all as by hand, and the time grows with the text only."""
+    rng = random.Random(3)
+    for _ in range(40):
+        say = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+        items = [(f"i{k}", say(rng.choice([2, 5, 12, 13, 14, 30]))) for k in range(6)] + [("same", "a " * rng.choice([12, 13, 60]))]
+        automaton = decontamination.Automaton([(n, norm(t)) for n, t in items], 13)
+        for doc in [say(80), "a " * 50 + say(20), say(13)]:
+            spans, found = automaton.scan(norm(doc))
+            assert decontamination._verdict(len(norm(doc)), spans, found, 20) == brute(doc, items)
+    automaton = decontamination.Automaton([("same", ["w"] * 20_000), ("short", ["w"] * 5)], 13)
+    assert automaton.scan(["w"] * 400_000) == ([(0, 400_000)], {"same", "short"})

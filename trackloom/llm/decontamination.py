@@ -114,6 +114,7 @@ class Automaton:
         if not self.least or len(doc) < self.least:
             return spans, found
         step, link, size, window, short = self.step, self.link, self.size, self.window, self.short
+        named: set[int] = set()  # states whose items are in found
         for lo, hi in self.regions(doc):
             state = length = 0
             for i in range(lo, hi):
@@ -123,14 +124,17 @@ class Automaton:
                     length = size[state]
                 state = step[state].get(w, 0)
                 length = length + 1 if state else 0
-                hit, at = 0, state
+                hit = 0
                 if length >= window:
-                    hit = window
-                    while size[link[at]] >= window:
-                        at = link[at]
-                    found |= self.items.get(at, set())
+                    # Only the last window of words matters from here on: each link climbed is never climbed again.
+                    while size[link[state]] >= window:
+                        state = link[state]
+                    hit = length = window
+                    if state not in named:
+                        named.add(state)
+                        found |= self.items.get(state, set())
                 if short:
-                    at = state
+                    at = state  # at most a window of links: their sizes fall
                     while at > 0:
                         for n, names in short.get(at, {}).items():
                             if n <= length:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import re
 import tarfile
 import zipfile
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import matching
+from .frames import COLLECTIONS, DETECTION, FRAME, LABELME, REAR
 
 MEMBERS = "source string, name string, content binary"
 
@@ -26,32 +29,108 @@ COCO = T.StructType([
 MANIFEST = "sample_id string, split string, image_path string, annotations array<struct<bbox:array<double>,track_id:long,det_mask:boolean,track_mask:boolean>>"
 
 
-def read_members(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame:
-    """Files of a folder, and members of .zip, .tar, .tar.gz and .tgz files in it, whose whole name fits ``pattern``: source, name, content.
+TARS = (".tar", ".tar.gz", ".tgz", ".tar.zst")
+
+
+def _opened(url: str):
+    """A seekable stream of a file on any file system that Arrow knows; Hadoop writes local paths as ``file:/...``."""
+    from pyarrow import fs
+
+    scheme, _, rest = url.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    system, path = fs.FileSystem.from_uri(quote(url, safe=":/@?=&+,;$!~*'()[]"))
+    return system.open_input_file(path)
+
+
+def _members(source: str, stream, fits):
+    """Name and bytes of the members that fit, one at a time; tar archives are read in their own order, without going back."""
+    short = source.rpartition("/")[2]
+    if short.endswith(".zip"):
+        with zipfile.ZipFile(stream) as z:
+            for i in sorted(z.infolist(), key=lambda i: i.filename):
+                if not i.is_dir() and fits(i.filename):
+                    yield i.filename, z.read(i)
+    elif short.endswith(TARS):
+        if short.endswith(".zst"):
+            import zstandard
+
+            stream = zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True)
+        with tarfile.open(fileobj=stream, mode="r|*") as t:
+            for m in t:
+                if m.isfile() and fits(m.name):
+                    yield m.name, t.extractfile(m).read()
+    elif fits(short):
+        yield short, stream.read()
+
+
+def read_members(spark: SparkSession, path: str, pattern: str = ".*", unpack: bool = False, direct: bool = False) -> DataFrame:
+    """Files of a folder, and members of .zip, .tar, .tar.gz, .tgz and .tar.zst files in it, whose whole name fits ``pattern``: source, name, content.
 
     Each file is read by one task, an archive member by member; a broken archive is an error.
-    Row order is by source and name only after a sort.
+    With ``direct`` a task opens its files itself, through Arrow's file systems, and never holds more than a member, whatever the archive's size; else
+    Spark hands it each file as a whole.  ``unpack`` unpacks members named .gz.  Row order is by source and name only after a sort.
     """
 
     def run(batches):
         fits = re.compile(pattern).fullmatch
         for b in batches:
-            for source, content in zip(b["path"], b["content"], strict=True):
-                short = source.rpartition("/")[2]
-                if short.endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for i in sorted(z.infolist(), key=lambda i: i.filename):
-                            if not i.is_dir() and fits(i.filename):
-                                yield pd.DataFrame({"source": [source], "name": [i.filename], "content": [z.read(i)]})
-                elif short.endswith((".tar", ".tar.gz", ".tgz")):
-                    with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                        for m in sorted((m for m in t.getmembers() if m.isfile()), key=lambda m: m.name):
-                            if fits(m.name):
-                                yield pd.DataFrame({"source": [source], "name": [m.name], "content": [t.extractfile(m).read()]})
-                elif fits(short):
-                    yield pd.DataFrame({"source": [source], "name": [short], "content": [content]})
-
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, MEMBERS)
+            for k, source in enumerate(b["path"]):
+                with _opened(source) if direct else io.BytesIO(b["content"][k]) as stream:
+                    for name, content in _members(source, stream, fits):
+                        if unpack and name.endswith(".gz"):
+                            content = gzip.decompress(content)
+                        yield pd.DataFrame({"source": [source], "name": [name], "content": [content]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", *([] if direct else ["content"])).mapInPandas(run, MEMBERS)
+
+
+def frames_of_members(members: DataFrame) -> DataFrame:
+    """Frames (as ``frames.read_frames`` gives them, with replayed, fps and image_size) of JSON documents (name, content) of any of the known kinds.
+
+    Kinds: a document of ``shapes`` (its number from the digits at its name's end), one of ``frames`` by number (of a track id that is
+    emitted again in a frame the last counts; ``replayed`` says how many did not), a list of frames, or one frame.  A leading byte-order mark
+    is skipped; text that is no such document is an error.
+    """
+    text = F.regexp_replace(F.col("content").cast("string"), "^[\\x{FEFF}\\s]+", "")
+    strict = {"mode": "FAILFAST"}
+    docs = members.select("name", text.alias("text")).withColumn("kind", F.when(F.col("text").startswith("["), "list").when(F.get_json_object("text", "$.shapes").isNotNull(), "shapes").when(F.get_json_object("text", "$.frames").startswith("{"), "map").otherwise("frame"))
+    empty = F.array().cast(T.ArrayType(DETECTION))
+
+    one = docs.where("kind = 'frame'").select(F.from_json("text", FRAME, strict).alias("f")).select("f.*")
+    many = docs.where("kind = 'list'").select(F.explode(F.from_json("text", T.ArrayType(FRAME), strict)).alias("f")).select("f.*")
+    sam = T.StructType([T.StructField("frames", T.MapType(T.StringType(), T.ArrayType(DETECTION))), T.StructField("metadata", T.StructType([T.StructField("fps", T.DoubleType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))])
+    each = docs.where("kind = 'map'").select(F.from_json("text", sam, strict).alias("d")).select("d.metadata", F.explode("d.frames").alias("number", "boxes"))
+    later = lambda d, i: F.exists(F.slice("boxes", i + 2, F.greatest(F.size("boxes") - i - 1, F.lit(0))), lambda e: e["track_id"] == d["track_id"])
+    kept = F.filter(F.coalesce("boxes", empty), lambda d, i: ~F.coalesce(later(d, i), F.lit(False)))
+    none = lambda t: F.lit(None).cast(t)
+    maps = each.select(
+        *(none("string").alias(c) for c in ("video", "domain", "group", "split")), F.col("number").alias("frame"), F.coalesce("metadata.fps", F.lit(30.0)).alias("fps"),
+        F.array(F.coalesce("metadata.width", F.lit(1920)), F.coalesce("metadata.height", F.lit(1080))).alias("image_size"), kept.alias("detections"), none(T.ArrayType(DETECTION)).alias(COLLECTIONS[1]), none(T.ArrayType(DETECTION)).alias(COLLECTIONS[2]),
+        (F.size(F.coalesce("boxes", empty)) - F.size(kept)).alias("replayed"),
+    )
+    drawn = docs.where("kind = 'shapes'").select("name", F.from_json("text", LABELME, strict).alias("d")).select("name", "d.*")
+    role = lambda s: F.when(s["label"].isin(REAR), "abdomen_tip").otherwise(s["label"])
+    side = lambda r, f, i: f(F.transform(r["points"], lambda q: q[i]))
+
+    def boxed(r):
+        """A rectangle with the last head and rear point of its group; a shadow owns none."""
+        own = lambda s: (s["shape_type"] == "point") & (s["group_id"] == r["group_id"]) & (r["label"] != "bee_shadow")
+        last = lambda c: F.try_element_at(F.filter("shapes", lambda s: F.coalesce(own(s) & (role(s) == c), F.lit(False))), F.lit(-1))["points"][0]
+        entries = F.filter(F.array(*(F.struct(F.lit(c).alias("key"), last(c).alias("value")) for c in ("head", "abdomen_tip"))), lambda e: e["value"].isNotNull())
+        made = {
+            "bbox_xyxy": F.array(side(r, F.array_min, 0), side(r, F.array_min, 1), side(r, F.array_max, 0), side(r, F.array_max, 1)), "track_id": r["group_id"], "class_id": F.when(r["label"] == "bee_shadow", 1).otherwise(0),
+            "class_name": r["label"], "origin": F.lit("observed"), "keypoints": F.map_from_entries(entries),
+        }
+        return F.struct(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DETECTION.fields))
+
+    boxes = F.transform(F.filter("shapes", lambda s: F.coalesce(s["shape_type"] == "rectangle", F.lit(False))), boxed)
+    shapes = drawn.select(
+        *(none("string").alias(c) for c in ("video", "domain", "group", "split")), F.regexp_extract("name", r"(\d+)\.json(?:\.gz)?$", 1).alias("frame"), none("double").alias("fps"), F.array("imageWidth", "imageHeight").alias("image_size"),
+        F.coalesce(boxes, empty).alias("detections"), none(T.ArrayType(DETECTION)).alias(COLLECTIONS[1]), none(T.ArrayType(DETECTION)).alias(COLLECTIONS[2]),
+    )
+    return maps.unionByName(one.unionByName(many).unionByName(shapes), allowMissingColumns=True)
 
 
 def labelme_members(members: DataFrame) -> DataFrame:

@@ -168,3 +168,34 @@ def near_by_length(ents: DataFrame, factor: float = 1.5, keys: Sequence[str] = F
     mean = (F.col("a_l") + F.col("b_l")) / 2
     pairs = join_same(side("a"), side("b"), keys).where((F.col("a") < F.col("b")) & (apart <= factor * mean))
     return pairs.select(*keys, "a", "b", (apart / mean).alias("distance"))
+
+
+def champion_decisions(candidates: DataFrame, champions: DataFrame, directions: dict[str, str], tolerances: dict[str, float] | None = None) -> DataFrame:
+    """Which candidates replace their champions: candidate, promoted, reason and gains (metric to improvement, up to one that fails).
+
+    Both tables have name, dataset, split, protocol and metrics (map of name to value); ``candidates`` also champion and status.  The
+    first reason that holds: candidate_not_verified, then for dataset, split and protocol in turn missing_ or incomparable_, then for each
+    of ``directions`` (max or min) in turn missing_metric_ or regression_ (beyond its tolerance); else pareto_improvement where a
+    metric gains more than its tolerance, or no_material_gain.  An unknown champion is missing_dataset.
+    """
+    tolerances = tolerances or {}
+    old = champions.select(F.col("name").alias("champion"), *(F.col(c).alias(f"old_{c}") for c in ("dataset", "split", "protocol", "metrics")))
+    rows = candidates.join(old, "champion", "left")
+    blank = lambda c: F.coalesce(F.col(c).cast("string") == "", F.lit(True))
+    reason = F.when(F.coalesce(F.col("status") != "verified", F.lit(True)), "candidate_not_verified")
+    for c in ("dataset", "split", "protocol"):
+        reason = reason.when(blank(c) | blank(f"old_{c}"), f"missing_{c}").when(F.col(c) != F.col(f"old_{c}"), f"incomparable_{c}")
+    gains = {}
+    for metric, direction in directions.items():
+        value = lambda m, k=metric: F.try_element_at(m, F.lit(k))
+        gains[metric] = (value(F.col("metrics")) - value(F.col("old_metrics"))) * (1.0 if direction == "max" else -1.0)
+        reason = reason.when(gains[metric].isNull(), f"missing_metric_{metric}").when(gains[metric] < -tolerances.get(metric, 0.0), f"regression_{metric}")
+    better = F.lit(False)
+    for metric, gain in gains.items():
+        better = better | F.coalesce(gain > tolerances.get(metric, 0.0), F.lit(False))
+    rows = rows.withColumn("reason", reason.when(better, "pareto_improvement").otherwise("no_material_gain"))
+    names = list(gains)
+    reached = lambda i: ~F.col("reason").isin([f"regression_{m}" for m in names[:i]])
+    table = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(m).alias("key"), F.when(reached(i), gains[m]).alias("value")) for i, m in enumerate(names))), lambda e: e["value"].isNotNull()))
+    compared = F.col("reason").startswith("regression_") | F.col("reason").isin("pareto_improvement", "no_material_gain")
+    return rows.select(F.col("name").alias("candidate"), (F.col("reason") == "pareto_improvement").alias("promoted"), "reason", F.when(compared, table).alias("gains"))

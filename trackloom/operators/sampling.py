@@ -124,20 +124,28 @@ def _rake_on_cluster(cells: DataFrame, axes: list[str], targets: dict[str, dict[
         w = settle(w.withColumn("w", F.col("w") * ((sums["n"] or 0) / max(sums["wn"] or 0.0, 1e-12))), "cells")
     for _ in range(200):
         sums = w.agg(F.sum("n").alias("n"), F.sum(total).alias("wn"), F.sum(F.col("w") * total).alias("wwn"), F.max("w").alias("most")).first()
-        if (sums["wn"] or 0.0) ** 2 / max(sums["wwn"] or 0.0, 1e-12) >= 0.5 * (sums["n"] or 0) and (sums["most"] or 0.0) <= cap:
+        if (sums["wn"] or 0.0) ** 2 / max(sums["wwn"] or 0.0, 1e-12) >= 0.5 * (sums["n"] or 0) and (sums["most"] or 0.0) <= cap + 1e-8:
             break
         w = settle(w.withColumn("w", 0.95 * F.col("w") + 0.05), "cells")
     return w.select(*axes, F.col("w").alias("weight"))
 
 
-def raking_weights(rows: DataFrame, axes: list[str], targets: dict[str, dict[str | None, float]], cap: float = 4.0, rounds: int = 100, most_cells: int = 100_000) -> DataFrame:
+def raking_weights(rows: DataFrame, axes: list[str], targets: dict[str, dict[str | None, float]], cap: float = 4.0, rounds: int = 100, most_cells: int = 100_000, valid: Column | None = None) -> DataFrame:
     """Iterative proportional fitting to marginal targets, with cap, mean 1 and effective size at least half.
 
     Rows of one cell have one weight, so the iteration runs on the table of cells (distinct
     axis values): as arrays up to ``most_cells`` of them, beyond that as aggregates on the
     cluster, with the same weights but for rounding.  The weights are joined back.  Null is a
-    value like any other, and ``None`` among the targets is its target.
+    value like any other, and ``None`` among the targets is its target.  Rows that are not ``valid``
+    weigh 0 and count nowhere; with none that is, or a target without a valid row, the call raises.
     """
+    if valid is not None:
+        marked = settle(rows.withColumn("valid_", F.coalesce(valid, F.lit(False))), "marked")
+        kept = marked.where("valid_").drop("valid_")
+        if kept.isEmpty():
+            raise ValueError("no valid rows")
+        none = marked.where(~F.col("valid_")).drop("valid_").withColumn("weight", F.lit(0.0))
+        return raking_weights(kept, axes, targets, cap, rounds, most_cells).unionByName(none)
     table = settle(rows.groupBy(*axes).agg(F.count("*").alias("count")), "cells")
     if table.count() > most_cells:
         found = _rake_on_cluster(table.withColumnRenamed("count", "n"), axes, targets, cap, rounds)
@@ -164,7 +172,7 @@ def raking_weights(rows: DataFrame, axes: list[str], targets: dict[str, dict[str
         w = np.minimum(w, cap)
         w *= n.sum() / max((w * n).sum(), 1e-12)
     for _ in range(200):
-        if (w * n).sum() ** 2 / max((w * w * n).sum(), 1e-12) >= 0.5 * n.sum() and w.max(initial=0) <= cap:
+        if (w * n).sum() ** 2 / max((w * w * n).sum(), 1e-12) >= 0.5 * n.sum() and w.max(initial=0) <= cap + 1e-8:
             break
         w = 0.95 * w + 0.05
     kind = dict(rows.dtypes)

@@ -186,3 +186,40 @@ def cluster_evidence(candidates: DataFrame, least_iou: float = 0.5, keys: Sequen
         return {**{k: g[k] for k in keys}, "det": g["det"], "cluster": g["det"][out]}
 
     return per_group(rows, keys, ["det"], fold, f"{typed(candidates, keys)}, det long, cluster long")
+
+
+def structural_duplicates(dets: DataFrame, keys: Sequence[str] = FRAME, iou: float = 0.75, oks: float = 0.8, length: float = 0.2, axis: float = 20.0, sigma: float = 0.1) -> DataFrame:
+    """Adds kept to det in its frame: by falling conf (then det), a box goes if one that is kept is its like in all of four respects.
+
+    These are overlap (``iou`` at least), both points (their similarity, with a scale of ``sigma`` mean diagonals, ``oks`` at least), body length
+    (relative difference ``length`` at most) and direction (``axis`` degrees at most).  A box without both points is kept and removes none; a
+    null conf comes last.  A frame's boxes are one group of a worker.  Returns keys, det, kept.
+    """
+    points = ["head_x", "head_y", "tail_x", "tail_y"]
+    rows = dets.select(*keys, "det", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", *points)), F.col("conf").cast("double").alias("conf"))
+
+    def fold(g):
+        box = np.stack([g[c].astype(float) for c in ("x1", "y1", "x2", "y2")], 1)
+        body = np.stack([g[c].astype(float) for c in points], 1)
+        n = len(box)
+        kept = np.ones(n, bool)
+        whole = ~np.isnan(body).any(axis=1) & ~np.isnan(box).any(axis=1)
+        wide = np.maximum(np.hypot(box[:, 2] - box[:, 0], box[:, 3] - box[:, 1]), 1.0)
+        arrow = body[:, 2:] - body[:, :2]
+        long = np.maximum(np.hypot(arrow[:, 0], arrow[:, 1]), 1e-6)
+        area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+        for k in range(n):
+            if not (kept[k] and whole[k]):
+                continue
+            r = k + 1 + np.flatnonzero(kept[k + 1 :] & whole[k + 1 :])
+            both = np.clip(np.minimum(box[k, 2:], box[r, 2:]) - np.maximum(box[k, :2], box[r, :2]), 0, None).prod(axis=1)
+            r = r[both >= iou * np.maximum(area[k] + area[r] - both, 1e-12)]
+            far = np.stack([((body[k, i : i + 2] - body[r, i : i + 2]) ** 2).sum(axis=1) for i in (0, 2)])
+            scale = np.maximum((wide[k] + wide[r]) / 2 * sigma, 1e-6)
+            alike = np.exp(-far / (2 * scale**2)).mean(axis=0) >= oks
+            alike &= np.abs(long[k] - long[r]) / np.maximum(long[k], long[r]) <= length
+            cosine = np.clip((arrow[k] * arrow[r]).sum(axis=1) / (long[k] * long[r]), -1, 1)
+            kept[r[alike & (np.degrees(np.arccos(cosine)) <= axis)]] = False
+        return {**{c: g[c] for c in (*keys, "det")}, "kept": kept}
+
+    return per_group(rows, keys, [F.desc("conf"), "det"], fold, f"{typed(rows, [*keys, 'det'])}, kept boolean")

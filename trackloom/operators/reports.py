@@ -109,7 +109,7 @@ def evaluation_report(matches: DataFrame, keys: list[str], allowed: Column) -> D
 
 
 def readback_audit(source: DataFrame, output: DataFrame, key: list[str], same: list[str], fps: float = 30.0, limit: float = 220.0) -> DataFrame:
-    """One row: rows of both, missing, extra and changed ones (anything but the track differs), doubled tracks in a frame, steps faster than ``limit`` and the 95th percentile of speeds by nearest rank."""
+    """One row: rows of both, missing, extra and changed ones (anything but the track differs), doubled tracks in a frame, steps faster than ``limit``, steps that go on in the same frame (not_later), and the 95th and 99th percentile of speeds by nearest rank."""
     a = source.select(*key, F.struct(*same).alias("was"))
     b = output.select(*key, F.struct(*same).alias("is_"))
     both = a.withColumn("in_a", F.lit(1)).join(b.withColumn("in_b", F.lit(1)), key, "full")
@@ -118,9 +118,10 @@ def readback_audit(source: DataFrame, output: DataFrame, key: list[str], same: l
     doubled = output.groupBy("video", "frame", "track_id").count().where("count > 1").agg(F.count("*").alias("doubled"))
     w = Window.partitionBy("video", "track_id").orderBy("frame", *[k for k in key if k != "frame"])
     mid = lambda p, q: (F.col(p) + F.col(q)) / 2
-    steps = output.select((F.col("frame") - F.lag("frame").over(w)).alias("gap"), F.hypot(mid("x1", "x2") - F.lag(mid("x1", "x2")).over(w), mid("y1", "y2") - F.lag(mid("y1", "y2")).over(w)).alias("moved")).where("gap > 0")
-    speed = F.col("moved") / F.col("gap") * fps
-    speeds = steps.agg(one(speed > limit).alias("too_fast"), F.expr(f"percentile_disc(0.95) within group (order by round(moved / gap * {fps}, 6))").alias("p95_speed"))
+    steps = output.select((F.col("frame") - F.lag("frame").over(w)).alias("gap"), F.hypot(mid("x1", "x2") - F.lag(mid("x1", "x2")).over(w), mid("y1", "y2") - F.lag(mid("y1", "y2")).over(w)).alias("moved"))
+    steps = steps.where("gap is not null").withColumn("speed", F.when(F.col("gap") > 0, F.col("moved") / F.col("gap") * fps))
+    rank = lambda p: F.expr(f"percentile_disc({p}) within group (order by round(speed, 6))").alias(f"p{round(p * 100)}_speed")
+    speeds = steps.agg(one(F.col("speed") > limit).alias("too_fast"), F.count_if(F.col("gap") <= 0).alias("not_later"), rank(0.95), rank(0.99))
     return rows.crossJoin(doubled).crossJoin(speeds)  # one row each
 
 

@@ -122,6 +122,30 @@ def track_geometry(dets: DataFrame) -> DataFrame:
     return rows.select("track_id", "frame", "det", ((cx - px) / diag).alias("dx"), ((cy - py) / diag).alias("dy"), F.log(wide / w0).alias("dw"), F.log(high / h0).alias("dh"))
 
 
+def track_features(ents: DataFrame, track: list[str], order: list[str], frame: str = "frame") -> DataFrame:
+    """Adds track_geometry (six numbers), geometry_mask and axis_mask to boxes with points, against the track's last box of an earlier row in ``order``.
+
+    The numbers: offset of the centre in diagonals of that box (1 at least), log ratios of width and height, direction from head to tail.
+    The direction counts only where both points are seen and apart, and is (0, 0) elsewhere.  Rows without a track, first ones and
+    ones of the same frame as the last give null and false, as do boxes without area.
+    """
+    w = Window.partitionBy(*track).orderBy(*order)
+    num = lambda c: F.col(c).cast("double")
+    was = F.lag(F.struct(F.col(frame).alias("f"), *(num(c).alias(c) for c in ("x1", "y1", "x2", "y2")))).over(w)
+    rows = ents.withColumn("was_", was)
+    wide, high = num("x2") - num("x1"), num("y2") - num("y1")
+    w0, h0 = F.col("was_.x2") - F.col("was_.x1"), F.col("was_.y2") - F.col("was_.y1")
+    mask = F.coalesce(F.col(track[-1]).isNotNull() & (F.col(frame) > F.col("was_.f")) & (w0 > 0) & (h0 > 0) & (wide > 0) & (high > 0), F.lit(False))
+    scale = F.greatest(F.hypot(w0, h0), F.lit(1.0))
+    centre = lambda a, b: (num(a) + num(b) - F.col(f"was_.{a}") - F.col(f"was_.{b}")) / 2 / scale
+    seen = lambda p: F.col(f"{p}_x").isNotNull() & F.coalesce(F.col(f"{p}_c") > 0, F.lit(True))
+    dx, dy = num("tail_x") - num("head_x"), num("tail_y") - num("head_y")
+    axis = mask & F.coalesce(seen("head") & seen("tail") & (F.hypot(dx, dy) > 1e-6), F.lit(False))
+    along = lambda d: F.when(axis, d / F.hypot(dx, dy)).otherwise(0.0)
+    values = F.array(centre("x1", "x2"), centre("y1", "y2"), F.log(wide / w0), F.log(high / h0), along(dx), along(dy))
+    return rows.withColumns({"track_geometry": F.when(mask, values), "geometry_mask": mask, "axis_mask": axis}).drop("was_")
+
+
 def identity_switches(matches: DataFrame) -> DataFrame:
     """Per true track: matched frames, changes of the predicted id, and returns after a gap."""
     w = Window.partitionBy("gt_id").orderBy("frame", "det")

@@ -74,7 +74,8 @@ def evaluation_report(spark, sf_dir):
 @query("readback_audit", f"""WITH {DET_SQL}, o AS (SELECT frame, det, video, track_id + CASE WHEN frame % 9 = 0 THEN 1 ELSE 0 END AS track_id, x1 + CASE WHEN frame % 50 = 0 THEN 1 ELSE 0 END AS x1, y1, x2, y2 FROM det WHERE det % 7 <> 0),
 st AS (SELECT frame - lag(frame) OVER w AS gap, sqrt(pow((x1 + x2) / 2.0 - lag((x1 + x2) / 2.0) OVER w, 2) + pow((y1 + y2) / 2.0 - lag((y1 + y2) / 2.0) OVER w, 2)) AS moved FROM o WINDOW w AS (PARTITION BY video, track_id ORDER BY frame, det))
 SELECT (SELECT count(*) FROM det) AS source_rows, (SELECT count(*) FROM o) AS output_rows, (SELECT count(*) FROM det WHERE det % 7 = 0) AS missing, 0 AS extra, (SELECT count(*) FROM o WHERE frame % 50 = 0) AS changed,
-  (SELECT count(*) FROM (SELECT 1 FROM o GROUP BY video, frame, track_id HAVING count(*) > 1)) AS doubled, count(*) FILTER (WHERE moved / gap * 30 > 220) AS too_fast, quantile_disc(round(moved / gap * 30, 6), 0.95) AS p95_speed FROM st WHERE gap > 0""")
+  (SELECT count(*) FROM (SELECT 1 FROM o GROUP BY video, frame, track_id HAVING count(*) > 1)) AS doubled, count(*) FILTER (WHERE gap > 0 AND moved / gap * 30 > 220) AS too_fast, count(*) FILTER (WHERE gap = 0) AS not_later,
+  quantile_disc(CASE WHEN gap > 0 THEN round(moved / gap * 30, 6) END, 0.95) AS p95_speed, quantile_disc(CASE WHEN gap > 0 THEN round(moved / gap * 30, 6) END, 0.99) AS p99_speed FROM st WHERE gap IS NOT NULL""")
 def readback_audit(spark, sf_dir):
     d = detections(spark, sf_dir).select("frame", "det", "video", "track_id", "x1", "y1", "x2", "y2")
     o = d.where("det % 7 <> 0").withColumns({"track_id": F.col("track_id") + (F.col("frame") % 9 == 0).cast("int"), "x1": F.col("x1") + (F.col("frame") % 50 == 0).cast("int")})

@@ -69,6 +69,14 @@ def violations(frames: DataFrame) -> DataFrame:
     )
 
 
+def checked(frames: DataFrame) -> DataFrame:
+    """Normalised frames, once none of ``violations`` was found; else an error that names the first few."""
+    found = violations(frames).orderBy("rule", "sample_id", "detail").limit(5).collect()
+    if found:
+        raise ValueError("frames refused: " + "; ".join(f"{r['rule']} {r['sample_id']} ({r['detail']})" for r in found))
+    return frames
+
+
 def labelme_detections(docs: DataFrame, name: str = "imagePath") -> DataFrame:
     """Rectangles of LabelMe documents as boxes, with the points of the same group: name, label, group_id, x1..y2, head, abdomen_tip."""
     shapes = docs.select(name, F.posexplode("shapes").alias("pos", "s"))

@@ -91,7 +91,7 @@ def frames_of_members(members: DataFrame) -> DataFrame:
 
     Kinds: a document of ``shapes`` (its number from the digits at its name's end), one of ``frames`` by number (of a track id that is
     emitted again in a frame the last counts; ``replayed`` says how many did not), a list of frames, or one frame.  A leading byte-order mark
-    is skipped; text that is no such document is an error.
+    is skipped; text that is no such document is an error, and so is a rectangle that is neither bee nor bee_shadow.
     """
     text = F.regexp_replace(F.col("content").cast("string"), "^[\\x{FEFF}\\s]+", "")
     strict = {"mode": "FAILFAST"}
@@ -120,7 +120,7 @@ def frames_of_members(members: DataFrame) -> DataFrame:
         last = lambda c: F.try_element_at(F.filter("shapes", lambda s: F.coalesce(own(s) & (role(s) == c), F.lit(False))), F.lit(-1))["points"][0]
         entries = F.filter(F.array(*(F.struct(F.lit(c).alias("key"), last(c).alias("value")) for c in ("head", "abdomen_tip"))), lambda e: e["value"].isNotNull())
         made = {
-            "bbox_xyxy": F.array(side(r, F.array_min, 0), side(r, F.array_min, 1), side(r, F.array_max, 0), side(r, F.array_max, 1)), "track_id": r["group_id"], "class_id": F.when(r["label"] == "bee_shadow", 1).otherwise(0),
+            "bbox_xyxy": F.array(side(r, F.array_min, 0), side(r, F.array_min, 1), side(r, F.array_max, 0), side(r, F.array_max, 1)), "track_id": r["group_id"], "class_id": F.when(r["label"] == "bee", 0).when(r["label"] == "bee_shadow", 1).otherwise(F.raise_error(F.concat(F.lit("undeclared label "), F.coalesce(r["label"], F.lit("null")))).cast("int")),
             "class_name": r["label"], "origin": F.lit("observed"), "keypoints": F.map_from_entries(entries),
         }
         return F.struct(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DETECTION.fields))

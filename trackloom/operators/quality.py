@@ -38,8 +38,8 @@ def expert_fusion(scores: DataFrame, brier: DataFrame, item: str) -> DataFrame:
 
 
 def route_candidates(scores: DataFrame, item: str, sure: float = 0.85, maybe: float = 0.55) -> DataFrame:
-    """soft_positive where two expert families are sure, ignore where one may be right, else background."""
-    g = scores.groupBy(item).agg(F.count_distinct(F.when(F.col("p") >= sure, F.col("family"))).alias("families"), F.max("p").alias("best"), F.min(F.when(F.col("p") >= sure, F.col("p"))).alias("weight"))
+    """soft_positive where two expert families are sure (its weight is the least of all that is known of it), ignore where one may be right, else background."""
+    g = scores.groupBy(item).agg(F.count_distinct(F.when(F.col("p") >= sure, F.col("family"))).alias("families"), F.max("p").alias("best"), F.min("p").alias("weight"))
     route = F.when(F.col("families") >= 2, "soft_positive").when(F.col("best") >= maybe, "ignore").otherwise("background")
     return g.select(item, "families", route.alias("route"), F.when(F.col("families") >= 2, F.col("weight")).alias("weight"))
 

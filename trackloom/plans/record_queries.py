@@ -113,7 +113,7 @@ def expert_fusion(spark, sf_dir):
     return rounded(quality.expert_fusion(scores, brier, "sample_id"))
 
 
-@query("route_candidates", f"WITH {EXPERT_SQL}, g AS (SELECT sample_id, count(DISTINCT CASE WHEN p >= 0.85 THEN family END) AS families, max(p) AS best, min(CASE WHEN p >= 0.85 THEN p END) AS w FROM sc GROUP BY 1) SELECT sample_id, families, CASE WHEN families >= 2 THEN 'soft_positive' WHEN best >= 0.55 THEN 'ignore' ELSE 'background' END AS route, round(CASE WHEN families >= 2 THEN w END, 6) AS weight FROM g")
+@query("route_candidates", f"WITH {EXPERT_SQL}, g AS (SELECT sample_id, count(DISTINCT CASE WHEN p >= 0.85 THEN family END) AS families, max(p) AS best, min(p) AS w FROM sc GROUP BY 1) SELECT sample_id, families, CASE WHEN families >= 2 THEN 'soft_positive' WHEN best >= 0.55 THEN 'ignore' ELSE 'background' END AS route, round(CASE WHEN families >= 2 THEN w END, 6) AS weight FROM g")
 def route_candidates(spark, sf_dir):
     return rounded(quality.route_candidates(_experts(spark, sf_dir)[0], "sample_id"))
 

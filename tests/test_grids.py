@@ -162,3 +162,12 @@ def test_table_functions(spark):
     got = spark.sql("SELECT * FROM track_boxes(TABLE(SELECT * FROM clip) PARTITION BY video ORDER BY (frame, det))")
     want = trackers.associate(boxes.where("video = 'b'"))
     assert {(r["frame"], r["det"]): r["track"] for r in got.collect()} == {(r["frame"], r["det"]): r["track"] for r in want.collect()}
+
+
+def test_low_density_centres_moves_cells_with_boxes_only(spark):
+    """Grids are laid out by workers: neither windows over all cells nor cells without boxes in the plan."""
+    rows = [("v", f, 10.0 * k, 40.0, 10.0 * k + 8, 48.0) for f in range(3) for k in range(8) if k != 4]
+    found = grids.low_density_centres(spark.createDataFrame(rows, "video string, frame long, x1 double, y1 double, x2 double, y2 double"), ["video", "frame"], 96, 96, 8, 8, 2.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan and "Scan parquet" not in plan
+    assert {(r["video"], r["frame"]) for r in found.where("rank = 1").collect()} == {("v", f) for f in range(3)}

@@ -64,6 +64,22 @@ def residual_region(density: DataFrame, observed: DataFrame, keys: Sequence[str]
     return found.select(*keys, pixel(F.col("cx"), width, nx).alias("x1"), pixel(F.col("cy"), height, ny).alias("y1"), pixel(F.col("cx") + wide, width, nx).alias("x2"), pixel(F.col("cy") + high, height, ny).alias("y2"), F.col("mass").alias("missing"))
 
 
+def _around(grid: np.ndarray, size: int) -> np.ndarray:
+    """The sums of ``size`` rows of an array, of which size // 2 lie before the row; rows outside are 0."""
+    upto = np.concatenate([np.zeros((1, grid.shape[1])), np.cumsum(grid, axis=0)])
+    row = np.arange(len(grid))
+    return upto[np.minimum(row + size - size // 2, len(grid))] - upto[np.maximum(row - size // 2, 0)]
+
+
+def _highest(grid: np.ndarray, reach: int) -> np.ndarray:
+    """The greatest of the rows of an array up to ``reach`` before and after each one."""
+    top = grid.copy()
+    for k in range(1, min(reach, len(grid) - 1) + 1):
+        np.maximum(top[k:], grid[:-k], out=top[k:])
+        np.maximum(top[:-k], grid[k:], out=top[:-k])
+    return top
+
+
 def low_density_centres(dets: DataFrame, keys: Sequence[str], width: int, height: int, cell_w: float, cell_h: float, least_ring: float, most: int = 12, scale: int = 4) -> DataFrame:
     """Holes in a crowd: keys, rank, x, y, ring; empty cells of which the surroundings hold at least ``least_ring`` boxes.
 
@@ -74,21 +90,25 @@ def low_density_centres(dets: DataFrame, keys: Sequence[str], width: int, height
     """
     nx, ny = -(-width // scale), -(-height // scale)
     at = lambda a, b, n: F.least(F.greatest(F.rint((F.col(a) + F.col(b)) / (2 * scale)), F.lit(0.0)), F.lit(float(n - 1))).cast("long")
-    grid = dense(dets.select(*keys, at("x1", "x2", nx).alias("gx"), at("y1", "y2", ny).alias("gy"), F.lit(1.0).alias("value")), keys, nx, ny)
+    # only cells with boxes are moved: a worker lays out one grid after the other
+    cells = dets.select(*keys, at("x1", "x2", nx).alias("gx"), at("y1", "y2", ny).alias("gy")).groupBy(*keys, "gx", "gy").agg(F.count("*").cast("double").alias("value"))
     size = lambda c: max(1, round(c / scale))
-    sums = window_sums(window_sums(grid, keys, size(cell_w), size(cell_h), nx, ny, "central"), keys, size(3 * cell_w), size(3 * cell_h), nx, ny, "around")
-    ring = settle(sums.select(*keys, "gx", "gy", F.round("central", 6).alias("central"), F.round(F.col("around") - F.col("central"), 6).alias("ring")), "rings")
-    top = ring.withColumn("top", F.max("ring").over(Window.partitionBy(*keys, "gy").orderBy("gx").rowsBetween(-4, 4)))
-    top = top.withColumn("top", F.max("top").over(Window.partitionBy(*keys, "gx").orderBy("gy").rowsBetween(-4, 4)))
-    peaks = top.where((F.col("central") < 0.5) & (F.col("ring") >= least_ring) & (F.col("ring") >= F.col("top"))).select(*keys, (F.col("gx") * scale).alias("x"), (F.col("gy") * scale).alias("y"), "ring")
 
     def fold(g):
+        grid = np.zeros((nx, ny))
+        grid[g["gx"], g["gy"]] = g["value"]
+        central = _around(_around(grid, size(cell_w)).T, size(cell_h)).T
+        ring = _around(_around(grid, size(3 * cell_w)).T, size(3 * cell_h)).T - central
+        px, py = np.nonzero((central < 0.5) & (ring >= least_ring) & (ring >= _highest(_highest(ring, 4).T, 4).T))
+        order = np.lexsort((-py, -px, -ring[px, py]))
+        x, y = px[order] * scale, py[order] * scale
         kept: list[int] = []
-        for k, (x, y) in enumerate(zip(g["x"].tolist(), g["y"].tolist(), strict=True)):
-            if all(((x - g["x"][o]) / (0.7 * cell_w)) ** 2 + ((y - g["y"][o]) / (0.7 * cell_h)) ** 2 >= 1 for o in kept):
+        for k in range(len(order)):
+            if (((x[k] - x[kept]) / (0.7 * cell_w)) ** 2 + ((y[k] - y[kept]) / (0.7 * cell_h)) ** 2 >= 1).all():
                 kept.append(k)
                 if len(kept) >= most:
                     break
-        return {**{k: g[k][kept] for k in keys}, "rank": np.arange(1, len(kept) + 1), **{c: g[c][kept] for c in ("x", "y", "ring")}}
+        at_ = order[kept]
+        return {**{k: np.repeat(g[k][:1], len(kept)) for k in keys}, "rank": np.arange(1, len(kept) + 1), "x": x[kept], "y": y[kept], "ring": ring[px[at_], py[at_]]}
 
-    return per_group(peaks, keys, [F.desc("ring"), F.desc("x"), F.desc("y")], fold, f"{typed(peaks, keys)}, rank long, x long, y long, ring double")
+    return per_group(cells, keys, [], fold, f"{typed(cells, keys)}, rank long, x long, y long, ring double")

@@ -3,7 +3,10 @@
 import math
 import random
 
-from trackloom.operators import fills
+import numpy as np
+from pyspark.sql import functions as F
+
+from trackloom.operators import fills, matching
 
 
 def test_bounded_fills(spark):
@@ -44,3 +47,34 @@ def test_bounded_fills(spark):
     assert {k: r.accepted for k, r in found.items()} == want and 0 < sum(want.values()) < len(want)
     assert all((r.before, r.missing) == made[k][1:] and all(abs(u - v) < 1e-9 for u, v in zip((r.x1, r.y1, r.x2, r.y2), made[k][0])) for k, r in found.items())
     assert fills.bounded_fills(df.limit(0), df).isEmpty()
+
+
+def test_large_frames_are_compared_in_tiles(spark, monkeypatch):
+    """A frame of many boxes never makes one table of all its pairs, and the choice is that of the plain pass."""
+    rng = np.random.default_rng(3)
+    low = rng.integers(0, 60, (900, 2)).astype(float)
+    boxes = np.concatenate([low, low + rng.integers(15, 25, (900, 2))], axis=1)
+    sure = np.arange(900) < 40
+    largest, plain = [], matching.overlaps
+
+    def seen(a, b):
+        largest.append(len(a) * len(b))
+        return plain(a, b)
+
+    for measure, least in (("iou", 0.5), ("io_min", 0.8)):
+        score = plain(boxes, boxes)[2 if measure == "iou" else 1]
+        kept, blocker = sure.copy(), np.full(900, -1)
+        for i in range(40, 900):
+            hit = np.flatnonzero(kept[:i] & (score[i, :i] >= least))
+            kept[i] = not len(hit)
+            if len(hit):
+                blocker[i] = hit[score[i][hit].argmax()]
+        monkeypatch.setattr(matching, "overlaps", seen)
+        found = matching.unhidden(boxes, sure, np.ones(900, bool), least, measure)
+        short = matching.unhidden(boxes, sure, np.ones(900, bool), least, measure, named=False)[0]
+        monkeypatch.setattr(matching, "overlaps", plain)
+        assert (found[0] == kept).all() and (found[1] == blocker).all() and (short == kept).all() and 40 < kept.sum() < 900
+    assert max(largest) <= matching.ROWS * 900 < 900 * 900
+    df = spark.createDataFrame([(1, k + 1, *map(float, b)) for k, b in enumerate(boxes)], "frame long, det long, x1 double, y1 double, x2 double, y2 double")
+    got = {r["det"]: (r["kept"], r["blocker"]) for r in matching.suppress(df, 0.8, [F.col("det")], "io_min", protected=F.col("det") <= 40).collect()}
+    assert got == {k + 1: (bool(kept[k]), int(blocker[k]) + 1 if blocker[k] >= 0 else -1) for k in range(900)}

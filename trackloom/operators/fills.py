@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import suppress
+from .grouped import per_group, typed
+from .matching import unhidden
 from .nullsafe import join_same
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -44,11 +46,18 @@ def bounded_fills(dets: DataFrame, frames: DataFrame, overlap: float = 0.8, **bo
     Boxes that are there are never removed, those without a track included.
     """
     found = fill_candidates(dets, frames, **bounds)
-    there = dets.select("scope", "frame", "track_id", *(F.col(c).cast("double").alias(c) for c in BOX), F.lit(None).cast(found.schema["before"].dataType).alias("before"), F.lit(None).cast(found.schema["missing"].dataType).alias("missing"), F.lit(True).alias("there"))
+    kinds = dict(found.dtypes)
+    blank = lambda c: F.lit(0).cast(kinds[c]).alias(c)
+    there = dets.select("scope", "frame", blank("track_id"), *(F.col(c).cast("double").alias(c) for c in BOX), blank("before"), blank("missing"), F.lit(True).alias("there"))
     met = join_same(there, found.select("scope", "frame").distinct(), ["scope", "frame"], "left_semi").unionByName(found.withColumn("there", F.lit(False)))
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    # the place in this order is the box's number: fills come after all boxes that are there, and never tie
-    order = [F.desc("there"), F.desc(area), F.col("track_id")]
-    met = met.withColumn("det", F.row_number().over(Window.partitionBy("scope", "frame").orderBy(*order)).cast("long"))
-    kept = suppress(met, overlap, [F.col("det")], "io_min", protected=F.col("there"), keys=["scope", "frame"]).select("scope", "frame", "det", F.col("kept").alias("accepted"))
-    return join_same(met.where(~F.col("there")), kept, ["scope", "frame", "det"]).select("scope", "track_id", "frame", *BOX, "before", "missing", "accepted")
+
+    def fold(g):
+        there = g["there"].astype(bool)
+        boxes = np.stack([g[c] for c in BOX], axis=1).astype(float)
+        at = np.flatnonzero(~there)
+        kept = unhidden(boxes, there, np.ones(len(boxes), bool), overlap, "io_min", named=False)[0]
+        return {**{c: g[c][at] for c in columns}, "accepted": kept[at]}
+
+    columns = ["scope", "track_id", "frame", *BOX, "before", "missing"]
+    return per_group(met, ["scope", "frame"], [F.desc("there"), F.desc(area), "track_id"], fold, f"{typed(found, columns)}, accepted boolean")

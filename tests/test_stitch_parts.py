@@ -22,6 +22,16 @@ def tracklets(spark):
     return spark.createDataFrame(rows, ENDS)
 
 
+def test_margins_as_from_pairs(tracklets):
+    pairs = stitching.stitch_candidates(tracklets, "video", "piece", 20, max_cost=4.0)
+    value = lambda x: None if x is None else round(x, 7) + 0.0
+    rows = lambda df: sorted((r.video, r.left_piece, r.right_piece, value(r.left_margin), value(r.right_margin)) for r in df.collect())
+    found = stitching.tracklet_margins(tracklets, "video", "piece", 20, max_cost=4.0)
+    assert (want := rows(stitching.margins(pairs, "video"))) and rows(found.drop("gap")) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # no sort over all pairs
+
+
 def test_stitches_from_parts_save_most(tracklets, monkeypatch):
     pairs = stitching.stitch_candidates(tracklets, "video", "piece", 20, max_cost=4.0)
     cost = {(r.video, r.left_piece, r.right_piece): r.cost for r in pairs.collect()}

@@ -3,7 +3,10 @@
 import itertools
 import math
 
+import duckdb
+
 from trackloom.operators import evidence, tracking_metrics
+from trackloom.plans.registry import rounded
 
 
 def test_octant_does_not_depend_on_the_order_of_rows(spark):
@@ -32,3 +35,20 @@ def test_hota_has_one_row_a_pair_of_tracks_until_its_last_sum(spark):
     assert all(abs(v - 1) < 1e-12 for v in found.first())
     plan = found._jdf.queryExecution().analyzed().toString()
     assert not [line for line in plan.splitlines() if "Aggregate [alpha" in line and "gt_id" in line]
+
+
+def test_octant_on_an_edge_is_that_of_the_sql(spark):
+    frames = [[(w, h), (h, w)] for w in range(21, 71) for h in range(20, 60)] + [[(51, 25), (59, 59), (25, 51)]]
+    con = duckdb.connect()
+    con.execute("create table b as select * from (values " + ", ".join(f"({f}, {w}, {h}, {d})" for f, sides in enumerate(frames) for d, (w, h) in enumerate(sides)) + ") t(f, w, h, d)")
+    want = dict(con.execute("select f, cast(floor(a / (pi() / 4)) as int) from (select f, atan2(avg(sin(atan2(h, w)) order by d), avg(cos(atan2(h, w)) order by d)) as a from b group by f)").fetchall())
+    rows = [(f, d, d, 100 * d, 0, 100 * d + w, h) for f, sides in enumerate(frames) for d, (w, h) in enumerate(sides)]
+    dets = spark.createDataFrame(rows, "frame long, det int, track_id long, x1 long, y1 long, x2 long, y2 long")
+    assert {r.frame: r.octant for r in evidence.frame_record(dets).collect()} == want
+
+
+def test_halves_are_rounded_as_in_the_sql(spark):
+    values = [n / d for d in (128, 640, 1280, 3200) for n in range(-d, d)] + [0.0, -0.0, 1e300, float("inf"), float("-inf"), None, 0.49999999999999994e-6]
+    got = [r.v for r in rounded(spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)).collect()]
+    assert got == [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in values]
+    assert math.isnan(rounded(spark.createDataFrame([(float("nan"),)], "v double")).first().v)

@@ -69,3 +69,33 @@ def test_empty_and_nulls(spark):
     rows = spark.createDataFrame([(None, 0, 0, 1.0, 1.0, 2.0, 2.0), ("a", None, 0, 1.0, 1.0, 2.0, 2.0), ("a", 3, 1, None, 1.0, 2.0, 2.0), ("a", 3, 2, 1.0, 1.0, 2.0, 2.0)], BOXES)
     assert [tuple(r) for r in gt.global_tracks(rows).collect()] == [("a", 3, 2, 1)]
     assert gt.global_tracks(rows.limit(0)).count() == 0 and gt.kept_tracks(gt.global_tracks(rows.limit(0))).count() == 0
+
+
+def test_videos_are_tasks_of_their_own(spark):
+    rows = [(f"V{v}", f, 0, 10.0, 10.0, 20.0, 20.0) for v in range(8) for f in range(3)]
+    found = gt.global_tracks(spark.createDataFrame(rows, BOXES)).select("video", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(found) == 8 and len({r["task"] for r in found}) == 8
+
+
+def test_motion_equals_arrays():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(300):
+        n = rng.randrange(1, 8)
+        frames = np.cumsum([rng.choice((1, 1, 2, 3, 9)) for _ in range(n)])
+        xy = np.array([[rng.uniform(0, 60), rng.uniform(0, 60)] for _ in range(n)])
+        want = np.zeros(6)
+        if n >= 3:
+            each = np.diff(xy, axis=0) / np.diff(frames)[:, None]
+            weights = np.exp(np.linspace(-1.5, 0, n - 1))
+            velocity = np.average(each, axis=0, weights=weights)
+            speed = np.linalg.norm(velocity)
+            want[2] = 0.75 * min(1.0, speed / (np.average(np.linalg.norm(each, axis=1), weights=weights) + 1e-6))
+            want[:2] = velocity * min(1.0, 15.0 / max(speed, 1e-6))
+            short = each[np.diff(frames) <= 3]
+            if len(short) >= 2:
+                median = np.median(short, axis=0)
+                want[5] = np.median(np.linalg.norm(short - median, axis=1))
+                want[3:5] = median * min(1.0, 12.0 / max(np.linalg.norm(median), 1e-6))
+        assert np.allclose(gt._motion([(f, *p) for f, p in zip(frames.tolist(), xy.tolist(), strict=True)]), want, rtol=1e-12, atol=1e-12)
